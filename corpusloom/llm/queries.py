@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, line_dedup, packing, quality, simhash
+from corpusloom.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, packing, quality, simhash, unigram_count, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,15 +25,44 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op2_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.archive(spark, table(spark, sf_dir, "pages"))
+    number = lambda c: F.regexp_extract(c, r"<urn:page:(-?\d+)>", 1).try_cast("long")
+    revisit = F.col("record_type") == "revisit"
+    return records.select(
+        number("record_id").alias("page_id"),
+        F.when(revisit, F.col("http_length")).otherwise(F.octet_length("payload")).cast("long").alias("payload_bytes"),
+        F.when(revisit, F.col("digest")).otherwise(F.sha2("payload", 256)).alias("payload_digest"),
+        "record_type",
+        number("refers_to").alias("refers_to"),
+    )
+
+
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return packing.ids_crc32(packing.pack(docs, tokenizer_file("word_bpe_49k.json")))
 
 
+def op4_license(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+
+
+def op5_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return unigram_count.count_tokens(table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
+def op6_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     rated = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -46,8 +76,13 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_warc": op2_warc,
     "op3_packing": op3_packing,
+    "op4_license": op4_license,
+    "op5_token_count": op5_token_count,
+    "op6_embedding_dedup": op6_embedding_dedup,
     "op7_decontamination": op7_decontamination,
+    "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
 }
