@@ -10,7 +10,11 @@ from __future__ import annotations
 
 import heapq
 import os
+import re
+import struct
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -24,16 +28,20 @@ END_ID = 1
 QUADRATIC = 4096
 #: A run ends at so many documents or tokens.
 RUN_DOCS, RUN_TOKENS = 2048, 8_000_000
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, and as many that it met before those.
 _MEMO = 600_000
+_SMALL = re.compile("[a-zß-öø-ÿ]+")
+#: Byte-level tokenizers write each byte as a printable character: printable Latin-1 as itself, others from U+0100 on.
+_PRINTABLE = dict(zip([b for b in range(256) if b < 33 or 126 < b < 161 or b == 173], range(256, 512)))
 _ROWS = 256
 
 
-class WordEncoder:
+class WordEncoder(dict):
     """Ids of texts as little-endian unsigned 32-bit bytes, by a `tokenizers` file that drops white space.
 
     Such a tokenizer works on each run between ASCII white space alone, so ids are
-    remembered by word; new words are encoded together.
+    remembered by word (the entries of this dictionary). If it lowers letters, A-Z are lowered
+    first, and if it parts letters from signs, a full stop or comma at a word's end is encoded on its own.
     """
 
     def __init__(self, path: str) -> None:
@@ -41,19 +49,58 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[str | None]) -> list[bytes]:
-        split = [(t or "").encode().split() for t in texts]
-        if len(self.memo) > _MEMO:
-            self.memo.clear()
-        new = list({w for words in split for w in words if w not in self.memo})
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for word, got in zip(some, self.tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(got.ids, "<u4").tobytes()
-        known = self.memo.__getitem__
-        return [b"".join(map(known, words)) for words in split]
+        self.old: dict[bytes, bytes] = {}
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        same = lambda a, b: self._ids([a]) == self._ids([b])
+        self.lowers = same("THE Quick", "the quick") and same("ONIONS", "onions")
+        self.model, self.direct = self.tokenizer.model, True
+        self.direct = self.lowers and all(self._plain(w.encode()) == self._ids([w])[0] for w in ("the", "onions", "größenäß", "éçàênt", "ñaz", "xqzj"))
+        self.parts = all(self._ids([f"{w}{c}"])[0] == b"".join(self._ids([w, c])) for w in ("the", "onions", "q") for c in ".,")
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+        ends = [4 * x for x in accumulate(map(len, ids), initial=0)]
+        return [flat[i:j] for i, j in pairwise(ends)]
+
+    def _plain(self, word: bytes) -> bytes | None:
+        """A word of small Latin letters straight from the model, which takes bytes as printable characters; None: not such a word."""
+        if not self.direct or not _SMALL.fullmatch(word.decode()):
+            return None
+        ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_PRINTABLE))]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _stem(self, word: bytes) -> bytes:
+        """A word of a letter a-z and then one full stop or comma, without that sign; other words as they are."""
+        return word[:-1] if self.parts and word[-1] in b".," and len(word) > 1 and 97 <= word[-2] <= 122 else word
+
+    def _words(self, text: str | None) -> list[bytes]:
+        raw = (text or "").encode()
+        lower = raw.lower() if self.lowers else raw
+        return (raw if any(t in lower for t in self.special) else lower).split()
+
+    def __missing__(self, word: bytes) -> bytes:
+        """Ids of a word that isn't remembered, or not in the present generation."""
+        ids = self.old.get(word)
+        if ids is None:
+            stem = self._stem(word)
+            ids = self._plain(word) if stem is word else self[stem] + self[word[-1:]]
+            if ids is None:
+                ids = self._ids([word.decode()])[0]
+        self[word] = ids
+        return ids
+
+    def encode(self, text: str | None) -> bytes:
+        if len(self) > _MEMO:
+            self.old = dict(self)
+            self.clear()
+        return b"".join(map(self.__getitem__, self._words(text)))
+
+
+@lru_cache(maxsize=2)
+def encoder(path: str) -> WordEncoder:
+    """A worker process's encoder: what it remembers serves the tasks that follow."""
+    return WordEncoder(path)
 
 
 def cost(length: int) -> float:
@@ -145,7 +192,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = WordEncoder(tokenizer_path)
+        coder = encoder(tokenizer_path)
         end = np.array([end_id], "<u4").tobytes()
         next_id = TaskContext.get().partitionId() << 40
         names: list[int] = []
@@ -171,7 +218,7 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
-                for name, got in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True):
+                for name, got in zip(part.column(0).to_pylist(), map(coder.encode, part.column(1).to_pylist()), strict=True):
                     names.append(name)
                     tokens.append(got + end)
                     held += len(got) // 4 + 1
