@@ -21,6 +21,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import repeat
 
 import numpy as np
@@ -82,6 +83,7 @@ class Pattern:
         return best
 
 
+@lru_cache(maxsize=64)
 def _walk_plan(w: int) -> list[list[tuple[int, int, np.ndarray]]]:
     """For each walk, steps of (step, multiplier, bands that sample it). Past 2w steps most walks have left the window, so places are drawn before."""
     plan = []
