@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -33,10 +34,7 @@ _MEMO = 300_000
 
 
 def _bucket(kind: str, value: str) -> int:
-    h = 0xCBF29CE484222325
-    for byte in f"{kind}:{value}".encode():
-        h = (h ^ byte) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-    return (h ^ h >> 29) % BUCKETS
+    return xxhash.xxh64_intdigest(f"{kind}:{value}") % BUCKETS
 
 
 def _word_buckets(word: str) -> tuple[int, ...]:
