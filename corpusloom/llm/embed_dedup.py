@@ -25,7 +25,8 @@ COSINE = 0.98
 #: Points in a block; a task holds two.
 BLOCK = 2048
 LEAF = 24
-_SLACK = 1e-9
+#: More than rounding does to a distance taken from a product.
+_SLACK = 1e-6
 
 
 @dataclass
@@ -39,26 +40,28 @@ class Node:
 
 
 def cover_tree(x: np.ndarray) -> Node:
-    """The cover tree of unit vectors ``x`` (rows). A node's first child keeps its centre, so levels are nested."""
-    distance = np.linalg.norm(x - x[0], axis=1)
-    root = Node(0, np.arange(len(x)), float(distance.max()))
-    todo = [(root, distance)]
+    """The cover tree of unit vectors ``x`` (rows). A node's first child keeps its centre, so levels are nested.
+
+    Distances come from one product of the block with itself, to within _SLACK.
+    """
+    distance = np.sqrt(np.maximum(0, 2 - 2 * (x @ x.T)))
+    root = Node(0, np.arange(len(x)), float(distance[0].max()) + _SLACK)
+    todo = [root]
     while todo:
-        node, distance = todo.pop()
-        if len(node.points) <= LEAF or node.radius <= 1e-7:
+        node = todo.pop()
+        if len(node.points) <= LEAF or node.radius <= 4 * _SLACK:
             continue
-        bound = node.radius / 2
-        left, near, center = node.points, distance, node.center
+        bound, left, center = node.radius / 2, node.points, node.center
         while len(left):
+            near = distance[center][left]
             inside = near <= bound
-            own, rest = left[inside], left[~inside]
-            child = Node(center, own, float(near[inside].max()))
+            inside[left == center] = True
+            child = Node(center, left[inside], float(near[inside].max()) + _SLACK)
             node.children.append(child)
-            todo.append((child, near[inside]))
-            left = rest
-            if len(left):
-                center = int(left[0])
-                near = np.linalg.norm(x[left] - x[center], axis=1)
+            if len(child.points) > LEAF:
+                todo.append(child)
+            left = left[~inside]
+            center = int(left[0]) if len(left) else 0
     return root
 
 
@@ -127,10 +130,8 @@ class Links:
                 self.leaves(a, b)
             elif itself:
                 todo += [(p, q) for p, q in self.close(a.children, a.children) if p.center <= q.center]
-            elif not b.children or a.children and a.radius >= b.radius:
-                todo += self.close(a.children, [b])
             else:
-                todo += self.close([a], b.children)
+                todo += self.close(a.children or [a], b.children or [b])
 
     def close(self, left: list[Node], right: list[Node]) -> list[tuple[Node, Node]]:
         """The pairs of nodes that aren't pruned, found in one product of centres."""
@@ -139,7 +140,7 @@ class Links:
         out = []
         for at in range(0, len(left), 512):
             gaps = np.sqrt(np.maximum(0, 2 - 2 * ca[at : at + 512] @ cb.T))
-            near = gaps <= ra[at : at + 512, None] + rb[None, :] + self.reach + 1e-6
+            near = gaps <= ra[at : at + 512, None] + rb[None, :] + self.reach + _SLACK
             out += [(left[at + i], right[j]) for i, j in zip(*(k.tolist() for k in np.nonzero(near)), strict=True)]
         return out
 
