@@ -193,6 +193,8 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     dealt = points.join(sizes, "g").withColumn("mine", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least("mine", o).alias("x"), F.greatest("mine", o).alias("y"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
     pairs = dealt.select("g", "id", "n", "embedding", F.explode(meet).alias("m")).select("g", "id", "n", "embedding", "m.x", "m.y", "m.side")
+    # Else the join's partitioning by group would do for the pairs, and a label would be one task.
+    pairs = pairs.repartition("g", "x", "y")
 
     def work(table: pa.Table) -> pa.Table:
         return _links_of(table, cosine)
