@@ -250,7 +250,8 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     stretches = stretches.where((F.col("split") > 0) | (F.col("seq") > 0)).join(bases, ["file", "split"]).withColumn("place", F.col("at") + F.col("base"))
     # Nearly every stretch is a record. The others, listed, are those off the chain and those of records in several stretches.
     whole = on.where("whole").select(*key)
-    listed = written(placed.select(*key, "place").join(whole, key, "left_anti"), "listed")
+    # Paths compress so well that a file's size says little of what a broadcast would hold.
+    listed = written(placed.select(*key, "place").join(whole.hint("merge"), key, "left_anti"), "listed")
     if small := listed.count() <= SMALL:
         single = stretches.join(F.broadcast(listed.select(*key)), key, "left_anti")
     else:
