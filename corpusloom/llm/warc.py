@@ -12,6 +12,7 @@ candidates on the way from a real joint are records. Magic in a payload is on no
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -194,45 +195,59 @@ def reachable(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, Dat
     return on.drop("at", "kind"), placed, bases
 
 
+_FIELDS = ["record_type", "record_id", "refers_to", "target_uri", "digest", "http_length", "payload", "digest_ok"]
+_KINDS = [*[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
+_COLUMNS = "record_type string, record_id string, refers_to string, target_uri string, digest string, http_length long, payload binary, digest_ok boolean"
+
+
+def _fields(stretch: bytes, header: tuple[dict[str, str], int]) -> tuple:
+    """The columns _FIELDS of a record; a response's payload is what follows the HTTP header."""
+    fields, begin = header
+    head, _, payload = stretch[begin : begin + int(fields["content-length"])].partition(END)
+    length = next((int(x.split(b":")[1]) for x in head.lower().split(b"\r\n") if re.fullmatch(rb"content-length:\s*\d+", x)), 0)
+    digest, kind = fields.get("warc-payload-digest", "").removeprefix("sha256:"), fields["warc-type"]
+    sound = kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest
+    return kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, length, payload if kind == "response" else None, sound
+
+
+def _batched(rows: Iterator[tuple], names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """Rows that begin with a size in bytes, as batches of about 4 MB without it."""
+    held, some = 0, []
+    for size, *row in rows:
+        some.append(row)
+        held += size
+        if held > 4 << 20 or len(some) == 4096:
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+            held, some = 0, []
+    if some:
+        yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*some, strict=True), kinds, strict=True)], names=names)
+
+
 def _records(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    rows: list[tuple[str, int, int, int, bytes]] = []
-    held = 0
-    names = ["file", "split", "seq", "at", "stretch"]
+    """The stretches that are just a record, with its fields."""
 
-    def out() -> pa.RecordBatch:
-        kinds = (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def rows() -> Iterator[tuple]:
+        for file, split, seq, at, stretch in _walk(batches):
+            header = _header(stretch) if split or seq else None
+            if header and header[1] + int(header[0]["content-length"]) + len(END) == len(stretch):
+                yield len(stretch), file, split, seq, at, *_fields(stretch, header)
 
-    for file, split, seq, at, stretch in _walk(batches):
-        rows.append((file, split, seq, at, stretch))
-        held += len(stretch)
-        if held > 8 << 20:
-            yield out()
-            rows.clear()
-            held = 0
-    if rows:
-        yield out()
+    return _batched(rows(), ["file", "split", "seq", "at", *_FIELDS], [pa.string(), pa.int64(), pa.int64(), pa.int64(), *_KINDS])
+
+
+def _raw(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = ((len(stretch), file, split, seq, stretch) for file, split, seq, _, stretch in _walk(batches))
+    return _batched(rows, ["file", "split", "seq", "stretch"], [pa.string(), pa.int64(), pa.int64(), pa.binary()])
 
 
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(file, place, record stretch) to fields and payload; a response's payload is what follows the HTTP header."""
-    names = ["file", "offset", "record_type", "record_id", "refers_to", "target_uri", "digest", "http_length", "payload", "digest_ok"]
-    kinds = [pa.string(), pa.int64(), *[pa.string()] * 5, pa.int64(), pa.binary(), pa.bool_()]
-    for batch in batches:
-        for at in range(0, batch.num_rows, 256):
-            part, rows = batch.slice(at, 256), []
-            for file, place, stretch in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), part.column(2), strict=True):
-                stretch = stretch.as_py()
-                fields, begin = _header(stretch)
-                content = stretch[begin : begin + int(fields["content-length"])]
-                head, _, payload = content.partition(END)
-                length = next((int(x.split(b":")[1]) for x in head.lower().split(b"\r\n") if x.startswith(b"content-length:")), 0)
-                digest = fields.get("warc-payload-digest", "").removeprefix("sha256:")
-                kind = fields["warc-type"]
-                ok = kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest
-                rows.append((file, place - len(MAGIC), kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, length, payload if kind == "response" else None, ok))
-            if rows:
-                yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+    def rows() -> Iterator[tuple]:
+        for batch in batches:
+            for file, place, stretch in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                record = stretch.as_py()
+                yield len(record), file, place - len(MAGIC), *_fields(record, _header(record))
+
+    return _batched(rows(), ["file", "offset", *_FIELDS], [pa.string(), pa.int64(), *_KINDS])
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
@@ -246,29 +261,29 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     on, placed, bases = reachable(spark, path)
     on = written(on, "records")
     key = ["file", "split", "seq"]
-    stretches = _stretches(spark, path).mapInArrow(_records, "file string, split long, seq long, at long, stretch binary")
-    stretches = stretches.where((F.col("split") > 0) | (F.col("seq") > 0)).join(bases, ["file", "split"]).withColumn("place", F.col("at") + F.col("base"))
+    records = _stretches(spark, path).mapInArrow(_records, f"file string, split long, seq long, at long, {_COLUMNS}").join(bases, ["file", "split"])
     # Nearly every stretch is a record. The others, listed, are those off the chain and those of records in several stretches.
     whole = on.where("whole").select(*key)
     # Paths compress so well that a file's size says little of what a broadcast would hold.
     listed = written(placed.select(*key, "place").join(whole.hint("merge"), key, "left_anti"), "listed")
     if small := listed.count() <= SMALL:
-        single = stretches.join(F.broadcast(listed.select(*key)), key, "left_anti")
+        single = records.join(F.broadcast(listed.select(*key)), key, "left_anti")
     else:
-        single = stretches.join(whole, key, "left_semi")
+        single = records.join(whole, key, "left_semi")
+    single = single.select("file", (F.col("at") + F.col("base") - len(MAGIC)).alias("offset"), *_FIELDS)
     # The listed stretches from a record's place to its successor's are that record's; both are met in buckets of places.
     bucket = lambda c: F.floor(F.col(c) / BUCKET)
     spans = on.where("not whole").select("file", F.col("place").alias("from"), F.col("next").alias("to"))
     spans = spans.withColumn("bucket", F.explode(F.sequence(bucket("from"), bucket("to"))))
-    inside = listed.withColumn("bucket", bucket("place")).join(spans, ["file", "bucket"]).where("place >= `from` and place < `to`").select(*key, "from")
+    inside = listed.withColumn("bucket", bucket("place")).join(spans, ["file", "bucket"]).where("place >= `from` and place < `to`").select(*key, "place", "from")
     inside = written(inside, "inside")
-    parts = stretches.join(F.broadcast(inside) if small else inside, key)
+    if inside.isEmpty():
+        return single
+    parts = _stretches(spark, path).mapInArrow(_raw, "file string, split long, seq long, stretch binary").join(F.broadcast(inside) if small else inside, key)
     magic = F.when(F.col("place") == F.col("from"), F.lit(b"")).otherwise(F.lit(MAGIC))
     several = parts.select("file", "from", F.struct("place", F.concat(magic, "stretch").alias("b")).alias("p")).groupBy("file", "from").agg(F.array_sort(F.collect_list("p")).alias("p"))
     several = several.select("file", F.col("from").alias("place"), F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x.b)).alias("stretch"))
-    single = single.select("file", "place", "stretch")
-    schema = "file string, offset long, record_type string, record_id string, refers_to string, target_uri string, digest string, http_length long, payload binary, digest_ok boolean"
-    return single.unionByName(several).mapInArrow(_parse, schema)
+    return single.unionByName(several.mapInArrow(_parse, f"file string, offset long, {_COLUMNS}"))
 
 
 def archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
