@@ -10,15 +10,15 @@ from corpusloom.functions.text import strip
 
 
 def ingest_text(spark: SparkSession, folder: str, target: str, checkpoint: str, tokenizer_hash: str = "") -> StreamingQuery:
-    """Append the cleaned lines of files that weren't taken yet to ``target`` (Parquet: path, text, tokenizer_hash), then stop.
+    """Append the cleaned lines of files that weren't taken yet to ``target`` (Parquet: path, text, by tokenizer_hash), then stop.
 
-    The checkpoint goes by tokenizer hash, so another tokenizer takes all files again.
+    Checkpoint and sink go by tokenizer hash, so another tokenizer takes all files again.
     """
+    tag = tokenizer_hash or "none"
     lines = spark.readStream.option("recursiveFileLookup", "true").text(folder)
     rows = lines.select(F.col("_metadata.file_path").alias("path"), strip(F.col("value")).alias("text")).where(F.col("text") != "")
-    rows = rows.withColumn("tokenizer_hash", F.lit(tokenizer_hash))
-    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{tokenizer_hash or 'none'}")
-    return writer.trigger(availableNow=True).start(target)
+    writer = rows.writeStream.format("parquet").option("checkpointLocation", f"{checkpoint}/{tag}")
+    return writer.trigger(availableNow=True).start(f"{target}/tokenizer_hash={tag}")
 
 
 def pending(rows: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
