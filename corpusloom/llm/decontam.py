@@ -51,8 +51,8 @@ def edits_allowed(n: int) -> int:
 
 def window_of(n: int) -> tuple[int, int]:
     """Window length and stride for items of ``n`` words."""
-    w = 3 if n < 14 else 12
-    while w > 3 and 2 * w + w // 2 - 1 <= n:
+    w = 2 if n < 14 else 12  # two words, as an edit of five may leave only pairs
+    while w > 2 and 2 * w + w // 2 - 1 <= n:
         w *= 2
     return w, max(1, w // 4)
 
@@ -91,7 +91,7 @@ def _walk_plan(w: int) -> list[list[tuple[int, int, np.ndarray]]]:
         rng = np.random.default_rng([w, walk])
         taken: dict[int, list[int]] = defaultdict(list)
         for band in range(BANDS):
-            for place in rng.choice(2 * w, SAMPLES, replace=False):
+            for place in rng.choice(2 * w, min(SAMPLES, w), replace=False):
                 taken[int(place)].append(band)
         odd = rng.integers(0, 1 << 63, 3 * w, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
         plan.append([(j, odd[j], np.array(taken.get(j, []), np.int64)) for j in range(max(taken) + 1)])

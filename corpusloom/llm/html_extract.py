@@ -84,8 +84,10 @@ def _traits(tag: str, attributes: str, over: _Open) -> _Open:
         for key, value in _ATTRIBUTE.findall(attributes):
             key, value = key.lower(), value.strip("\"'").lower()
             if key in ("class", "id", "role"):
-                names.update(re.split(r"[^a-z]+", value))
-                names.update(x.replace("-", "").replace("_", "") for x in value.split())
+                # "has-sidebar" tells of a page's parts, not of this one.
+                for name in value.split():
+                    if not name.startswith(("has-", "with-", "no-")):
+                        names.update((*re.split(r"[^a-z]+", name), re.sub("[-_]", "", name)))
             elif key == "hidden" and value in ("", "hidden", "true"):
                 hidden = True
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):

@@ -25,8 +25,8 @@ from corpusloom.llm.shared import free_name
 MAX_RATED = 12_000
 GRADES = 3
 BUCKETS = 1 << 20
-#: A feature is used if its chi-square against some cut exceeds this and it stands in so many rated documents.
-MIN_CHI2, MIN_DOCS = 40.0, 6
+#: A feature is used if its chi-square against a cut exceeds that cut's value and it stands in so many rated documents.
+MIN_CHI2, MIN_DOCS = (25.0, 40.0), 4
 _ROWS = 256
 _WORD = re.compile(r"\w+")
 _SIGN_RUN = re.compile(r"[^\w\s]{2,}")
@@ -134,7 +134,7 @@ def fit(x: list[list[int]], grades: np.ndarray, steps: int = 300, l2: float = 1e
             d = n - n1 - b
             with np.errstate(divide="ignore", invalid="ignore"):
                 chi = n * (a * d - b * c) ** 2 / ((a + b) * (c + d) * n1 * (n - n1))
-            use |= (np.nan_to_num(chi) > MIN_CHI2) & (total >= MIN_DOCS)
+            use |= (np.nan_to_num(chi) > MIN_CHI2[k]) & (total >= MIN_DOCS)
     buckets = np.flatnonzero(use)
     place = np.full(BUCKETS, -1)
     place[buckets] = np.arange(len(buckets))
