@@ -9,7 +9,7 @@ grade and tail probability P(grade >= k) follow.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -88,7 +88,7 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.cuts[None, :] - score[:, None], -50, 50)))
 
 
-def rated(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[list[int]], np.ndarray]:
+def rated(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, id_col: str = "doc_id", text_col: str = "text") -> tuple[list[np.ndarray], np.ndarray]:
     """Features and grades of at most ``max_rated`` rated documents, the same for every partitioning.
 
     ratings: (id, quality, toxic). Of repeated ratings of an id the worst counts; rows with
@@ -112,16 +112,18 @@ def rated(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, id_co
     got = rows.toArrow()
     grades = got.column("grade").to_numpy()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
-    x = got.column("x").to_pylist()
-    return [x[i] for i in order], grades[order]
+    lists = [part.flatten().to_numpy() for part in got.column("x").chunks]
+    ends = np.cumsum(np.concatenate([[0], *[part.value_lengths().to_numpy() for part in got.column("x").chunks]]).astype(np.int64))
+    flat = np.concatenate([np.empty(0, np.int32), *lists])
+    return [flat[ends[i] : ends[i + 1]] for i in order], grades[order]
 
 
-def fit(x: list[list[int]], grades: np.ndarray, steps: int = 300, l2: float = 1e-3, rate: float = 0.1) -> OrdinalModel | None:
+def fit(x: Sequence[Sequence[int]], grades: np.ndarray, steps: int = 300, l2: float = 1e-3, rate: float = 0.1) -> OrdinalModel | None:
     """The cumulative-link model by full-batch Adam. None without two grades to tell apart."""
     if len(np.unique(grades)) < 2:
         return None
-    rows = np.repeat(np.arange(len(x)), [len(r) for r in x])
-    cols = np.fromiter((c for r in x for c in r), np.int64, len(rows))
+    rows = np.repeat(np.arange(len(x), dtype=np.int32), [len(r) for r in x])
+    cols = np.concatenate([np.asarray(r, np.int32) for r in x])
     total = np.bincount(cols, minlength=BUCKETS).astype(float)
     use = np.zeros(BUCKETS, bool)
     n = len(x)
