@@ -98,7 +98,8 @@ def links(fps: DataFrame) -> DataFrame:
     high = F.shiftrightunsigned("fp", 32)
     tagged = lambda half, tag: F.transform(_anchors(half), lambda x: x.bitwiseOR(F.lit(tag << 32)))
     at = fps.select("fp", F.explode(F.concat(tagged(low, 0), tagged(high, 1))).alias("anchor"))
-    left, right = at.withColumnRenamed("fp", "a"), at.withColumnRenamed("fp", "b")
+    # Estimates of size don't see that each row becomes 33; without the hint a small table would be broadcast at 33 times its size.
+    left, right = at.withColumnRenamed("fp", "a"), at.withColumnRenamed("fp", "b").hint("merge")
     near = F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= MAX_BITS
     return left.join(right.withColumnRenamed("anchor", "anchor_"), (F.col("anchor") == F.col("anchor_")) & (F.col("a") < F.col("b")) & near).select("a", "b")
 
