@@ -29,7 +29,7 @@ QUADRATIC = 4096
 #: A run ends at so many documents or tokens.
 RUN_DOCS, RUN_TOKENS = 2048, 8_000_000
 #: Words whose ids a worker remembers, and as many that it met before those.
-_MEMO = 600_000
+_MEMO = 300_000
 _SMALL = re.compile("[a-zß-öø-ÿ]+")
 #: Byte-level tokenizers write each byte as a printable character: printable Latin-1 as itself, others from U+0100 on.
 _PRINTABLE = dict(zip([b for b in range(256) if b < 33 or 126 < b < 161 or b == 173], range(256, 512)))
