@@ -102,9 +102,17 @@ def offsets(df: DataFrame, size: Column, ordinal: str, source: str = "source") -
 
 
 def sample_refs(offsets_df: DataFrame, total: Column, source: str = "source", width: int = 1 << 16) -> DataFrame:
-    """(source, sample_index, start, end) from start offsets: the end is the next start, the last end is ``total``; empty samples go."""
-    over = Window.partitionBy(source).orderBy("start", "sample_index")
-    return offsets_df.withColumn("end", F.coalesce(F.lead("start").over(over), total.cast("long"))).where("end > start")
+    """(source, sample_index, start, end) from start offsets: the end is the next start, the last end is ``total``; empty samples go.
+
+    Samples go by buckets of ``width`` indexes; the last of a bucket takes its end from the next bucket that has any.
+    """
+    df = offsets_df.withColumn("_b", F.floor(F.col("sample_index") / width))
+    heads = df.groupBy(F.col(source).alias("_s"), F.col("_b").alias("_c")).agg(F.min("start").alias("_first"))
+    heads = heads.withColumn("_next", F.lead("_first").over(Window.partitionBy("_s").orderBy("_c"))).drop("_first")
+    within = Window.partitionBy(source, "_b").orderBy("start", "sample_index")
+    joined = df.join(heads, F.col(source).eqNullSafe(F.col("_s")) & (F.col("_b") == F.col("_c")))
+    ended = joined.withColumn("end", F.coalesce(F.lead("start").over(within), F.col("_next"), total.cast("long")))
+    return ended.where("end > start").drop("_b", "_s", "_c", "_next")
 
 
 def pack_fixed(df: DataFrame, ordinal: str, size: int, source: str = "source", text: str = "text") -> DataFrame:

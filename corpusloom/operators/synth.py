@@ -30,6 +30,11 @@ RULES: dict[str, tuple[list[Clause], list[Clause]]] = {
     "simplification": ([["and", P, Q]], [P, Q]),
     "biconditional elimination": ([["<->", P, Q]], [["->", P, Q], ["->", Q, P]]),
     "double negation": ([["~", ["~", P]]], [P]),
+    "addition": ([P], [["or", P, Q]]),
+    "conjunction": ([P, Q], [["and", P, Q]]),
+    "rewriting": ([["or", P, ["~", Q]]], [["->", Q, P]]),
+    "disjunction elimination": ([["->", P, R], ["->", Q, R], ["or", P, Q]], [R]),
+    "biconditional introduction": ([["->", P, Q], ["->", Q, P]], [["<->", P, Q]]),
 }
 NAMES = "pqrstuw"
 
@@ -55,6 +60,43 @@ def bind(pattern: Clause, bound: dict[str, Clause]) -> Clause:
     return [pattern[0], *[bind(x, bound) for x in pattern[1:]]]
 
 
+def letters(pattern: Clause) -> set[str]:
+    """The letters of a pattern or clause."""
+    return {pattern[0]} if len(pattern) == 1 else set().union(*map(letters, pattern[1:]))
+
+
+def quantified(rules: dict[str, tuple[list[Clause], list[Clause]]] = RULES) -> dict[str, tuple[list[Clause], list[Clause]]]:
+    """Rules over predicates of x: each rule with all parts universal, and, for each premise, with that premise and what follows existential.
+
+    A letter under ["forall", c] or ["exists", c] stands for a predicate of x. With one existential premise and the
+    others universal the rule holds of the x there is.
+    """
+    out = {}
+    for name, (wanted, follows) in rules.items():
+        out[f"universal {name}"] = ([["forall", w] for w in wanted], [["forall", f] for f in follows])
+        for i in range(len(wanted)):
+            parts = [["exists" if k == i else "forall", w] for k, w in enumerate(wanted)]
+            out[f"existential {name} {i + 1}"] = (parts, [["exists", f] for f in follows])
+    return out
+
+
+def renamed(clauses: list[Clause], names: str = NAMES) -> list[Clause]:
+    """Clauses with their letters renamed in order of appearance: equal for problems that differ in names alone."""
+    order: list[str] = []
+
+    def visit(clause: Clause) -> None:
+        if len(clause) > 1:
+            for part in clause[1:]:
+                visit(part)
+        elif clause[0] not in order:
+            order.append(clause[0])
+
+    for clause in clauses:
+        visit(clause)
+    to = {name: [names[i] if i < len(names) else f"{names[i % len(names)]}{i // len(names)}"] for i, name in enumerate(order)}
+    return [bind(clause, to) for clause in clauses]
+
+
 def negated(clause: Clause) -> Clause:
     return clause[1] if clause[0] == "~" else ["~", clause]
 
@@ -73,7 +115,7 @@ def firings(premises: list[Clause], rules: dict[str, tuple[list[Clause], list[Cl
         for pattern in wanted:
             ways = [(b, [*used, p]) for bound, used in ways for p in premises if p not in used and (b := unify(pattern, p, bound)) is not None]
         for bound, used in ways:
-            for inference in (bind(f, bound) for f in follows):
+            for inference in (bind(f, bound) for f in follows if letters(f) <= bound.keys()):
                 if json.dumps(inference) not in known:
                     out.setdefault((name, json.dumps(inference)), (name, used, inference))
     return list(out.values())
@@ -84,6 +126,8 @@ def render(clause: Clause) -> str:
         return clause[0]
     if clause[0] == "~":
         return f"~{render(clause[1])}"
+    if clause[0] in ("forall", "exists"):
+        return f"{clause[0]} x: {render(clause[1])}"
     return f"({render(clause[1])} {clause[0]} {render(clause[2])})"
 
 
@@ -93,6 +137,8 @@ def say(clause: Clause) -> str:
         return f"{clause[0]} holds"
     if clause[0] == "~":
         return f"it is not the case that {say(clause[1])}"
+    if clause[0] in ("forall", "exists"):
+        return f"for {'all' if clause[0] == 'forall' else 'some'} x, {say(clause[1])}"
     a, b = say(clause[1]), say(clause[2])
     return {"and": f"{a} and {b}", "or": f"{a} or {b}", "->": f"if {a}, then {b}", "<->": f"{a} if and only if {b}"}[clause[0]]
 
@@ -100,9 +146,9 @@ def say(clause: Clause) -> str:
 def problem(seed: int, steps: int = 2) -> dict[str, Any]:
     """Premises, and a chain of inferences by backward steps: a rule's inference is the goal, and its premises become goals."""
     rng = random.Random(seed)
-    letters = list(NAMES)
-    rng.shuffle(letters)
-    goals, premises, chain = [[letters.pop()]], [], []
+    free = list(NAMES)
+    rng.shuffle(free)
+    goals, premises, chain = [[free.pop()]], [], []
     for _ in range(steps):
         goal = goals.pop(0) if goals else premises.pop()
         name, (wanted, follows) = rng.choice(sorted(RULES.items()))
@@ -114,7 +160,7 @@ def problem(seed: int, steps: int = 2) -> dict[str, Any]:
             goals = goals or [[rng.choice(NAMES)]]
             continue
         for letter in "PQRS":
-            bound.setdefault(letter, [rng.choice(letters or list(NAMES))])
+            bound.setdefault(letter, [rng.choice(free or list(NAMES))])
         needed = [bind(w, bound) for w in wanted]
         chain.append({"rule": name, "premises": needed, "inference": goal})
         goals += needed
@@ -152,6 +198,19 @@ def split_iid(df: DataFrame, train_ratio: float = 0.9) -> DataFrame:
     return df.withColumn("split", F.when(share < train_ratio, "train").otherwise("test"))
 
 
+def rule_counts(df: DataFrame) -> DataFrame:
+    """(rule, n): how often chains use each rule, with a zero for rules not used."""
+    names = df.sparkSession.createDataFrame([(name,) for name in sorted(RULES)], "rule string")
+    used = df.select(F.explode("rules").alias("rule")).groupBy("rule").agg(F.count(F.lit(1)).alias("n"))
+    return names.join(used, "rule", "left").select("rule", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def split_ood(df: DataFrame, train_ratio: float = 0.9) -> DataFrame:
+    """split by what problems are built of: all examples with one sequence of rules are on one side."""
+    share = F.pmod(F.xxhash64(F.array_join("rules", "|")), F.lit(10_000)) / 10_000.0
+    return df.withColumn("split", F.when(share < train_ratio, "train").otherwise("test"))
+
+
 def split_length(df: DataFrame, longest: int) -> DataFrame:
     """split: chains of up to ``longest`` steps are train, longer ones test."""
     return df.withColumn("split", F.when(F.col("chain_length") <= longest, "train").otherwise("test"))

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from corpusloom.functions import sampling
 from corpusloom.functions.text import WHITE, preview, strip
 from corpusloom.operators import batching, corpus, dialogue, jsontext, logic, metrics, synth, tokens
+from corpusloom.sources import sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -560,3 +562,57 @@ def pack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def logic_synth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return synth.split_iid(synth.examples(spark, 600))
+
+
+@query()
+def logic_rule_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return synth.rule_counts(synth.examples(spark, 600))
+
+
+# Sinks' summaries and sampling
+
+
+@query(
+    """WITH a AS (SELECT min(doc_id) AS doc_id, min_by(source, doc_id) AS source FROM documents GROUP BY text),
+    c AS (SELECT source, count(*) AS n FROM a GROUP BY source)
+    SELECT CAST(sum(n) AS BIGINT) AS total, (SELECT count(*) FROM documents) AS deduped_from, '{' || string_agg('"' || source || '":' || n, ',' ORDER BY source) || '}' AS sources FROM c"""
+)
+def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    return sinks.manifest(docs, corpus.dedupe(docs, ["text"], "doc_id"))
+
+
+@query(
+    """SELECT source AS name, count(*) AS samples, count_if(len(t) = 0) AS empty, CAST(sum(len(t)) AS BIGINT) AS n_tokens, min(list_min(t)) AS min_id, max(list_max(t)) AS max_id
+    FROM (SELECT source, list_transform(string_split(text, ' '), lambda w: length(w)) AS t FROM documents) GROUP BY source"""
+)
+def shard_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = F.transform(F.split("text", " ", -1), lambda w: F.length(w).cast("long"))
+    return sinks.shard_integrity(_docs(spark, sf_dir).select(F.col("source").alias("name"), sizes.alias("tokens")))
+
+
+@query(
+    """SELECT event_id AS step, round((event_id - (SELECT min(event_id) FROM events)) / (SELECT max(event_id) - min(event_id) FROM events)::DOUBLE, 9) AS x,
+    round((value - (SELECT min(value) FROM events)) / (SELECT max(value) - min(value) FROM events), 9) AS y FROM events"""
+)
+def loss_chart_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = sinks.chart_points(_table(spark, sf_dir, "events").select(F.col("event_id").alias("step"), F.col("value").alias("loss")))
+    return points.select("step", F.round("x", 9).alias("x"), F.round("y", 9).alias("y"))
+
+
+@query(
+    """WITH e AS (SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0),
+    k AS (SELECT vec_id, list_filter(e, lambda v: v >= list_reverse_sort(e)[least(5, len(e))]) AS k FROM e)
+    SELECT vec_id, CAST(len(k) AS INT) AS kept, round(1 / list_sum(list_transform(k, lambda v: exp((v - list_max(k)) / 0.5))), 6) AS p FROM k"""
+)
+def softmax_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").where("size(embedding) > 0")
+    scores = sampling.top_k(F.transform("embedding", lambda v: v.cast("double")), 5)
+    rows = rows.select("vec_id", scores.alias("s"))
+    return rows.select("vec_id", F.size(F.array_compact("s")).alias("kept"), F.round(F.array_max(sampling.softmax(F.col("s"), 0.5)), 6).alias("p"))
+
+
+@query("SELECT doc_id, CASE WHEN doc_id % 1000 < 500 THEN 0 WHEN doc_id % 1000 < 750 THEN 1 ELSE 2 END::INT AS steps FROM documents")
+def weighted_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights = F.array(F.lit(2.0), F.lit(1.0), F.lit(1.0))
+    return _docs(spark, sf_dir).select("doc_id", sampling.choose(weights, F.col("doc_id") % 1000 / 1000).cast("int").alias("steps"))
