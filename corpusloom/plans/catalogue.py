@@ -583,7 +583,7 @@ def corpus_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """SELECT source AS name, count(*) AS samples, count_if(len(t) = 0) AS empty, CAST(sum(len(t)) AS BIGINT) AS n_tokens, min(list_min(t)) AS min_id, max(list_max(t)) AS max_id
+    """SELECT source AS name, count(*) AS samples, CAST(count_if(len(t) = 0) AS BIGINT) AS empty, CAST(sum(len(t)) AS BIGINT) AS n_tokens, min(list_min(t)) AS min_id, max(list_max(t)) AS max_id
     FROM (SELECT source, list_transform(string_split(text, ' '), lambda w: length(w)) AS t FROM documents) GROUP BY source"""
 )
 def shard_integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
