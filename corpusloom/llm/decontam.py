@@ -1,19 +1,14 @@
-"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit verification.
+"""Benchmark decontamination: exact pieces by pigeonhole, then exact edit verification.
 
 A document holds an item if some stretch of its words is within 20 % of the item's
 words by edit distance (words inserted, deleted or replaced), that is at a
 similarity of 0.8 or more. Words are runs of letters, digits and underscores in lower case.
 
-The CGK embedding walks a window with shared random bits: at each of 3w steps
-it writes the word under the pointer, and a random bit of (step, word) decides if the pointer
-moves on. Windows at edit distance d agree in all but O(d^2) places with
-constant probability, so sampled places of the walk are locality-sensitive
-for edit distance. Each of ``WALKS`` walks is sampled by ``BANDS`` bands of
-``SAMPLES`` places. Window lengths follow the items' (12, 24, 48, ... words, the largest that
-leaves room for the stride); items are indexed at every offset, so documents
-are only looked at every w/4 words, and a stretch as long as the item holds whole windows
-whatever its position. An unchanged copy is always found. Every candidate is verified by the exact
-distance of the item to the stretch around it.
+An item with k edits allowed is cut into k + 1 pieces of two to five words. Each edit touches one
+piece at most, so a stretch within k edits holds some piece unchanged, at most k
+words from its place in the item. Documents are looked at from every word, so each such
+stretch is a candidate, whatever the item's length. Candidates of an item that
+overlap are one span, and every span is verified by the item's exact distance. No pair within the limit is missed.
 """
 
 from __future__ import annotations
@@ -21,8 +16,7 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from functools import lru_cache
-from itertools import repeat
+from itertools import pairwise, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-WALKS, BANDS, SAMPLES = 6, 4, 7
 #: Items of fewer words are no evidence and never match.
 MIN_WORDS = 5
 #: The benchmark is taken in blocks of about so many words: the bound of what a worker holds.
 BLOCK_WORDS = 100_000
-_ROWS = 512
+#: Documents that a worker holds at a time, words looked up at a time, and bits of the table that most words fail.
+_ROWS, _LOOK, _BITS = 512, 1 << 18, 20
 _WORD = re.compile(r"\w+")
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 
@@ -49,12 +43,11 @@ def edits_allowed(n: int) -> int:
     return n // 5
 
 
-def window_of(n: int) -> tuple[int, int]:
-    """Window length and stride for items of ``n`` words."""
-    w = 2 if n < 14 else 12  # two words, as an edit of five may leave only pairs
-    while w > 2 and 2 * w + w // 2 - 1 <= n:
-        w *= 2
-    return w, max(1, w // 4)
+def pieces_of(n: int) -> list[tuple[int, int]]:
+    """(offset, words) of the pieces of an item of ``n`` words: one more than edits are allowed."""
+    parts = edits_allowed(n) + 1
+    cuts = [i * n // parts for i in range(parts + 1)]
+    return [(a, b - a) for a, b in pairwise(cuts)]
 
 
 class Pattern:
@@ -66,12 +59,12 @@ class Pattern:
         for i, word in enumerate(item):
             self.at[word] |= 1 << i
 
-    def distance(self, words: list[int]) -> int:
-        """The least edit distance of the item to any stretch of ``words``."""
+    def distance(self, words: list[int]) -> tuple[int, int]:
+        """The least edit distance of the item to any stretch of ``words``, and where the first such stretch ends."""
         full, high = (1 << self.n) - 1, 1 << (self.n - 1)
         plus, minus, score = full, 0, self.n
-        best = score
-        for word in words:
+        best, end = score, 0
+        for i, word in enumerate(words, 1):
             eq = self.at.get(word, 0)
             x = eq | minus
             h = (((eq & plus) + plus) ^ plus) | eq
@@ -79,49 +72,26 @@ class Pattern:
             score += bool(up & high) - bool(down & high)
             up, down = up << 1 & full, down << 1 & full
             plus, minus = down | (full & ~(x | up)), up & x
-            best = min(best, score)
-        return best
-
-
-@lru_cache(maxsize=64)
-def _walk_plan(w: int) -> list[list[tuple[int, int, np.ndarray]]]:
-    """For each walk, steps of (step, multiplier, bands that sample it). Past 2w steps most walks have left the window, so places are drawn before."""
-    plan = []
-    for walk in range(WALKS):
-        rng = np.random.default_rng([w, walk])
-        taken: dict[int, list[int]] = defaultdict(list)
-        for band in range(BANDS):
-            for place in rng.choice(2 * w, min(SAMPLES, w), replace=False):
-                taken[int(place)].append(band)
-        odd = rng.integers(0, 1 << 63, 3 * w, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
-        plan.append([(j, odd[j], np.array(taken.get(j, []), np.int64)) for j in range(max(taken) + 1)])
-    return plan
-
-
-def window_keys(ids: np.ndarray, starts: np.ndarray, w: int) -> np.ndarray:
-    """LSH keys of the windows at ``starts``: one row for each, a column for each walk and band. ids end with a spare place."""
+            if score < best:
+                best, end = score, i
+        return best, end
+
+
+def piece_keys(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(L, keys): for L from 1 to ``longest``, a key of the L words from each place on where so many stand."""
     with np.errstate(over="ignore"):
         spread = (ids + np.uint64(1)) * _PRIME
         spread ^= spread >> np.uint64(29)
-        out = np.empty((len(starts), WALKS * BANDS), np.uint64)
-        ends = starts + w
-        for walk, steps in enumerate(_walk_plan(w)):
-            at = starts.copy()
-            keys = np.tile(np.arange(BANDS, dtype=np.uint64) + np.uint64(walk * BANDS + 1), (len(starts), 1))
-            for _, odd, bands in steps:
-                word = spread[at]
-                word[at >= ends] = 0
-                for band in bands:
-                    keys[:, band] = (keys[:, band] ^ word) * _PRIME
-                    keys[:, band] ^= keys[:, band] >> np.uint64(31)
-                at += (word * odd >> np.uint64(63)).astype(np.int64)
-                np.minimum(at, ends, out=at)
-            out[:, walk * BANDS : (walk + 1) * BANDS] = keys
-        return out
+        keys = spread
+        for size in range(1, min(longest, len(ids)) + 1):
+            if size > 1:
+                keys = (keys[:-1] ^ spread[size - 1 :]) * _PRIME
+                keys ^= keys >> np.uint64(31)
+            yield size, keys
 
 
 class Index:
-    """Items of one block, with their windows by LSH key. Small enough to go to every worker."""
+    """Items of one block, with their pieces by key. Small enough to go to every worker."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
@@ -130,24 +100,37 @@ class Index:
             words = words_of(text)
             if len(words) >= MIN_WORDS:
                 self.items.append((item_id, [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words]))
-        by_window: dict[tuple[int, int], list[int]] = defaultdict(list)
+        rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
         for i, (_, words) in enumerate(self.items):
-            by_window[window_of(len(words))].append(i)
-        self.tables = []
-        for (w, stride), members in sorted(by_window.items()):
-            ids = np.array([x for i in members for x in self.items[i][1]] + [0], np.uint64)
-            starts, owner, offset, base = [], [], [], 0
-            for i in members:
-                room = len(self.items[i][1]) - w + 1
-                starts.append(np.arange(base, base + room))
-                owner.append(np.full(room, i))
-                offset.append(np.arange(room))
-                base += len(self.items[i][1])
-            keys = window_keys(ids, np.concatenate(starts), w)
-            flat = keys.ravel()
-            order = np.argsort(flat, kind="stable")
-            rows = order // keys.shape[1]
-            self.tables.append((w, stride, flat[order], np.concatenate(owner)[rows], np.concatenate(offset)[rows]))
+            pieces = pieces_of(len(words))
+            keys = dict(piece_keys(np.array(words, np.uint64), max(size for _, size in pieces)))
+            for offset, size in pieces:
+                rows[size].append((int(keys[size][offset]), i, offset))
+        #: By words of a piece: keys in order with item and offset, and which first bits keys have.
+        self.tables = {}
+        for size, own in rows.items():
+            own.sort()
+            keys = np.array([r[0] for r in own], np.uint64)
+            seen = np.zeros(1 << _BITS, np.bool_)
+            seen[keys >> np.uint64(64 - _BITS)] = True
+            self.tables[size] = (keys, np.array([r[1] for r in own]), np.array([r[2] for r in own]), seen)
+
+    def _candidates(self, ids: np.ndarray) -> list[np.ndarray]:
+        """(item, place in ``ids``, offset in the item) for each piece met in ``ids``."""
+        found = [(np.empty(0, np.int64),) * 3]
+        longest = max(self.tables, default=0)
+        for at in range(0, len(ids), _LOOK):
+            for size, mine in piece_keys(ids[at : at + _LOOK + longest - 1], longest):
+                if size not in self.tables:
+                    continue
+                keys, owner, offset, seen = self.tables[size]
+                mine = mine[:_LOOK]
+                starts = np.nonzero(seen[mine >> np.uint64(64 - _BITS)])[0]
+                lo, hi = np.searchsorted(keys, mine[starts], "left"), np.searchsorted(keys, mine[starts], "right")
+                many = hi - lo
+                k = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+                found.append((owner[k], np.repeat(starts + at, many), offset[k]))
+        return [np.concatenate(x) for x in zip(*found, strict=True)]
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, distance, words of the item, first word of the stretch), by item."""
@@ -155,43 +138,30 @@ class Index:
         for text in texts:
             words = words_of(text)
             numbers.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-        sizes = np.array([len(x) for x in numbers], np.int64)
-        bases = np.concatenate([[0], np.cumsum(sizes)])
-        ids = np.concatenate([*numbers, [0]]).astype(np.uint64)
-        known = np.concatenate([[0], np.cumsum(ids != 0)])
-        found: list[set[tuple[int, int]]] = [set() for _ in texts]
-        for w, stride, keys, owner, offset in self.tables:
-            grids = [np.arange(b, b + n - w + 1, stride) for b, n in zip(bases[:-1].tolist(), sizes.tolist(), strict=True) if n >= w]
-            if not grids:
-                continue
-            starts = np.concatenate(grids)
-            # A window that shares too few words with all items is near none of theirs.
-            starts = starts[known[starts + w] - known[starts] >= w - (3 * w) // 10]
-            if not len(starts):
-                continue
-            for at in range(0, len(starts), 1 << 16):
-                some = starts[at : at + (1 << 16)]
-                mine = window_keys(ids, some, w)
-                lo, hi = np.searchsorted(keys, mine, "left"), np.searchsorted(keys, mine, "right")
-                rows, cols = np.nonzero(hi > lo)
-                for r, a, b in zip(rows.tolist(), lo[rows, cols].tolist(), hi[rows, cols].tolist(), strict=True):
-                    start = int(some[r])
-                    doc = int(np.searchsorted(bases, start, "right")) - 1
-                    found[doc].update((int(owner[k]), start - int(bases[doc]) - int(offset[k])) for k in range(a, b))
+        # A spare place follows each text, so no piece reaches over its end.
+        bases = np.concatenate([[0], np.cumsum([len(x) + 1 for x in numbers])])
+        ids = np.concatenate([y for x in numbers for y in (x, [0])] or [[]]).astype(np.uint64)
+        items, starts, offsets = self._candidates(ids)
+        docs = np.searchsorted(bases, starts, "right") - 1
+        lengths = np.array([len(words) for _, words in self.items], np.int64)[items]
+        slacks = edits_allowed(lengths)
+        first = starts - offsets - bases[docs]
+        lo, hi = first - slacks, first + lengths + slacks
+        order = np.lexsort((lo, items, docs))
+        docs, items, lo, hi = docs[order], items[order], lo[order], hi[order]
+        fresh = np.ones(len(order) + 1, np.bool_)
+        fresh[1:-1] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (lo[1:] > hi[:-1])
+        heads = np.nonzero(fresh[:-1])[0]
+        tails = np.nonzero(fresh[1:])[0]
+        best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         patterns: dict[int, Pattern] = {}
-        out = []
-        for doc, candidates in enumerate(found):
-            best: dict[int, tuple[int, int]] = {}
-            for item, diagonal in sorted(candidates):
-                n = len(self.items[item][1])
-                slack = edits_allowed(n)
-                pattern = patterns.get(item) or patterns.setdefault(item, Pattern(self.items[item][1]))
-                lo = max(0, diagonal - slack)
-                d = pattern.distance(numbers[doc][lo : max(0, diagonal + n + slack)].tolist())
-                if d <= slack and d < best.get(item, (n, 0))[0]:
-                    best[item] = (d, max(0, diagonal))
-            out.append([(self.items[i][0], d, len(self.items[i][1]), at) for i, (d, at) in best.items()])
-        return out
+        for doc, item, lo_, hi_ in zip(docs[heads].tolist(), items[heads].tolist(), lo[heads].tolist(), hi[tails].tolist(), strict=True):
+            n = len(self.items[item][1])
+            pattern = patterns.get(item) or patterns.setdefault(item, Pattern(self.items[item][1]))
+            d, end = pattern.distance(numbers[doc][max(0, lo_) : hi_].tolist())
+            if d <= edits_allowed(n) and d < best[doc].get(item, (n, 0))[0]:
+                best[doc][item] = (d, max(0, max(0, lo_) + end - n))
+        return [[(self.items[i][0], d, len(self.items[i][1]), at) for i, (d, at) in own.items()] for own in best]
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
@@ -207,8 +177,8 @@ def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, similarity, first_word): a row for each document and item that it holds.
 
-    distance: the least edit distance (words) of the item to a stretch of the document among the
-    places found; first_word: about where. Null and empty texts, and items of fewer than five
+    distance: the least edit distance (words) of the item to a stretch of the document;
+    first_word: about where. Null and empty texts, and items of fewer than five
     words, match nothing; equal items match side by side; repeated documents
     each have their rows; items with the same id keep a row each. Empty tables give no rows.
     Columns other than id and text aren't read. No shuffle: a worker holds one block of the benchmark.

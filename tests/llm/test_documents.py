@@ -309,6 +309,22 @@ def test_decontamination_finds_planted_edits(spark):
     assert decontam.keep_clean(df, bench.where("false")).count() == len(rows)
 
 
+@pytest.mark.parametrize("n", [5, 13, 29, 59, 80, 119, 200, 240])
+def test_decontamination_misses_no_copy_at_the_limit(n):
+    rng = random.Random(n)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i in range(30)]
+    texts = []
+    for _, sample in items:
+        part = sample.split()
+        for i in sorted(rng.sample(range(n), n // 5), reverse=True):
+            part[i : i + 1] = rng.choice([[], ["zz"], [part[i], "yy"]])
+        around = [f"w{rng.randrange(5000)}" for _ in range(60)]
+        texts.append(" ".join([*around[: rng.randrange(40)], *part, *around[40:]]))
+    got = decontam.Index(items).hits(texts)
+    assert [{i: d for i, d, _, _ in own} for own in got] == [brute_hits(t, items) for t in texts]
+    assert all(i in {x[0] for x in own} for i, own in enumerate(got))
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_WORDS", 200)
     bench, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
