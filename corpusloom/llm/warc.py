@@ -70,7 +70,7 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
 
 def _header(stretch: bytes) -> tuple[dict[str, str], int] | None:
     """The named fields at the start of a stretch, and where the content begins; None if it's no record header."""
-    end = stretch.find(END, 0, 1 << 16)
+    end = stretch.find(END)
     if end < 0:
         return None
     fields = {}

@@ -73,6 +73,14 @@ def test_warc_query_and_edges(spark, tmp_path):
     assert kinds == ["response"] * 3
 
 
+@pytest.mark.parametrize("splits", ["128m", "7001"], indirect=True)
+def test_warc_keeps_what_follows_a_long_url(spark, splits):
+    rows = [(i, "u" * (100_000 if i == 2 else 9), f"<p>{i}") for i in range(6)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {int(r.record_id[10:-1]): (r.target_uri, r.payload.decode()) for r in warc.archive(spark, pages).collect()}
+    assert got == {i: (url, html) for i, url, html in rows}
+
+
 def test_broken_archive_keeps_what_is_reachable(spark, tmp_path):
     warc.write_warc(spark.createDataFrame([(i, "u", b"p" * 50) for i in range(9)], "page_id long, url string, payload binary").coalesce(1), f"{tmp_path}/w")
     part = next(p for p in (tmp_path / "w").glob("part-*") if p.stat().st_size)
