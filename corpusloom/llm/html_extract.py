@@ -3,13 +3,15 @@
 First pass: each block of text is judged alone, by its place (menus, footers, adverts, comments and
 the like are out), link density, length and stop-word density, as good, bad or
 undecided; short blocks without links stay undecided. Second pass: undecided blocks
-take the label of the nearest decided neighbours.
+take the label of the nearest decided neighbours. Article elements are a prior: if they hold
+half of the good text or more, what stands outside them is bad, and blocks inside without a decided neighbour are good.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from bisect import bisect
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,6 +29,8 @@ STOP_WORDS = frozenset(
 SHORT, LONG = 60, 180
 LOW_STOPS, HIGH_STOPS = 0.08, 0.2
 MANY_LINKS = 0.4
+#: The article's elements are believed if they hold this share of the good text at least.
+ARTICLE_SHARE = 0.5
 
 _TOKEN = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|option|title|canvas|video|audio|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
@@ -195,26 +199,38 @@ def judge(blocks: list[Block]) -> None:
             b.good = True
         elif stops < LOW_STOPS and not b.inside:
             b.good = False
-    article = any(b.inside and not b.outside for b in blocks)
+    # The article's element is believed unless it holds little of what the first pass found good.
+    inside = sum(len(b.text) for b in blocks if b.good and b.inside)
+    found = sum(len(b.text) for b in blocks if b.good)
+    if any(b.inside and not b.outside for b in blocks) and inside >= ARTICLE_SHARE * found:
+        for b in blocks:
+            if not b.inside:
+                b.good = False
+        # What was put out of the article is no neighbour.
+        _settle([b for b in blocks if b.inside and not b.outside], True)
+    else:
+        _settle(blocks, False)
+
+
+def _settle(blocks: list[Block], prior: bool) -> None:
+    """The second pass: undecided blocks take the label of decided neighbours, ``prior`` if there are none or, in an article, if they differ at the same distance."""
     labels = [b.good for b in blocks]
+    decided = [i for i, x in enumerate(labels) if x is not None]
     for i, b in enumerate(blocks):
         if labels[i] is not None:
-            if article and not b.inside:
-                b.good = False
-            continue
-        if article:
-            # Neighbours in the article decide; what was put out of it isn't one of them.
-            b.good = b.inside
             continue
-        before = next((k for k in range(1, i + 1) if labels[i - k] is not None), None)
-        after = next((k for k in range(1, len(blocks) - i) if labels[i + k] is not None), None)
-        sides = [(k, labels[j]) for k, j in ((before, i - (before or 0)), (after, i + (after or 0))) if k]
-        if b.heading and after:  # a heading goes with what it stands over
-            b.good = bool(labels[i + after])
-        elif len(sides) == 2 and sides[0][1] != sides[1][1]:
-            b.good = bool(sides[0][1]) if sides[0][0] <= sides[1][0] else bool(sides[1][1])
+        k = bisect(decided, i)
+        before, after = decided[k - 1] if k else None, decided[k] if k < len(decided) else None
+        if before is None and after is None:
+            b.good = prior
+        elif after is None or before is None:
+            b.good = bool(labels[before if after is None else after])
+        elif b.heading:  # a heading goes with what it stands over
+            b.good = bool(labels[after])
+        elif i - before == after - i:
+            b.good = bool(labels[before]) or prior and bool(labels[after])
         else:
-            b.good = bool(sides and sides[0][1])
+            b.good = bool(labels[before if i - before < after - i else after])
 
 
 def main_text(page: str | None) -> str:

@@ -117,6 +117,16 @@ def test_html_without_article():
     assert html_extract.main_text("<article>" + "<b>x</b> " * 20_000) == " ".join(["x"] * 20_000)
 
 
+def test_html_article_is_a_prior():
+    text = "The main text is in a plain part of the page and it has all of the words that there are to read. " * 3
+    teaser = "<article><h3>More</h3><p>This is a card of the site and it has a few words for you to read.</p></article>"
+    assert html_extract.main_text(f"<div><p>{text}</p><p>{text}</p></div>{teaser}").split("\n\n")[:2] == [text.strip()] * 2
+    link = "<p><a href='/x'>The other pages of this site that you may want to see</a></p>"
+    page = f"<p>{text}</p>outside<article><p>{text}</p><p>Short.</p><p>{text}</p>{link}<p>Go on</p>{link}</article>"
+    assert html_extract.main_text(page).split("\n\n") == [text.strip(), "Short.", text.strip()]
+    assert html_extract.main_text("<p>out</p><article><p>12 34</p><p>56 78</p></article>") == "12 34\n\n56 78"
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_extract.extract(df).collect()
