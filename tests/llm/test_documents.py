@@ -63,30 +63,98 @@ def test_components(spark):
     assert shared.components(spark.createDataFrame([(1, 1), (None, 2)], "a long, b long")).count() == 0
 
 
-def brute_fingerprint(text):
+def brute_fingerprint(text, size=4, bits=64):
     words = (text or "").encode().lower().split()
-    grams = [b" ".join(words[i : i + 4]) for i in range(len(words) - 3)] or ([b" ".join(words)] if words else [])
-    hashes = [xxhash.xxh64_intdigest(g, seed=42) for g in grams]
-    return sum(1 << b for b in range(64) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+    grams = [b" ".join(words[i : i + size]) for i in range(len(words) - size + 1)] or ([b" ".join(words)] if words else [])
+    digest = xxhash.xxh64_intdigest if bits == 64 else xxhash.xxh3_128_intdigest
+    hashes = [digest(g, seed=42) for g in grams]
+    return sum(1 << b for b in range(bits) if sum(h >> b & 1 for h in hashes) * 2 > len(hashes))
+
+
+def brute_anchors(fp, scheme):
+    """The anchors of a fingerprint: code words of each part (those with the exclusive-or of their set places among the first 2^r - 1 zero) within two bits."""
+    out = set()
+    for number, spans in enumerate(scheme.parts):
+        part = width = 0
+        for word, first, bits in spans:
+            part |= (fp >> 64 * word + first & (1 << bits) - 1) << width
+            width += bits
+        length = max(n for n in (1, 3, 7, 15, 31) if n <= width)
+        for flips in [(), *((i,) for i in range(width)), *((i, j) for i in range(width) for j in range(i))]:
+            word = part
+            for i in flips:
+                word ^= 1 << i
+            check = 0
+            for i in range(length):
+                check ^= i + 1 if word >> i & 1 else 0
+            if not check:
+                out.add((number, word))
+    return out
+
+
+def brute_links(fps, scheme):
+    """Pairs of places in ``fps`` that link under ``scheme``; exact schemes link by distance alone."""
+    exact = scheme.max_bits <= 3 * len(scheme.parts) - 1
+    reach = [set() if exact else brute_anchors(f, scheme) for f in fps]
+    return [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= scheme.max_bits and (exact or fps[i] == fps[j] or reach[i] & reach[j])]
+
 
+def nodes_of(spark, fps, scheme):
+    words = [tuple(int(np.array(f >> 64 * k & (1 << 64) - 1, np.uint64).view(np.int64)) for k in range(len(scheme.words))) for f in fps]
+    return spark.createDataFrame([(i, *w) for i, w in enumerate(words)], ["node", *scheme.words])
 
-def test_anchors_miss_no_link(spark):
-    rng = random.Random(1)
+
+def near_copies(rng, bits, centres, each, flips):
     fps = set()
-    for _ in range(150):
-        x = rng.getrandbits(64)
+    for _ in range(centres):
+        x = rng.getrandbits(bits)
         fps.add(x)
-        for _ in range(6):
+        for _ in range(each):
             y = x
-            for _ in range(rng.randrange(7)):
-                y ^= 1 << rng.randrange(64)
+            for _ in range(rng.randrange(flips)):
+                y ^= 1 << rng.randrange(bits)
             fps.add(y)
-    signed = [int(np.array(x, np.uint64).view(np.int64)) for x in fps]
-    got = {frozenset((r.a, r.b)) for r in simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long")).collect()}
-    arr = np.array(signed, np.int64).view(np.uint64)
-    near = np.bitwise_count(arr[:, None] ^ arr[None, :]) <= 4
-    want = {frozenset((signed[i], signed[j])) for i, j in zip(*np.nonzero(near), strict=True) if i != j}
-    assert got == want and len(want) > 300
+    return sorted(fps)
+
+
+@pytest.mark.parametrize("scheme", [simhash.EXACT, simhash.SIMILAR])
+@pytest.mark.parametrize("cell", [simhash.CELL, 3])
+def test_anchors_miss_no_link(spark, scheme, cell):
+    fps = near_copies(random.Random(1), scheme.bits, 60, 7, 7 if scheme is simhash.EXACT else 24)
+    links = brute_links(fps, scheme)
+    want = labels_of(len(fps), links)
+    got = {r.node: r.component for r in simhash.linked(nodes_of(spark, fps, scheme), scheme, cell).collect()}
+    assert [got.get(i, i) for i in range(len(fps))] == want and len(links) > 200
+
+
+def test_spanning_links():
+    rng = random.Random(5)
+    fps = near_copies(rng, 64, 40, 20, 8)
+    words = np.array(fps, np.uint64)[:, None]
+    got = list(simhash.spanning(words, 4))
+    assert labels_of(len(fps), got) == labels_of(len(fps), brute_links(fps, simhash.EXACT)) and len(got) < len(fps)
+
+
+def test_many_near_copies_of_one_text(spark):
+    """20,000 different near copies: what is written stays in proportion to the rows, and the groups are right."""
+    fps = near_copies(random.Random(9), 64, 1, 29_000, 9)
+    assert len(fps) > 20_000
+    rows = []
+
+    def seen(edges, *args, **kwargs):
+        rows.append(edges.count())
+        return components(edges, *args, **kwargs)
+
+    components = simhash.components
+    simhash.components = seen
+    try:
+        got = {r.node: r.component for r in simhash.linked(nodes_of(spark, fps, simhash.EXACT)).collect()}
+    finally:
+        simhash.components = components
+    arr = np.array(fps, np.uint64)[:, None]
+    want = labels_of(len(fps), simhash.spanning(arr, 4))
+    assert [got.get(i, i) for i in range(len(fps))] == want
+    assert max(rows) < 33 * len(fps)
 
 
 def test_simhash(spark, docs, none):

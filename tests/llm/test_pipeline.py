@@ -2,11 +2,11 @@
 
 import numpy as np
 import pytest
-from test_documents import brute_fingerprint, brute_hits, brute_lines, labels_of
+from test_documents import brute_fingerprint, brute_hits, brute_lines, brute_links, labels_of
 
 import __spark_entry__
 import corpus_pipeline
-from corpusloom.llm import packing, quality
+from corpusloom.llm import packing, quality, simhash
 from corpusloom.llm.queries import QUERIES, tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -36,8 +36,8 @@ def test_pipeline_against_brute_force(spark):
     kept = [(r.doc_id, r.text) for r in docs.collect() if model.tails(np.array([score(r.text)]))[0, 1] >= 0.5]
     assert 0.5 * docs.count() < len(kept) < docs.count()
     kept = sorted((k, t) for k, (t, _) in brute_lines(kept).items())
-    fps = [brute_fingerprint(t) for _, t in kept]
-    group = labels_of(len(kept), [(i, j) for i in range(len(kept)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 4])
+    fps = [brute_fingerprint(t, 5, 128) for _, t in kept]
+    group = labels_of(len(kept), brute_links(fps, simhash.SIMILAR))
     kept = [r for i, r in enumerate(kept) if group[i] == i]
     items = [(r.item_id, r.text) for r in bench.collect()]
     kept = {k: t for k, t in kept if not brute_hits(t, items)}
