@@ -1,14 +1,17 @@
-"""Benchmark decontamination: exact pieces by pigeonhole, then exact edit verification.
+"""Benchmark decontamination: CGK embedding, bit-sampling LSH over windows, exact edit verification.
 
 A document holds an item if some stretch of its words is within 20 % of the item's
 words by edit distance (words inserted, deleted or replaced), that is at a
-similarity of 0.8 or more. Words are runs of letters, digits and underscores in lower case.
-
-An item with k edits allowed is cut into k + 1 pieces of two to five words. Each edit touches one
-piece at most, so a stretch within k edits holds some piece unchanged, at most k
-words from its place in the item. Documents are looked at from every word, so each such
-stretch is a candidate, whatever the item's length. Candidates of an item that
-overlap are one span, and every span is verified by the item's exact distance. No pair within the limit is missed.
+similarity of 0.8 or more. Words are runs of letters, digits and underscores in lower case; in scripts
+that put no space between words each character is one.
+
+The CGK embedding walks a text with shared random bits: at each step it writes the word under the pointer, and a
+random bit of (step, word) decides if the pointer moves on. Two windows at a small edit distance fall back into step, so
+their walks agree in most places, and places sampled from a walk are locality-sensitive for edit distance. ``KINDS`` gives, by length of
+item, how many walks of how many steps are drawn, and the bands of places sampled from each. Items are indexed at every offset, as far as a walk stays
+within the item and its sample reads enough different places; documents are looked at from every word. Many short windows
+of an item, not one as long as it, make recall independent of its length (README has figures). A verbatim copy is always found.
+Candidates of an item that overlap are one span; every span is verified by the item's exact distance to a stretch of it.
 """
 
 from __future__ import annotations
@@ -16,26 +19,51 @@ from __future__ import annotations
 import re
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import pairwise, repeat
+from dataclasses import dataclass
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-#: Items of fewer words are no evidence and never match.
-MIN_WORDS = 5
-#: The benchmark is taken in blocks of about so many words: the bound of what a worker holds.
-BLOCK_WORDS = 100_000
-#: Documents that a worker holds at a time, words looked up at a time, and bits of the table that most words fail.
-_ROWS, _LOOK, _BITS = 512, 1 << 18, 20
-_WORD = re.compile(r"\w+")
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
+#: The benchmark is taken in blocks of about so many characters: the bound of what a worker holds.
+BLOCK_CHARS = 600_000
+#: Documents, and characters of their texts, that a worker looks at in one go; words looked up at a time.
+_ROWS, _CHARS, _LOOK = 512, 4 << 20, 1 << 16
+_PLAIN = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
+_UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
+_WORD = re.compile(rf"[{_UNSPACED}]|[^\W{_UNSPACED}]+")
+
+
+@dataclass(frozen=True)
+class Kind:
+    """How items of ``least`` words or more (up to the next kind) are sampled: walks of ``steps`` steps, each with ``bands`` samples of ``places`` steps that read ``read`` words at least."""
+
+    least: int
+    steps: int
+    walks: int
+    bands: int
+    places: int
+    read: int
+
+    def samples(self, walk: int) -> list[list[int]]:
+        rng = np.random.default_rng([self.least, walk])
+        return [sorted(rng.choice(self.steps, self.places, replace=False).tolist()) for _ in range(self.bands)]
+
+
+#: The first is for items below five words, which may hold no edit, and for others that no walk is good for: their longest word.
+WORD_KIND = Kind(1, 1, 1, 1, 1, 1)
+KINDS = (Kind(5, 4, 4, 3, 3, 2), Kind(10, 10, 4, 2, 4, 3), Kind(15, 10, 4, 2, 5, 4))
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall((text or "").lower())
+    text = (text or "").lower()
+    return (_PLAIN if text.isascii() else _WORD).findall(text)
 
 
 def edits_allowed(n: int) -> int:
@@ -43,13 +71,6 @@ def edits_allowed(n: int) -> int:
     return n // 5
 
 
-def pieces_of(n: int) -> list[tuple[int, int]]:
-    """(offset, words) of the pieces of an item of ``n`` words: one more than edits are allowed."""
-    parts = edits_allowed(n) + 1
-    cuts = [i * n // parts for i in range(parts + 1)]
-    return [(a, b - a) for a, b in pairwise(cuts)]
-
-
 class Pattern:
     """An item for bit-parallel approximate search (Myers) in a sequence of word numbers."""
 
@@ -77,60 +98,114 @@ class Pattern:
         return best, end
 
 
-def piece_keys(ids: np.ndarray, longest: int) -> Iterator[tuple[int, np.ndarray]]:
-    """(L, keys): for L from 1 to ``longest``, a key of the L words from each place on where so many stand."""
+def _mixed(x: np.ndarray) -> np.ndarray:
+    """Hashes of 64-bit numbers."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
+class Walks:
+    """The walks of a kind over word numbers below ``size``."""
+
+    def __init__(self, kind: Kind, size: int) -> None:
+        self.kind = kind
+        numbers = np.arange(size, dtype=np.uint64)
+        self.spread = _mixed((numbers + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15))
+        self.bits = [_mixed(self.spread + np.uint64(kind.least << 16 | walk + 1)) for walk in range(kind.walks)]
+        self.plans = [kind.samples(walk) for walk in range(kind.walks)]
+
+    def bands(self, ids: np.ndarray, many: int, trace: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None]]:
+        """For each walk and band the keys of the walks from the first ``many`` places; with ``trace`` the last place read and how many were, too.
+
+        ids must have a place for each step after the last start.
+        """
+        spread = self.spread[ids]
+        for walk, plan in enumerate(self.plans):
+            bits = self.bits[walk][ids]
+            at = np.arange(many)
+            keys = [np.full(many, _mixed(np.array([walk << 8 | b + 1], np.uint64))[0]) for b in range(len(plan))]
+            last = [np.full(many, -1) for _ in plan]
+            read = [np.zeros(many, np.int64) for _ in plan]
+            for step in range(max(p[-1] for p in plan) + 1):
+                word = None
+                for b, places in enumerate(plan):
+                    if step in places:
+                        word = spread[at] if word is None else word
+                        keys[b] = _stirred(keys[b], word)
+                        if trace:
+                            read[b] += at != last[b]
+                            last[b] = at.copy()
+                at += (bits[at] >> np.uint64(step) & np.uint64(1)).view(np.int64)
+            for b in range(len(plan)):
+                yield (keys[b], last[b], read[b]) if trace else (keys[b], None, None)
+
+
+def _stirred(keys: np.ndarray, word: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        spread = (ids + np.uint64(1)) * _PRIME
-        spread ^= spread >> np.uint64(29)
-        keys = spread
-        for size in range(1, min(longest, len(ids)) + 1):
-            if size > 1:
-                keys = (keys[:-1] ^ spread[size - 1 :]) * _PRIME
-                keys ^= keys >> np.uint64(31)
-            yield size, keys
+        keys = (keys ^ word) * np.uint64(0x9E3779B97F4A7C15)
+    keys ^= keys >> np.uint64(29)
+    return keys
+
+
+class Table:
+    """The keys of a kind's items, in order, with item and offset, and which first bits keys have."""
+
+    def __init__(self, kind: Kind, size: int, items: list[tuple[int, np.ndarray, np.ndarray]]) -> None:
+        """items: (number, word numbers, offsets that may be indexed)."""
+        self.walks = Walks(kind, size)
+        keys, owner, offset = [], [], []
+        for number, ids, offsets in items:
+            padded = np.concatenate([ids, np.zeros(kind.steps, np.int64)])
+            for key, last, read in self.walks.bands(padded, len(ids), trace=True):
+                good = offsets[(last[offsets] < len(ids)) & (read[offsets] >= kind.read)]
+                keys.append(key[good])
+                owner.append(np.full(len(good), number))
+                offset.append(good)
+        flat = np.concatenate([np.empty(0, np.uint64), *keys])
+        order = np.argsort(flat, kind="stable")
+        self.keys = flat[order]
+        self.owner, self.offset = (np.concatenate([np.empty(0, np.int64), *x])[order] for x in (owner, offset))
+        self.shift = np.uint64(64 - min(24, max(16, len(flat).bit_length() + 5)))
+        self.seen = np.zeros(1 << 64 - int(self.shift), np.bool_)
+        self.seen[self.keys >> self.shift] = True
+
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place in ``ids``, offset in the item) of what meets; ids end with a place for each step."""
+        steps = self.walks.kind.steps
+        for at in range(0, len(ids) - steps, _LOOK):
+            part = ids[at : at + _LOOK + steps]
+            for keys, _, _ in self.walks.bands(part, len(part) - steps):
+                starts = np.flatnonzero(self.seen[keys >> self.shift])
+                lo, hi = np.searchsorted(self.keys, keys[starts], "left"), np.searchsorted(self.keys, keys[starts], "right")
+                many = hi - lo
+                k = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+                yield self.owner[k], np.repeat(starts + at, many), self.offset[k]
 
 
 class Index:
-    """Items of one block, with their pieces by key. Small enough to go to every worker."""
+    """Items of one block, with their keys. Small enough to go to every worker."""
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
         self.items: list[tuple[int, list[int]]] = []
+        spelt = []
         for item_id, text in items:
-            words = words_of(text)
-            if len(words) >= MIN_WORDS:
+            if words := words_of(text):
                 self.items.append((item_id, [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words]))
-        rows: dict[int, list[tuple[int, int, int]]] = defaultdict(list)
-        for i, (_, words) in enumerate(self.items):
-            pieces = pieces_of(len(words))
-            keys = dict(piece_keys(np.array(words, np.uint64), max(size for _, size in pieces)))
-            for offset, size in pieces:
-                rows[size].append((int(keys[size][offset]), i, offset))
-        #: By words of a piece: keys in order with item and offset, and which first bits keys have.
-        self.tables = {}
-        for size, own in rows.items():
-            own.sort()
-            keys = np.array([r[0] for r in own], np.uint64)
-            seen = np.zeros(1 << _BITS, np.bool_)
-            seen[keys >> np.uint64(64 - _BITS)] = True
-            self.tables[size] = (keys, np.array([r[1] for r in own]), np.array([r[2] for r in own]), seen)
-
-    def _candidates(self, ids: np.ndarray) -> list[np.ndarray]:
-        """(item, place in ``ids``, offset in the item) for each piece met in ``ids``."""
-        found = [(np.empty(0, np.int64),) * 3]
-        longest = max(self.tables, default=0)
-        for at in range(0, len(ids), _LOOK):
-            for size, mine in piece_keys(ids[at : at + _LOOK + longest - 1], longest):
-                if size not in self.tables:
-                    continue
-                keys, owner, offset, seen = self.tables[size]
-                mine = mine[:_LOOK]
-                starts = np.nonzero(seen[mine >> np.uint64(64 - _BITS)])[0]
-                lo, hi = np.searchsorted(keys, mine[starts], "left"), np.searchsorted(keys, mine[starts], "right")
-                many = hi - lo
-                k = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
-                found.append((owner[k], np.repeat(starts + at, many), offset[k]))
-        return [np.concatenate(x) for x in zip(*found, strict=True)]
+                spelt.append(words)
+        size = len(self.vocabulary) + 1
+        left = set(range(len(self.items)))
+        self.tables = []
+        for kind, above in zip(KINDS, (*KINDS[1:], None), strict=True):
+            own = [(i, np.array(w), np.arange(len(w))) for i, (_, w) in enumerate(self.items) if kind.least <= len(w) and (above is None or len(w) < above.least)]
+            if own:
+                self.tables.append(Table(kind, size, own))
+                left -= set(self.tables[-1].owner.tolist())
+        if left:
+            longest = [(i, max(range(len(spelt[i])), key=lambda k: len(spelt[i][k]))) for i in sorted(left)]  # noqa: B023
+            self.tables.append(Table(WORD_KIND, size, [(i, np.array(self.items[i][1]), np.array([k])) for i, k in longest]))
 
     def hits(self, texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
         """For each text (item_id, distance, words of the item, first word of the stretch), by item."""
@@ -138,10 +213,12 @@ class Index:
         for text in texts:
             words = words_of(text)
             numbers.append(np.fromiter(map(get, words, repeat(0)), np.int64, len(words)))
-        # A spare place follows each text, so no piece reaches over its end.
+        # A spare place follows each text; a walk that goes on into the next is only a candidate.
         bases = np.concatenate([[0], np.cumsum([len(x) + 1 for x in numbers])])
-        ids = np.concatenate([y for x in numbers for y in (x, [0])] or [[]]).astype(np.uint64)
-        items, starts, offsets = self._candidates(ids)
+        spare = max((t.walks.kind.steps for t in self.tables), default=0)
+        ids = np.concatenate([*(y for x in numbers for y in (x, [0])), np.zeros(spare, np.int64)]).astype(np.int64)
+        found = [c for t in self.tables for c in t.candidates(ids[: len(ids) - spare + t.walks.kind.steps])]
+        items, starts, offsets = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
         docs = np.searchsorted(bases, starts, "right") - 1
         lengths = np.array([len(words) for _, words in self.items], np.int64)[items]
         slacks = edits_allowed(lengths)
@@ -165,56 +242,82 @@ class Index:
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
-    """The benchmark in blocks of about BLOCK_WORDS words, each fetched on its own. Rows with a null id or text have no part."""
+    """The benchmark in blocks of about BLOCK_CHARS characters, each fetched on its own. Rows with a null id or text have no part."""
     rows = benchmark.select(F.col(id_col).cast("long").alias("i"), F.col(text_col).cast("string").alias("t")).where("i is not null and t is not null")
-    total = rows.agg(F.sum(F.size(F.split("t", r"\s+")))).first()[0] or 0
-    blocks = -(-int(total) // BLOCK_WORDS)
+    total = rows.agg(F.sum(F.length("t") + 1)).first()[0] or 0
+    blocks = -(-int(total) // BLOCK_CHARS)
     for block in range(blocks):
         part = rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).orderBy("i", "t")
         yield Index([(r.i, r.t) for r in part.collect()])
 
 
+def _found(docs: DataFrame, benchmark: DataFrame) -> list[Broadcast]:
+    """The benchmark's blocks, each shared with the workers; the driver holds one at a time."""
+    return [docs.sparkSession.sparkContext.broadcast(index) for index in indexes(benchmark)]
+
+
+def _all_hits(blocks: list[Broadcast], texts: list[str | None]) -> list[list[tuple[int, int, int, int]]]:
+    """The hits of all blocks. Of several a worker holds one at a time."""
+    out: list[list[tuple[int, int, int, int]]] = [[] for _ in texts]
+    for block in blocks:
+        for own, more in zip(out, block.value.hits(texts), strict=True):
+            own += more
+        if len(blocks) > 1:
+            block.__dict__.pop("_value", None)  # what value keeps; the file stays
+    return out
+
+
+def _portions(batches: Iterator[pa.RecordBatch], at_col: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut so that none has more than _ROWS rows, or _CHARS bytes of text in more than one row."""
+    for batch in batches:
+        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at_col).cast(pa.string())), 0).to_pylist()
+        begin = held = 0
+        for i, size in enumerate(sizes):
+            if i > begin and (held + size > _CHARS or i - begin >= _ROWS):
+                yield batch.slice(begin, i - begin)
+                begin, held = i, 0
+            held += size
+        if batch.num_rows > begin:
+            yield batch.slice(begin)
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, item_id, distance, similarity, first_word): a row for each document and item that it holds.
 
-    distance: the least edit distance (words) of the item to a stretch of the document;
-    first_word: about where. Null and empty texts, and items of fewer than five
-    words, match nothing; equal items match side by side; repeated documents
+    distance: the least edit distance (words) of the item to a stretch of the document among the places that were
+    candidates; first_word: about where. Null and empty texts match nothing, nor do items without a word; items of fewer than five
+    words match only where they stand word for word; equal items match side by side; repeated documents
     each have their rows; items with the same id keep a row each. Empty tables give no rows.
-    Columns other than id and text aren't read. No shuffle: a worker holds one block of the benchmark.
+    Columns other than id and text aren't read. One pass without shuffle, however large the benchmark: a worker holds one block of it.
     """
     schema = f"{id_col} long, item_id long, distance long, similarity double, first_word long"
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t"))
-    out = docs.sparkSession.createDataFrame([], schema)
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                for at in range(0, batch.num_rows, _ROWS):
-                    part = batch.slice(at, _ROWS)
-                    hits = shared.value.hits(part.column(1).to_pylist())
-                    flat = [(i, item, d, 1 - d / n, first) for i, own in zip(part.column(0).to_pylist(), hits, strict=True) for item, d, n, first in own]
-                    if flat:
-                        types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
-                        columns = [pa.array(c, t) for c, t in zip(zip(*flat, strict=True), types, strict=True)]
-                        yield pa.record_batch(columns, names=[id_col, "item_id", "distance", "similarity", "first_word"])
-
-        out = out.unionByName(rows.mapInArrow(work, schema))
-    return out
+    blocks = _found(docs, benchmark)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _portions(batches, 1):
+            hits = _all_hits(blocks, part.column(1).to_pylist())
+            flat = [(i, item, d, 1 - d / n, first) for i, own in zip(part.column(0).to_pylist(), hits, strict=True) for item, d, n, first in own]
+            if flat:
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.int64()]
+                columns = [pa.array(c, t) for c, t in zip(zip(*flat, strict=True), types, strict=True)]
+                yield pa.record_batch(columns, names=[id_col, "item_id", "distance", "similarity", "first_word"])
+
+    return rows.mapInArrow(work, schema)
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that hold no item of the benchmark, with all columns. No shuffle."""
-    for index in indexes(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(index)
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                texts = batch.column(batch.schema.get_field_index(text_col))
-                for at in range(0, batch.num_rows, _ROWS):
-                    hits = shared.value.hits(texts.slice(at, _ROWS).to_pylist())
-                    yield batch.slice(at, _ROWS).filter(pa.array([not h for h in hits]))
-
-        docs = docs.mapInArrow(work, docs.schema)
-    return docs
+    """The rows of ``docs`` that hold no item of the benchmark, with all columns. One pass without shuffle.
+
+    Rows with a null or empty text stay, as do all rows if the benchmark is empty; repeated rows stay or go
+    together; an empty table gives no rows. Only the text decides, so other columns may have any names.
+    """
+    blocks = _found(docs, benchmark)
+    at_col = docs.columns.index(text_col)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in _portions(batches, at_col):
+            hits = _all_hits(blocks, part.column(at_col).cast(pa.string()).to_pylist())
+            yield part.filter(pa.array([not h for h in hits]))
+
+    return docs.mapInArrow(work, docs.schema)

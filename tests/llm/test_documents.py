@@ -344,7 +344,7 @@ def brute_hits(text, items):
                 new.append(min(row[i] + 1, new[-1] + 1, row[i - 1] + (x != w)))
             row = new
             best = min(best, row[-1])
-        if len(want) >= 5 and best <= len(want) // 5:
+        if want and best <= len(want) // 5:
             out[item] = best
     return out
 
@@ -377,24 +377,36 @@ def test_decontamination_finds_planted_edits(spark):
     assert decontam.keep_clean(df, bench.where("false")).count() == len(rows)
 
 
-@pytest.mark.parametrize("n", [5, 13, 29, 59, 80, 119, 200, 240])
-def test_decontamination_misses_no_copy_at_the_limit(n):
+@pytest.mark.parametrize("n", [5, 7, 9, 10, 14, 15, 29, 59, 80, 119, 200, 240])
+def test_decontamination_recall_at_the_limit(n):
     rng = random.Random(n)
-    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i in range(30)]
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(n))) for i in range(60)]
     texts = []
-    for _, sample in items:
+    for k, (_, sample) in enumerate(items):
         part = sample.split()
-        for i in sorted(rng.sample(range(n), n // 5), reverse=True):
+        edits = n // 5
+        places = sorted(rng.sample(range(n), edits)) if k % 2 else [(2 * i + 1) * n // (2 * edits) for i in range(edits)]
+        for i in reversed(places):
             part[i : i + 1] = rng.choice([[], ["zz"], [part[i], "yy"]])
         around = [f"w{rng.randrange(5000)}" for _ in range(60)]
         texts.append(" ".join([*around[: rng.randrange(40)], *part, *around[40:]]))
     got = decontam.Index(items).hits(texts)
+    want = [brute_hits(t, items) for t in texts]
+    assert all({i: d for i, d, _, _ in own}.items() <= all_.items() for own, all_ in zip(got, want, strict=True))
+    assert sum(i in {x[0] for x in own} for i, own in enumerate(got)) >= 0.95 * len(items)
+
+
+def test_decontamination_of_short_and_unspaced_items():
+    words = "one two three four five six seven eight nine ten".split()
+    items = [(n, " ".join(words[:n])) for n in range(1, 5)] + [(7, "same same same same"), (8, "\u4eca\u5929\u5929\u6c14\u5f88\u597d\u6211\u4eec\u53bb\u516c\u56ed"), (9, "...")]
+    texts = ["zero one", "ONE, two!", "one three", "x one two three four y", "same same same", "a same same same same b", "\u4ed6\u8bf4\u4eca\u5929\u5929\u6c14\u4e0d\u597d\u6211\u4eec\u53bb\u516c\u56ed\u3002", "", None]
+    got = decontam.Index(items).hits(texts)
     assert [{i: d for i, d, _, _ in own} for own in got] == [brute_hits(t, items) for t in texts]
-    assert all(i in {x[0] for x in own} for i, own in enumerate(got))
+    assert [sorted(x[0] for x in own) for own in got] == [[1], [1, 2], [1], [1, 2, 3, 4], [], [7], [8], [], []]
 
 
 def test_decontamination_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(decontam, "BLOCK_WORDS", 200)
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 1200)
     bench, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
     assert len(list(decontam.indexes(bench))) > 3
     got = {(r.doc_id, r.item_id) for r in decontam.contaminated(docs, bench).collect()}
