@@ -12,6 +12,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from bisect import bisect
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,14 +33,16 @@ MANY_LINKS = 0.4
 #: The article's elements are believed if they hold this share of the good text at least.
 ARTICLE_SHARE = 0.5
 
+#: Attributes end at ">" or "<" outside quotes, so broken markup is never scanned twice.
+_ATTRIBUTES = r"""(?:[^<>"']|"[^"]*"|'[^']*')*+"""
 _TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|textarea|select|option|title|canvas|video|audio|math)\b[^>]*>.*?(?:</\1\s*>|\Z)"""
-    r"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<[!?][^>]*>""",
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|iframe|textarea|select|option|title)\b{_ATTRIBUTES}>.*?(?:</\1\s*>|\Z)"""
+    rf"""|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)({_ATTRIBUTES})>|<[!?][^<>]*+>""",
     re.S | re.I,
 )
-_ATTRIBUTE = re.compile(r"""(class|id|role|hidden|style|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+_ATTRIBUTE = re.compile(r"""(?<![\w-])(?:class|id|role)\s*+=\s*+("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _SPACE = re.compile(r"\s+")
-_BREAKS = re.compile(r"(?:<br\b[^>]*>\s*){2,}", re.I)
+_BREAKS = re.compile(r"(?:<br\b[^<>]*+>\s*+){2,}", re.I)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
     """address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header
@@ -47,16 +50,20 @@ BLOCKS = frozenset(
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu button label fieldset head".split())
-#: Words in a class, id or role that tell a block apart from the article.
+#: Names (class, id or role) that tell a block apart from the article, alone or put together with each other and PLACE_NAMES.
 OUTSIDE_NAMES = frozenset(
     """ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner sidebar sidebars nav navbar navigation menu menus breadcrumb
     breadcrumbs cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe signup login share sharing social related
     recommended comment comments disqus reply replies respond footer masthead pagination pager widget toolbar copyright disclaimer complementary
     contentinfo search dialog siteheader topbar""".split()
 )
-#: What a new block of these kinds closes, up to the nearest holder.
-_CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_HOLDERS = frozenset("article aside body div dl footer form header html main nav ol section table td th ul blockquote fieldset details".split())
+#: Words that only say where or what kind of box a name is for.
+PLACE_NAMES = frozenset(
+    """area bar block body bottom box button card center col column container content footer group header home inner item items left lg link links list main md
+    middle mobile module outer page panel primary right row secondary section site slot sm text title top unit user wrap wrapper""".split()
+)
+#: What a new block of these kinds closes, if it stands in one.
+_CLOSES = {"li": {"p", "li"}, "dt": {"p", "dt", "dd"}, "dd": {"p", "dt", "dd"}, "tr": {"p", "tr", "td", "th"}, "td": {"p", "td", "th"}, "th": {"p", "td", "th"}}
 _ROWS = 128
 
 
@@ -75,47 +82,74 @@ class _Open:
     tag: str
     inside: bool
     outside: bool
-    hidden: bool
     heading: bool
     header: bool
     link: bool
 
 
+def _outside_name(name: str) -> bool:
+    """Whether a class name, id or role is one of OUTSIDE_NAMES, or made of them and words for places only: "cookie-banner", not "notice-board"."""
+    parts = [x for x in re.split(r"[^a-z]+", name) if x]
+    return re.sub("[-_]", "", name) in OUTSIDE_NAMES or any(x in OUTSIDE_NAMES for x in parts) and all(x in OUTSIDE_NAMES or x in PLACE_NAMES for x in parts)
+
+
 def _traits(tag: str, attributes: str, over: _Open) -> _Open:
-    names: set[str] = set()
-    hidden = False
-    if attributes and ("=" in attributes or "hidden" in attributes.lower()):
-        for key, value in _ATTRIBUTE.findall(attributes):
-            key, value = key.lower(), value.strip("\"'").lower()
-            if key in ("class", "id", "role"):
-                # "has-sidebar" tells of a page's parts, not of this one.
-                for name in value.split():
-                    if not name.startswith(("has-", "with-", "no-")):
-                        names.update((*re.split(r"[^a-z]+", name), re.sub("[-_]", "", name)))
-            elif key == "hidden" and value in ("", "hidden", "true"):
-                hidden = True
-            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                hidden = True
-            elif key == "aria-hidden" and value == "true":
-                hidden = True
-    article = tag in ("article", "main") or "main" in names and "menu" not in names
-    outside = tag in OUTSIDE or (bool(names & OUTSIDE_NAMES) and tag not in ("html", "body", "main"))
-    header = tag == "header" or "header" in names and tag not in HEADINGS and "article" not in names
+    names: list[str] = []
+    if "=" in attributes:
+        for value in _ATTRIBUTE.findall(attributes):
+            names += value.strip("\"'").lower().split()
+    article = tag in ("article", "main") or "main" in names
+    outside = tag in OUTSIDE or (tag not in ("html", "body", "main") and any(map(_outside_name, names)))
+    header = tag == "header" or tag not in HEADINGS and any(x in ("header", "site-header", "page-header") for x in names)
     return _Open(
         tag,
         over.inside or article,
         over.outside or outside or header and not over.inside,
-        over.hidden or hidden,
         over.heading or tag in HEADINGS,
         over.header or header,
         over.link or tag == "a",
     )
 
 
+class _Stack(list):
+    """Open elements. How many of a tag are open is known, so an end tag without a beginning costs nothing and others what they close."""
+
+    def __init__(self) -> None:
+        super().__init__([_Open("", False, False, False, False, False)])
+        self.blocks: list[_Open] = []
+        self.open_blocks: Counter[str] = Counter()
+        self.inline: list[Counter[str]] = [Counter()]  # by the block they stand in
+
+    def open(self, element: _Open) -> None:
+        self.append(element)
+        if element.tag in BLOCKS:
+            self.blocks.append(element)
+            self.open_blocks[element.tag] += 1
+            self.inline.append(Counter())
+        else:
+            self.inline[-1][element.tag] += 1
+
+    def has(self, tag: str) -> bool:
+        return (self.open_blocks if tag in BLOCKS else self.inline[-1])[tag] > 0
+
+    def close(self, tag: str) -> None:
+        """Close elements up to the last ``tag``, which is open."""
+        while True:
+            last = self.pop()
+            if last.tag in BLOCKS:
+                self.blocks.pop()
+                self.open_blocks[last.tag] -= 1
+                self.inline.pop()
+            else:
+                self.inline[-1][last.tag] -= 1
+            if last.tag == tag:
+                return
+
+
 def blocks_of(page: str) -> list[Block]:
     """The page's blocks of text in order, with white space as single spaces and character references decoded."""
     page = _BREAKS.sub("<p>", page)
-    stack = [_Open("", False, False, False, False, False, False)]
+    stack = _Stack()
     blocks: list[Block] = []
     parts: list[str] = []
     links, blank = 0, True
@@ -124,16 +158,16 @@ def blocks_of(page: str) -> list[Block]:
     def end() -> None:
         nonlocal links, blank
         text = _SPACE.sub(" ", "".join(parts)).strip()
-        if text and not holder.hidden:
+        if text:
             blocks.append(Block(text, links, holder.inside, holder.outside or holder.header and not holder.heading, holder.heading))
         parts.clear()
         links, blank = 0, True
 
     def add(raw: str) -> None:
         nonlocal links, holder, blank
-        top = stack[-1]
-        if not raw or top.hidden:
+        if not raw:
             return
+        top = stack[-1]
         text = html_lib.unescape(raw) if "&" in raw else raw
         if blank:
             holder = top
@@ -157,41 +191,31 @@ def blocks_of(page: str) -> list[Block]:
         if tag in BLOCKS:
             end()
         if m[2]:
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].tag == tag:
-                    if tag not in BLOCKS and stack[i].outside != stack[i - 1].outside:
-                        end()
-                    del stack[i:]
-                    break
-                if tag not in BLOCKS and stack[i].tag in BLOCKS:
-                    break
+            if stack.has(tag):
+                if tag not in BLOCKS and stack[-1].tag == tag and stack[-1].outside != stack[-2].outside:
+                    end()
+                stack.close(tag)
         elif tag not in VOID and not m[4].endswith("/"):
-            if tag in BLOCKS:
-                closes = _CLOSES.get(tag, set()) | {"p"}
-                for i in range(len(stack) - 1, 0, -1):
-                    if stack[i].tag in closes:
-                        del stack[i:]
-                        break
-                    if stack[i].tag in _HOLDERS:
-                        break
+            if tag in BLOCKS and stack.blocks and stack.blocks[-1].tag in _CLOSES.get(tag, {"p"}):
+                stack.close(stack.blocks[-1].tag)
             new = _traits(tag, m[4], stack[-1])
-            if tag not in BLOCKS and (new.outside != stack[-1].outside or new.hidden != stack[-1].hidden):
+            if tag not in BLOCKS and new.outside != stack[-1].outside:
                 end()
-            stack.append(new)
+            stack.open(new)
     add(page[at:])
     end()
     return blocks
 
 
 def judge(blocks: list[Block]) -> None:
-    """Both passes: sets ``good`` of every block."""
+    """Both passes: sets ``good`` of every block. Inside an article's element only place makes a block bad at once; links and few stop words leave it undecided."""
     for b in blocks:
         words = re.findall(r"\w+", b.text.lower())
         density = b.link_chars / max(len(b.text), 1)
         stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
-        if b.outside or density > MANY_LINKS and not (b.inside and b.heading):
+        if b.outside or density > MANY_LINKS and not b.inside:
             b.good = False
-        elif b.heading or len(b.text) < SHORT:
+        elif b.heading or len(b.text) < SHORT or density > MANY_LINKS:
             b.good = None
         elif stops >= HIGH_STOPS or b.inside and stops >= LOW_STOPS:
             b.good = True
@@ -246,6 +270,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
     Null and empty html give an empty text and 0; broken markup is read as far as it
     goes; repeated rows, null ids and null urls are kept row by row; an empty table gives no rows;
     other columns aren't read.
+    Text that a style or attribute hides is kept: it is the article's as well.
     """
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,6 +1,8 @@
 """WARC, HTML and embeddings against brute force."""
 
 import hashlib
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -123,10 +125,76 @@ def test_html_article_is_a_prior():
     assert html_extract.main_text(f"<div><p>{text}</p><p>{text}</p></div>{teaser}").split("\n\n")[:2] == [text.strip()] * 2
     link = "<p><a href='/x'>The other pages of this site that you may want to see</a></p>"
     page = f"<p>{text}</p>outside<article><p>{text}</p><p>Short.</p><p>{text}</p>{link}<p>Go on</p>{link}</article>"
-    assert html_extract.main_text(page).split("\n\n") == [text.strip(), "Short.", text.strip()]
+    linked = "The other pages of this site that you may want to see"
+    assert html_extract.main_text(page).split("\n\n") == [text.strip(), "Short.", text.strip(), linked, "Go on", linked]
     assert html_extract.main_text("<p>out</p><article><p>12 34</p><p>56 78</p></article>") == "12 34\n\n56 78"
 
 
+def test_html_article_stays_whole():
+    text = "The first of the paragraphs is here and it has a lot of the words that it needs to be one of them."
+    parts = {
+        f"<p>See <a href=x>{text}</a>.</p>": f"See {text}.",
+        f"<ul><li><a href=x>{text}</a></li></ul>": text,
+        "<table><tr><td><a href=x>Cell</a></td></tr></table>": "Cell",
+        "<p>Formula <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds for all of them</p>": "Formula x=1 holds for all of them",
+        f'<p class="search-for-truth">{text}</p>': text,
+        f'<p class="notice-board" hidden>{text}</p>': text,
+        f'<p style="display:none">{text}</p>': text,
+    }
+    for markup, want in parts.items():
+        assert html_extract.main_text(f"<article><p>{text}</p>{markup}<p>{text}</p></article>") == f"{text}\n\n{want}\n\n{text}"
+    for name in ("ad", "ad-slot-3", "cookie-banner", "site-nav", "comment-list", "sidebar-left", "share", "newsletter_box"):
+        assert html_extract.main_text(f'<article><p>{text}</p><div class="x {name}">{text}</div></article>') == text
+
+
+@pytest.mark.parametrize("unit", ["<a ", "<p>x</p>", "<script ", "<!--", "<!", "<br ", "<b>x", "<b><i>x</u>", "<center><p>x</p>", "</i>", "<p>a<h1>b", "<a '", '<a "', "<li><b>", "&amp", "<i><p><b></i>"])
+def test_html_takes_linear_time(unit):
+    html_extract.main_text(unit * 100)
+    began = time.process_time()
+    html_extract.main_text(unit * 40_000)
+    assert time.process_time() - began < 8
+
+
+class Reading(HTMLParser):
+    """The text of article elements, by block, without what is in an element of class ad."""
+
+    def __init__(self, page):
+        super().__init__()
+        self.inside, self.blocks = 0, [""]
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        if tag in ("p", "h1", "li", "div", "ul", "article"):
+            self.blocks.append("")
+        elif tag == "br":
+            self.handle_data(" ")
+
+    def handle_endtag(self, tag):
+        self.inside -= tag == "article"
+        if tag in ("p", "h1", "li", "div", "ul", "article"):
+            self.blocks.append("")
+
+    def handle_data(self, data):
+        if self.inside:
+            self.blocks[-1] += data
+
+
+def test_html_of_the_test_pages(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()
+    whole = found = wrong = 0
+    for r in rows:
+        want = "\n\n".join(filter(None, (" ".join(b.split()) for b in Reading(r.html).blocks)))
+        assert html_extract.main_text(r.html) == want
+        # Without the article's element the passes alone find nearly all of it.
+        plain = html_extract.main_text(r.html.replace("article>", "section>")).split("\n\n")
+        whole += len(want)
+        found += sum(len(b) for b in plain if b in want)
+        wrong += sum(len(b) for b in plain if b not in want)
+    assert found > 0.97 * whole and wrong < 0.01 * whole
+
+
 def test_html_table(spark):
     df = spark.createDataFrame([(1, "u", PAGE), (1, "u", PAGE), (None, None, None), (2, "v", "")], "page_id long, url string, html string").withColumn("text", F.lit("clash"))
     got = html_extract.extract(df).collect()
