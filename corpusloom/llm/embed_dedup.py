@@ -207,3 +207,18 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE, id_col: str = "v
     out = rows.join(about, F.col("fit") & (F.col("label") == F.col("l")) & (F.col("embedding") == F.col("e")), "left")
     component = F.coalesce("c", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), (F.col("id") == component).alias("kept"))
+
+
+#: The query's rows for DuckDB: every pair of a label, and components by following links.
+SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0),
+l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+r AS (SELECT a AS id, a AS low FROM l UNION SELECT l.b, r.low FROM r JOIN l ON l.a = r.id WHERE r.low < l.b),
+c AS (SELECT id, min(low) AS low FROM r GROUP BY id),
+n AS (SELECT a AS id, count(*) AS k FROM l GROUP BY a)
+SELECT e.vec_id, CAST(coalesce(n.k, 0) AS BIGINT) AS n_links, coalesce(c.low, e.vec_id) AS component_id, coalesce(c.low, e.vec_id) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.id = e.vec_id LEFT JOIN n ON n.id = e.vec_id
+"""

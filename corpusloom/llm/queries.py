@@ -87,4 +87,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_line_dedup": op10_line_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {"op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op10_line_dedup": line_dedup.SQL}

@@ -13,8 +13,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,6 +32,8 @@ DATE = "2024-01-01T00:00:00Z"
 #: Spans of more than one stretch up to which the list of them goes to every task; beyond, it is joined by shuffle.
 SMALL = 20_000
 BUCKET = 1 << 16
+#: More digits are longer than any file.
+_LENGTH = re.compile(r"0*([0-9]{1,17})")
 
 
 def roles(pages: DataFrame, id_col: str = "page_id", payload_col: str = "payload") -> DataFrame:
@@ -79,11 +83,17 @@ def _header(stretch: bytes) -> tuple[dict[str, str], int] | None:
         if not colon:
             return None
         fields[name.strip().decode("latin-1").lower()] = value.strip().decode("utf-8", "replace")
-    if "warc-type" not in fields or not fields.get("content-length", "").isdecimal():
+    if "warc-type" not in fields or _number(fields.get("content-length", "")) is None:
         return None
     return fields, end + len(END)
 
 
+def _number(digits: str) -> int | None:
+    """A length that a file can have: ASCII digits of less than 2^63 by far."""
+    found = _LENGTH.fullmatch(digits)
+    return int(found[1]) if found else None
+
+
 def _stretches(spark: SparkSession, path: str) -> DataFrame:
     lines = spark.read.option("lineSep", MAGIC.decode()).text(path)
     return lines.select(F.col("value").cast("binary").alias("value"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("split"))
@@ -101,59 +111,72 @@ def _walk(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, int, int, in
             seq, at = seq + 1, at + len(stretch) + len(MAGIC)
 
 
-def _chains(found: list[list[int]]) -> None:
-    """Of one split's candidates [place, successor]: append exit, and first and last visit of the forest whose parents are successors."""
-    by_place = {c[0]: i for i, c in enumerate(found)}
-    parent = [by_place.get(c[1], -1) for c in found]
-    children: dict[int, list[int]] = {}
-    for i, p in enumerate(parent):
-        children.setdefault(p, []).append(i)
-    clock = 0
-    for c in found:
-        c += [0, 0, 0]
-    for root in children.get(-1, []):
-        todo = [(root, False)]
-        while todo:
-            i, done = todo.pop()
-            if done:
-                found[i][4] = clock
-                continue
-            clock += 1
-            found[i][3] = clock
-            found[i][2] = found[root][1]
-            todo.append((i, True))
-            todo += [(c, False) for c in children.get(i, [])]
+def _chains(place: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of one split's candidates, in order of place, with their successors: where their chains leave the split, and first and last visit of the forest whose parents are successors.
+
+    A successor stands after its candidate, so one loop up and one down do.
+    """
+    n = len(place)
+    at = np.searchsorted(place, after)
+    known = at < n
+    known[known] = place[at[known]] == after[known]
+    parent = array("q", np.where(known, at, -1).tobytes())
+    size, enter, free, leaves = array("q", [1]) * n, array("q", bytes(8 * n)), array("q", bytes(8 * n)), array("q", after.astype(np.int64).tobytes())
+    for i in range(n):
+        if parent[i] >= 0:
+            size[parent[i]] += size[i]
+    clock = 1
+    for i in range(n - 1, -1, -1):
+        p = parent[i]
+        if p < 0:
+            enter[i] = clock
+            clock += size[i]
+        else:
+            enter[i] = free[p]
+            free[p] += size[i]
+            leaves[i] = leaves[p]
+        free[i] = enter[i] + 1
+    first = np.frombuffer(enter, np.int64)
+    return np.frombuffer(leaves, np.int64), first, first + np.frombuffer(size, np.int64) - 1
 
 
 def _candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of kind 0: a split's length; of kind 1: a candidate; of kind 2: a stretch that is more or less than a record's. Places are relative to the split."""
+    """Rows of kind 0: a split's length; of kind 1: a candidate; of kind 2: a stretch that is more or less than a record's. Places are relative to the split.
+
+    Of a split four numbers a stretch are held, and its chains' while they are made.
+    """
     names = ["kind", "file", "split", "seq", "place", "next", "exit", "enter", "leave", "whole"]
-    kinds = [pa.int32(), pa.string(), *[pa.int64()] * 7, pa.bool_()]
-
-    def flush(key: tuple[str, int], length: int, rows: list[list[int]]) -> Iterator[pa.RecordBatch]:
-        found = [[r[1], r[2]] for r in rows if r[2] >= 0]
-        _chains(found)
-        chains = iter(found)
-        out = [(0, *key, 0, length, 0, 0, 0, 0, False)]
-        for seq, place, successor, whole in rows:
-            c = next(chains) if successor >= 0 else [place, -1, -1, 0, 0]
-            out.append((1 if successor >= 0 else 2, *key, seq, c[0], c[1], c[2], c[3], c[4], bool(whole)))
-        for i in range(0, len(out), 8192):
-            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out[i : i + 8192], strict=True), kinds, strict=True)], names=names)
-
-    key, length, rows = None, 0, []
+
+    def flush(key: tuple[str, int], length: int, rows: list[array]) -> Iterator[pa.RecordBatch]:
+        seq, place, after, whole = (np.frombuffer(r, np.int64) if len(r) else np.empty(0, np.int64) for r in rows)
+        found = np.flatnonzero(after >= 0)
+        chains = [np.zeros(len(seq), np.int64) for _ in range(3)]
+        for out, values in zip(chains, _chains(place[found], after[found]), strict=True):
+            out[found] = values
+        columns = [np.where(after >= 0, 1, 2), seq, place, after, *chains, whole != 0]
+        columns = [np.concatenate([[first], c]) for first, c in zip((0, 0, length, 0, 0, 0, 0, False), columns, strict=True)]
+        for i in range(0, len(seq) + 1, 8192):
+            kind, *numbers, full = (c[i : i + 8192] for c in columns)
+            n = len(kind)
+            yield pa.record_batch([pa.array(kind.astype(np.int32)), pa.array([key[0]] * n), pa.array([key[1]] * n, pa.int64()), *map(pa.array, numbers), pa.array(full.astype(bool))], names=names)
+
+    key, length, rows = None, 0, [array("q") for _ in range(4)]
     for file, split, seq, at, stretch in _walk(batches):
         if (file, split) != key:
             if key:
                 yield from flush(key, length, rows)
-            key, rows = (file, split), []
+            key, rows = (file, split), [array("q") for _ in range(4)]
         length = at + len(stretch) + len(MAGIC)
         header = _header(stretch) if split or seq else None
         if header:
             size = header[1] + int(header[0]["content-length"]) + len(END)
-            rows.append([seq, at, at + size + len(MAGIC), size == len(stretch)])
+            row = (seq, at, at + size + len(MAGIC), size == len(stretch))
         elif split or seq or stretch:
-            rows.append([seq, at, -1, False])
+            row = (seq, at, -1, 0)
+        else:
+            continue
+        for column, value in zip(rows, row, strict=True):
+            column.append(value)
     if key:
         yield from flush(key, length, rows)
 
@@ -204,7 +227,7 @@ def _fields(stretch: bytes, header: tuple[dict[str, str], int]) -> tuple:
     """The columns _FIELDS of a record; a response's payload is what follows the HTTP header."""
     fields, begin = header
     head, _, payload = stretch[begin : begin + int(fields["content-length"])].partition(END)
-    length = next((int(x.split(b":")[1]) for x in head.lower().split(b"\r\n") if re.fullmatch(rb"content-length:\s*\d+", x)), 0)
+    length = next((int(x.split(b":")[1]) for x in head.lower().split(b"\r\n") if re.fullmatch(rb"content-length:\s*0*\d{1,17}", x)), 0)
     digest, kind = fields.get("warc-payload-digest", "").removeprefix("sha256:"), fields["warc-type"]
     sound = kind == "revisit" or hashlib.sha256(payload).hexdigest() == digest
     return kind, fields.get("warc-record-id"), fields.get("warc-refers-to"), fields.get("warc-target-uri"), digest, length, payload if kind == "response" else None, sound
@@ -287,7 +310,22 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def archive(spark: SparkSession, pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write ``pages`` to an archive in the shared folder and read its records back (see write_warc and read_warc)."""
+    """Write ``pages`` to an archive in the shared folder and read its records back (see write_warc and read_warc).
+
+    Null and empty html is an empty payload, a null address an empty one, a null id a record without number; repeated rows
+    each have a record; an empty table gives no rows; other columns aren't written.
+    """
     path = new_path(spark, "warc")
     write_warc(pages.withColumn(html_col, F.col(html_col).cast("string").cast("binary")), path, id_col, url_col, html_col)
     return read_warc(spark, path)
+
+
+#: The query's rows for DuckDB.
+SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, strlen(html) AS payload_bytes, sha256(html) AS payload_digest, min(page_id) OVER (PARTITION BY html) AS head FROM p)
+SELECT page_id, payload_bytes, payload_digest,
+       CASE WHEN payload_bytes >= 100 AND head <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN payload_bytes >= 100 AND head <> page_id THEN head END AS refers_to
+FROM d
+"""

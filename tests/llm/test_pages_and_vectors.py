@@ -76,8 +76,12 @@ def test_warc_query_and_edges(spark, tmp_path):
 
 
 @pytest.mark.parametrize("splits", ["128m", "7001"], indirect=True)
-def test_warc_keeps_what_follows_a_long_url(spark, splits):
-    rows = [(i, "u" * (100_000 if i == 2 else 9), f"<p>{i}") for i in range(6)]
+def test_warc_keeps_what_follows_odd_pages(spark, splits):
+    """Addresses of 70 KB and 5 MB, and lengths of 20 and 5,000 digits in payloads."""
+    header = "WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {}\r\n\r\n"
+    html = {1: header.format("9" * 20), 3: header.format("9" * 5000), 5: header.format("\u0663"), 7: "HTTP\r\nContent-Length: " + "9" * 5000 + "\r\n\r\n"}
+    size = {2: 70_000, 4: 5_000_000 if spark.conf.get("spark.sql.files.maxPartitionBytes") == "128m" else 200_000}
+    rows = [(i, "u" * size.get(i, 9), f"<p>{i}" + html.get(i, "")) for i in range(10)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
     got = {int(r.record_id[10:-1]): (r.target_uri, r.payload.decode()) for r in warc.archive(spark, pages).collect()}
     assert got == {i: (url, html) for i, url, html in rows}
