@@ -228,7 +228,7 @@ def brute_links(rows):
     return {rows[i][0]: (count[i], rows[top(i)][0]) for i in range(n)}
 
 
-@pytest.mark.parametrize("block", [2048, 60])
+@pytest.mark.parametrize("block", [2048, 60, 12])
 def test_embeddings(spark, block):
     rng = np.random.default_rng(0)
     rows = []
@@ -245,6 +245,38 @@ def test_embeddings(spark, block):
     assert embed_dedup.near_duplicates(df.where("false")).count() == 0
 
 
+def test_embedding_cells_hold_all_neighbours():
+    """Whatever pivots are drawn, each linked pair meets in both points' home cells."""
+    rng = np.random.default_rng(3)
+    x = np.concatenate([c + rng.normal(size=(30, 8)) * 0.1 for c in rng.normal(size=(20, 8))])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    near = x @ x.T >= 0.98
+    pivots = x[rng.permutation(len(x))[:16]]
+    own, away = embed_dedup.places(pivots, x)
+    radii = np.array([max(away[own == k], default=-9) for k in range(16)])
+    goes = embed_dedup.visits(pivots, radii, x, own, float(np.sqrt(0.04)))
+    assert all(goes[j, own[i]] for i, j in zip(*np.nonzero(near), strict=True)) and goes.mean() < 0.5 and near.sum() > 2000
+
+
+@pytest.mark.parametrize(("spread", "size"), [(0.05, 12), (3.0, 5)])
+def test_large_embedding_label(spark, spread, size):
+    """A label of several blocks, clustered (cut by pivots) and not (dealt in blocks)."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(40, size))[rng.integers(0, 40, 3000)] + rng.normal(size=(3000, size)) * spread).astype("f4")
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "vec_id long, embedding array<float>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embed_dedup.near_duplicates(df, block=256).collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1)[:, None]
+    near = u @ u.T >= 0.98
+    np.fill_diagonal(near, False)
+    low = np.arange(3000)
+    while True:
+        new = np.minimum(low, np.where(near, low[None, :], 3000).min(1))
+        if (new == low).all():
+            break
+        low = new
+    assert got == {i: (int(near[i].sum()), int(low[i])) for i in range(3000)} and near.any()
+
+
 def test_embedding_copies_are_not_paired(spark):
     df = spark.range(5000).select(F.col("id").alias("vec_id"), F.array(F.lit(1.0), F.lit(2.0)).cast("array<float>").alias("embedding"), F.lit(1).alias("label"))
     got = embed_dedup.near_duplicates(df).groupBy("n_links", "component_id").count().collect()
