@@ -16,26 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.llm.license_templates import TEMPLATES
+
 #: Base phrases and their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Wording of public licences and notices, by the label that a match adds.
-TEMPLATES = {
-    "mit-notice": "<<optional>>this work is<<end>> <<optional>>this software is<<end>> released under the <<optional>>terms of the<<end>> MIT License",
-    "mit-text": """Permission is hereby granted, free of charge, to any person obtaining a copy of this <<var 12>> (the "Software"), to deal in the
-        Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or
-        sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
-        The above copyright notice and this permission notice <<optional>>(including the next paragraph)<<end>> shall be included in all copies or
-        substantial portions of the Software.""",
-    "apache-2.0-notice": "licensed under the Apache License, <<optional>>Version<<end>> 2.0 <<optional>>(the \"License\")<<end>>",
-    "gpl-notice": "licensed under the <<optional>>terms of the<<end>> <<optional>>GNU<<end>> General Public License <<optional>>as published by the Free Software Foundation<<end>> <<optional>>either<<end>> <<optional>>version <<var 1>><<end>>",
-    "cc-by-nc-4.0-notice": "licensed under <<optional>>a<<end>> <<optional>>the<<end>> CC BY-NC 4.0 <<optional>>license<<end>>",
-    "bsd-text": """Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following
-        conditions are met: <<optional>>1.<<end>> Redistributions of source code must retain the above copyright notice, this list of conditions
-        and the following disclaimer. <<optional>>2.<<end>> Redistributions in binary form must reproduce the above copyright notice, this list of
-        conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.""",
-}
-
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 _MARK = re.compile(r"<<(optional|end|var \d+)>>")
 _ROWS = 256

@@ -13,25 +13,30 @@ from pyspark.sql import functions as F
 from corpusloom.llm.shared import free_name, written
 
 WINDOW = 3
+#: First lines of later windows, and documents that have such, up to which Spark may broadcast their list.
+SMALL = 1_000_000
 
 
 def later_windows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, starts): the sorted first lines (from 0) of the windows that an earlier one equals, only of documents that have such."""
     lines = F.split(F.col(text_col).cast("string"), "\n", -1)
-    hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"))
+    # Two hashes of 64 bits, the second with another seed: at 10^12 windows one would take thousands of pairs for equal that aren't.
+    both = F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b")))
+    hashed = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), both.alias("h"))
     count = F.size("h") - (WINDOW - 1)
     at = F.when(count > 0, F.sequence(F.lit(0), count - 1))
-    windows = F.transform(at, lambda i: F.struct(F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]).alias("w"), i.alias("pos")))
-    windows = hashed.select("id", F.explode(windows).alias("x")).select("id", "x.w", "x.pos")
-    first = windows.groupBy("w").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    later = windows.join(first.select("w", "first"), "w").where("id != first.id or pos != first.pos")
+    mixed = lambda i, part: F.xxhash64(*[F.get("h", i + k)[part] for k in range(WINDOW)])
+    windows = F.transform(at, lambda i: F.struct(mixed(i, "a").alias("v"), mixed(i, "b").alias("w"), i.alias("pos")))
+    windows = hashed.select("id", F.explode(windows).alias("x")).select("id", "x.v", "x.w", "x.pos")
+    first = windows.groupBy("v", "w").agg(F.min(F.struct("id", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    later = windows.join(first.select("v", "w", "first"), ["v", "w"]).where("id != first.id or pos != first.pos")
     return later.groupBy("id").agg(F.array_sort(F.collect_set("pos")).alias("starts"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", removed_col: str | None = "n_removed") -> DataFrame:
     """``docs`` with the text without lines of later windows, and with the number of lines removed as ``removed_col`` (None: left out).
 
-    Lines are what stands between \\n, compared exactly by a 64-bit hash;
+    Lines are what stands between \\n, compared exactly by 128 bits of hashes;
     blank lines count. A text of fewer than three lines, an empty and a null
     text stay as they are; a text that loses every line becomes empty. The
     order is by id, then by line, so the copy in the smallest id stays; within
@@ -45,6 +50,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     key, lines, starts = free_name(docs, "key_"), free_name(docs, "lines_"), free_name(docs, "starts_")
     later = written(later_windows(docs, id_col, text_col), "windows")
+    # The list's file is so compressed that its size says little of what a broadcast would hold.
+    if (later.agg(F.sum(F.size("starts") + 1)).first()[0] or 0) > SMALL:
+        later = later.hint("merge")
     later = later.select(F.col("id").alias(key), F.col("starts").alias(starts))
     # Lines are cut below the join: above it they are a column, not an expression to repeat for each slice.
     cut = docs.withColumn(lines, F.split(F.col(text_col), "\n", -1)).drop(text_col)

@@ -28,8 +28,8 @@ END_ID = 1
 QUADRATIC = 4096
 #: A run ends at so many documents or tokens.
 RUN_DOCS, RUN_TOKENS = 2048, 8_000_000
-#: Words whose ids a worker remembers, and as many that it met before those.
-_MEMO = 300_000
+#: Words whose ids a worker remembers, and as many that it met before those; words of more bytes aren't remembered.
+_MEMO, _MEMO_BYTES = 300_000, 40
 _SMALL = re.compile("[a-zß-öø-ÿ]+")
 #: Byte-level tokenizers write each byte as a printable character: printable Latin-1 as itself, others from U+0100 on.
 _PRINTABLE = dict(zip([b for b in range(256) if b < 33 or 126 < b < 161 or b == 173], range(256, 512)))
@@ -87,7 +87,8 @@ class WordEncoder(dict):
             ids = self._plain(word) if stem is word else self[stem] + self[word[-1:]]
             if ids is None:
                 ids = self._ids([word.decode()])[0]
-        self[word] = ids
+        if len(word) <= _MEMO_BYTES:
+            self[word] = ids
         return ids
 
     def encode(self, text: str | None) -> bytes:

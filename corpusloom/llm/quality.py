@@ -30,7 +30,8 @@ MIN_CHI2, MIN_DOCS = (25.0, 40.0), 4
 _ROWS = 256
 _WORD = re.compile(r"\w+")
 _SIGN_RUN = re.compile(r"[^\w\s]{2,}")
-_MEMO = 300_000
+#: Words that a worker remembers, and their most characters.
+_MEMO, _MEMO_CHARS = 300_000, 32
 
 
 def _bucket(kind: str, value: str) -> int:
@@ -70,7 +71,9 @@ class _Features:
         for word in set(words):
             known = self.memo.get(word)
             if known is None:
-                known = self.memo[word] = _word_buckets(word)
+                known = _word_buckets(word)
+                if len(word) <= _MEMO_CHARS:
+                    self.memo[word] = known
             found.update(known)
         return sorted(found)
 
@@ -92,7 +95,8 @@ def rated(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, id_co
     """Features and grades of at most ``max_rated`` rated documents, the same for every partitioning.
 
     ratings: (id, quality, toxic). Of repeated ratings of an id the worst counts; rows with
-    a null id or quality are left out, a null toxic is 0.
+    a null id or quality are left out, a null toxic is 0. Of documents that repeat an id the
+    least text counts, so no more than ``max_rated`` rows reach the driver.
     """
     grade = F.when(F.coalesce("toxic", F.lit(0)) != 0, 0).when(F.col("quality") > 0, 2).otherwise(1)
     one = ratings.where(F.col(id_col).isNotNull() & F.col("quality").isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(grade).alias("grade"))
@@ -108,7 +112,9 @@ def rated(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, id_co
                 yield pa.record_batch([part.column(0), part.column(1), pa.array(x, pa.list_(pa.int32()))], names=["id", "grade", "x"])
 
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(one), "id").select("id", "grade", "t").mapInArrow(work, "id long, grade int, x array<int>")
+    # A row an id: of documents that repeat an id the least text counts.
+    rows = texts.join(F.broadcast(one), "id").groupBy("id", "grade").agg(F.min("t").alias("t"))
+    rows = rows.mapInArrow(work, "id long, grade int, x array<int>")
     got = rows.toArrow()
     grades = got.column("grade").to_numpy()
     order = np.argsort(got.column("id").to_numpy(), kind="stable")
@@ -170,8 +176,8 @@ def fit(x: Sequence[Sequence[int]], grades: np.ndarray, steps: int = 300, l2: fl
 def scored(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text", prefix: str = "") -> DataFrame:
     """``docs`` with expected_grade, p_ge_1 and p_ge_2 (doubles, null without a model). One pass, no shuffle.
 
-    Null and empty texts are scored by their shape alone. Column names get
-    ``prefix`` and, where taken, underscores.
+    Null and empty texts are scored by their shape alone; repeated rows are scored row by row; an empty table
+    gives no rows. Column names get ``prefix`` and, where taken, underscores.
     """
     names = []
     for c in ("expected_grade", "p_ge_1", "p_ge_2"):
@@ -197,7 +203,9 @@ def scored(docs: DataFrame, model: OrdinalModel | None, text_col: str = "text",
                     for word in set(words):
                         known = memo.get(word)
                         if known is None:
-                            known = memo[word] = tuple(b for b in _word_buckets(word) if b in weight)
+                            known = tuple(b for b in _word_buckets(word) if b in weight)
+                            if len(word) <= _MEMO_CHARS:
+                                memo[word] = known
                         if known:
                             found.update(known)
                     score[i] = sum(weight[b] for b in sorted(found))
@@ -215,6 +223,9 @@ def classify(docs: DataFrame, ratings: DataFrame, max_rated: int = MAX_RATED, id
 
 
 def keep_good(docs: DataFrame, ratings: DataFrame, least: float = 0.5, max_rated: int = MAX_RATED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose P(grade >= 2) is ``least`` or more; all rows if no ratings tell grades apart. Columns stay."""
+    """The rows of ``docs`` whose P(grade >= 2) is ``least`` or more; all rows if no ratings tell grades apart. Columns stay, whatever their names.
+
+    Null and empty texts are graded by their shape alone; repeated rows stay or go together; an empty table gives no rows.
+    """
     tail = free_name(docs, "p_ge_2")
     return classify(docs, ratings, max_rated, id_col, text_col).where(F.col(tail).isNull() | (F.col(tail) >= least)).select(*[F.col(f"`{c}`") for c in docs.columns])

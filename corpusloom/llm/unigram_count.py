@@ -49,6 +49,7 @@ class Counter:
                 self.found.add_word(piece, (len(piece), score))
         self.found.make_automaton()
         pieces = {p for p, _ in self.vocabulary}
+        self.longest = max(map(len, pieces), default=1)
         self.single = {p for p in pieces if len(p) == 1}
         self.unknown = min(s for _, s in self.vocabulary) - UNKNOWN_PENALTY
         self.bytes = all(f"<0x{b:02X}>" in pieces for b in range(256))
@@ -56,35 +57,36 @@ class Counter:
         self.apart = self.bytes and not any(re.search(f"[^{SPACE}]{SPACE}", p) for p in pieces)
 
     def chunk(self, text: str) -> tuple[float, int]:
-        """Best score and piece count of a prepared text."""
-        n = len(text)
-        score, count, unk = [0.0] * (n + 1), [0] * (n + 1), [False] * (n + 1)
-        at, best, pieces = 0, None, 0
+        """Best score and piece count of a prepared text. Only as many places are held as the longest piece has characters."""
+        n, m = len(text), self.longest + 1
+        score, count = [0.0] * m, [0] * m  # of the last m places
+        unknown_before, at, best, pieces = False, 0, None, 0
         single = self.single
 
         def close(end: int) -> None:
-            nonlocal best, pieces
+            nonlocal best, pieces, unknown_before
             lost = False
             char = text[end - 1]
             if char not in single:
-                s = score[end - 1] + self.unknown
+                s = score[(end - 1) % m] + self.unknown
                 if best is None or s > best:
-                    step = len(char.encode()) if self.bytes else int(not unk[end - 1])
-                    best, pieces, lost = s, count[end - 1] + step, True
-            score[end], count[end], unk[end] = best, pieces, lost
+                    step = len(char.encode()) if self.bytes else int(not unknown_before)
+                    best, pieces, lost = s, count[(end - 1) % m] + step, True
+            score[end % m], count[end % m], unknown_before = best, pieces, lost
             best = None
 
         for last, (length, value) in self.found.iter(text):
             while at < last:
                 at += 1
                 close(at)
-            s = score[last + 1 - length] + value
+            before = (last + 1 - length) % m
+            s = score[before] + value
             if best is None or s > best:
-                best, pieces = s, count[last + 1 - length] + 1
+                best, pieces = s, count[before] + 1
         while at < n:
             at += 1
             close(at)
-        return score[n], count[n]
+        return score[n % m], count[n % m]
 
     def count(self, text: str | None) -> tuple[float, int]:
         """Best score and number of pieces of a whole text; null and empty: zero."""

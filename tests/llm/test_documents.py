@@ -1,13 +1,14 @@
 """SimHash, line dedup, packing, licences, token counts, decontamination and quality against brute force."""
 
 import random
+import re
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, license_scan, line_dedup, packing, quality, shared, simhash, unigram_count
+from corpusloom.llm import decontam, license_scan, line_dedup, packing, quality, queries, shared, simhash, unigram_count
 from corpusloom.llm.queries import tokenizer_file
 
 SF = "/root/testdata/sf0.001"
@@ -287,6 +288,7 @@ def test_license(spark, docs, none):
     assert got[2].labels == "gpl,gpl-notice" and got[2].score == 9 / 12 and got[3].labels == "apache,apache-2.0-notice" and got[4].labels == "cc-by-nc-4.0-notice"
     assert (got[5].labels, got[5].first_word, got[5].score) == ("", None, 0.0) and got[6].labels == ""
     full = license_scan.TEMPLATES["mit-text"].replace("<<var 12>>", "software and associated documentation files").replace("<<optional>>", "").replace("<<end>>", "")
+    full = full.split("THE SOFTWARE IS")[0]
     assert license_scan.Scanner({}, license_scan.TEMPLATES).scan(full)[5:7] == ("mit-text", 1.0)
     assert license_scan.Scanner({}, license_scan.TEMPLATES).scan(full.replace("hereby", "gladly"))[5] == ""
     assert license_scan.scan(docs).count() == len(ROWS) and license_scan.scan(none).count() == 0
@@ -294,6 +296,63 @@ def test_license(spark, docs, none):
     assert (null.n_words, null.n_base, null.labels, null.score) == (0, 0, "", 0.0)
 
 
+def expression(template):
+    """A template as a regular expression over words that each end in a space."""
+    out = ""
+    for part in re.split("(<<.*?>>)", template):
+        if part.startswith("<<var"):
+            out += r"(?:\S+ ){0,%s}" % part[6:-2]
+        elif part.startswith("<<"):
+            out += "(?:" if part == "<<optional>>" else ")?"
+        else:
+            out += "".join(re.escape(w.decode()) + " " for w in license_scan.words_of(part))
+    return re.compile(r"(?<!\S)" + out)
+
+
+def some_wording(template, rng):
+    """A text that a template accepts, with optional and replaceable regions drawn."""
+    while "<<optional>>" in template:
+        template = re.sub("<<optional>>((?:(?!<<optional>>|<<end>>).)*)<<end>>", lambda m: m[1] if rng.random() < 0.5 else "", template, flags=re.S)
+    return re.sub(r"<<var (\d+)>>", lambda m: " ".join(rng.choice(["owner", "the", "and"]) for _ in range(rng.randrange(int(m[1]) + 1))), template)
+
+
+def test_templates_against_expressions():
+    rng = random.Random(2)
+    scanner = license_scan.Scanner({}, license_scan.TEMPLATES)
+    expressions = {label: expression(t) for label, t in license_scan.TEMPLATES.items()}
+    assert len(expressions) >= 20
+    matched = 0
+    for label, template in license_scan.TEMPLATES.items():
+        for k in range(12):
+            text = f"Before it. # {some_wording(template, rng)} and after"
+            words = text.split()
+            if k % 3 == 0:  # one word is changed, dropped or put in
+                i = rng.randrange(len(words))
+                words[i : i + 1] = rng.choice([[], ["other"], [words[i], "other"]])
+            text = " ".join(words)
+            joined = "".join(w.decode() + " " for w in license_scan.words_of(text))
+            want = {other for other, e in expressions.items() if e.search(joined)}
+            assert set(filter(None, scanner.scan(text)[5].split(","))) == want
+            matched += label in want
+    assert matched > 8 * len(expressions)
+
+
+def test_license_base_against_brute_force(spark):
+    """The query's columns over whole documents, from a plain reading of the words."""
+    phrases = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    found = 0
+    for r in queries.op4_license(spark, SF).collect():
+        low = "".join(c.lower() if c.isascii() else c for c in docs[r.doc_id] or "")
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low)
+        places = [(i, label) for p, label in phrases.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split()]
+        starts = [i for i, _ in places]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(places), min(starts, default=None), max(starts, default=None))
+        assert r.base_labels == ",".join(sorted({label for _, label in places})) and set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1
+        found += len(places)
+    assert found > 0
+
+
 def test_automaton_equals_expansion():
     a = license_scan.compile_template("x <<optional>>y <<optional>>z<<end>><<end>> <<var 2>> w")
     accepted = {"x w", "x y w", "x y z w", "x q w", "x q r w", "x y q r w", "x y z q r w"}
