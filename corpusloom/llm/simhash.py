@@ -264,7 +264,9 @@ def _across(scheme: Scheme) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
 
 def linked(nodes: DataFrame, scheme: Scheme = EXACT, cell: int = CELL) -> DataFrame:
     """(node, component) of the nodes (node, w0 ...; no two with equal words) that links connect, named by their smallest node."""
-    at = _at_anchors(nodes, scheme)
+    # Nodes are small but for their copies: their few partitions would be few and large tasks.
+    shuffles = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    at = _at_anchors(nodes.repartition(shuffles, "node"), scheme)
     hot = at.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > cell)
     hot = written(hot, "hot")
     many = hot.count()
