@@ -31,7 +31,7 @@ _ROWS = 256
 _WORD = re.compile(r"\w+")
 _SIGN_RUN = re.compile(r"[^\w\s]{2,}")
 #: Words that a worker remembers, and their most characters.
-_MEMO, _MEMO_CHARS = 300_000, 32
+_MEMO, _MEMO_CHARS = 100_000, 32
 
 
 def _bucket(kind: str, value: str) -> int:
