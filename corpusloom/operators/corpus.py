@@ -19,19 +19,29 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
     return df.withColumn(text, strip(F.col(text))).where(F.col(text) != "")
 
 
-def running_sum(df: DataFrame, value: Column, ordinal: str, out: str, keys: Sequence[str] = (), width: int = 1 << 16) -> DataFrame:
-    """``df`` with the sum of ``value`` over earlier rows of the same keys as ``out`` (0 for the first). ordinal: a unique whole number within the keys."""
+def running_sum(df: DataFrame, value: Column, ordinal: str, out: str, keys: Sequence[str] = (), width: int = 1 << 16, levels: int = 2) -> DataFrame:
+    """``df`` with the sum of ``value`` over earlier rows of the same keys as ``out`` (0 for the first). ordinal: a unique whole number within the keys.
+
+    Sums of buckets of ``width`` ordinals are summed in the same way, by buckets of buckets, before a window passes over what is left: with two levels
+    one row for each width^2 ordinals. So ordinals may be as sparse as bytes of files are.
+    """
     bucket = F.floor(F.col(ordinal) / F.lit(width))
     df = df.withColumns({"_v": value.cast("long"), "_b": bucket})
-    sums = df.groupBy(*keys, "_b").agg(F.sum("_v").alias("_s"))
-    over = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_c"), F.coalesce(F.sum("_s").over(over), F.lit(0)).alias("_base"))
+    sums = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_c")).agg(F.sum("_v").alias("_s"))
+    names = [f"_k{i}" for i in range(len(keys))]
+    if levels > 1:
+        inner = {n: f"_l{levels}{n}" for n in [*names, "_c", "_s"]}
+        sums = running_sum(sums.withColumnsRenamed(inner), F.col(inner["_s"]), inner["_c"], "_below", [inner[n] for n in names], width, levels - 1)
+        base = sums.withColumnsRenamed({**{v: k for k, v in inner.items()}, "_below": "_base"}).drop("_s")
+    else:
+        over = Window.partitionBy(*names).orderBy("_c").rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.withColumn("_base", F.coalesce(F.sum("_s").over(over), F.lit(0))).drop("_s")
     match = F.col("_b") == F.col("_c")
     for i, k in enumerate(keys):
         match = match & F.col(k).eqNullSafe(F.col(f"_k{i}"))
     within = Window.partitionBy(*keys, "_b").orderBy(ordinal).rowsBetween(Window.unboundedPreceding, -1)
     joined = df.join(base, match).withColumn(out, F.col("_base") + F.coalesce(F.sum("_v").over(within), F.lit(0)))
-    return joined.drop("_v", "_b", "_c", "_base", *[f"_k{i}" for i in range(len(keys))])
+    return joined.drop("_v", "_b", "_c", "_base", *names)
 
 
 def with_index(df: DataFrame, ordinal: str, out: str = "index", keys: Sequence[str] = (), width: int = 1 << 16) -> DataFrame:
@@ -62,9 +72,47 @@ def corpus_stats(df: DataFrame, size: Column, path: Column, ordinal: str) -> Dat
 
 
 def dedupe(df: DataFrame, keys: Sequence[str], ordinal: str) -> DataFrame:
-    """The first row, by ordinal, of each key; the smallest ordinals are found by combined minima, so a frequent key is no hot task."""
-    first = df.groupBy(*keys).agg(F.min(ordinal).alias("_first")).select("_first")
-    return df.join(first, df[ordinal] == first["_first"], "left_semi")
+    """The first row, by ordinal, of each key; nulls are equal to each other.
+
+    Keys are shuffled as 128 bits of hashes, not as texts, and the smallest ordinals are found by combined minima, so a frequent key is no hot task.
+    """
+    # A null leaves a hash as it is, so which keys are null goes in, too.
+    null = F.concat(*[F.when(F.col(k).isNull(), "1").otherwise("0") for k in keys])
+    digest = {"_h": F.xxhash64(null, *keys), "_i": F.xxhash64(F.lit(7), null, *keys)}
+    df = df.withColumns(digest)
+    first = df.groupBy("_h", "_i").agg(F.min(ordinal).alias("_first")).withColumnsRenamed({"_h": "_h2", "_i": "_i2"})
+    same = (F.col("_h") == F.col("_h2")) & (F.col("_i") == F.col("_i2")) & (F.col(ordinal) == F.col("_first"))
+    return df.join(first, same, "left_semi").drop("_h", "_i")
+
+
+def combined_stats(parts: Sequence[DataFrame]) -> DataFrame:
+    """One row from several corpora's statistics (files, tokens, longest_context, longest_file; see corpus_stats): sums, and the longest of the first corpus that has it."""
+    ranked = [df.select("files", "tokens", "longest_context", "longest_file", F.lit(i).alias("_rank")) for i, df in enumerate(parts)]
+    every = ranked[0]
+    for part in ranked[1:]:
+        every = every.unionByName(part)
+    out = every.agg(
+        F.sum("files").alias("files"),
+        F.sum("tokens").alias("tokens"),
+        F.max("longest_context").alias("longest_context"),
+        F.max_by("longest_file", F.struct("longest_context", -F.col("_rank"))).alias("longest_file"),
+    )
+    return out.withColumn("token_memory_mb", F.round(F.col("tokens") * 8 / float(1 << 20), 3))
+
+
+def token_totals(df: DataFrame, size: Column, source: str = "source") -> DataFrame:
+    """By source, and of all as a row with a null source: samples, tokens and the longest context."""
+    return df.rollup(source).agg(F.count(F.lit(1)).alias("samples"), F.coalesce(F.sum(size), F.lit(0)).cast("long").alias("tokens"), F.coalesce(F.max(size), F.lit(0)).cast("long").alias("longest_context"))
+
+
+def first_rows(df: DataFrame, ordinal: str, most: int | None) -> DataFrame:
+    """The ``most`` first rows by ordinal (None: all); Spark takes the first of each task before it merges them."""
+    return df if most is None else df.orderBy(ordinal).limit(most)
+
+
+def first_rows_pending(df: DataFrame, done: DataFrame, keys: Sequence[str], ordinal: str, most: int) -> DataFrame:
+    """Of the ``most`` first rows by ordinal those that aren't done: rows done already count, so a run that is taken up again ends where the first would have."""
+    return first_rows(df, ordinal, most).join(done.select(*keys).distinct(), list(keys), "left_anti")
 
 
 def split_tail(df: DataFrame, ordinal: str, ratio: float = 0.01) -> DataFrame:

@@ -38,13 +38,34 @@ def micro(predicted: Column, target: Column) -> list[Column]:
     return [hits.cast("long").alias("hits"), p.cast("long").alias("predicted"), t.cast("long").alias("wanted"), ratio(p).alias("precision"), ratio(t).alias("recall")]
 
 
+def misses(df: DataFrame, predicted: str, target: str, ordinal: str, most: int = 20) -> DataFrame:
+    """(ordinal, missing, extra) of the ``most`` first rows whose sets differ."""
+    rows = df.select(ordinal, F.array_except(target, predicted).alias("missing"), F.array_except(predicted, target).alias("extra"))
+    return rows.where("size(missing) > 0 or size(extra) > 0").orderBy(ordinal).limit(most)
+
+
 def histogram(df: DataFrame, value: Column) -> DataFrame:
-    """(value, n) for each whole number from 0 to the largest, zeros included."""
+    """(value, n) for each whole number from 0 to the largest, zeros included. The numbers are made in tasks, a range each."""
     counted = df.groupBy(value.cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n"))
-    grid = counted.agg(F.max("value").alias("m")).where("m is not null").select(F.explode(F.sequence(F.lit(0).cast("long"), F.col("m"))).alias("value"))
+    most = counted.agg(F.max("value")).first()[0]
+    grid = df.sparkSession.range(0 if most is None else most + 1).withColumnRenamed("id", "value")
     return grid.join(counted, "value", "left").select("value", F.coalesce("n", F.lit(0)).alias("n"))
 
 
+def argmax(scores: Column) -> Column:
+    """The place, from 0, of the first largest score."""
+    return F.array_position(scores, F.array_max(scores)) - 1
+
+
+def meets(result: dict[str, Column], targets: dict[str, float], lower_is_better: tuple[str, ...] = ("perplexity", "loss")) -> Column:
+    """Whether every target is met; a metric that is missing or null doesn't meet its target."""
+    out = F.lit(True)
+    for name, target in targets.items():
+        value = result.get(name, F.lit(None).cast("double"))
+        out = out & F.coalesce(value <= target if name in lower_is_better else value >= target, F.lit(False))
+    return out
+
+
 def training_memory_mb(parameters: int, batch: int, block: int, layers: int, heads: int, width: int) -> int:
     """Whole MiB: 12 bytes a parameter, 4 for each cell of the attention maps, 8 for each activation of each layer."""
     per_token = layers * (heads * block * 4 + width * 8)

@@ -11,29 +11,67 @@ import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
+from corpusloom.operators.corpus import first_rows, running_sum, with_index
+from corpusloom.operators.jsontext import collect_text
 
 
 def _with_path(df: DataFrame) -> DataFrame:
     return df.withColumn("path", F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/"))
 
 
-def _ordered(df: DataFrame, within: str | None = None) -> DataFrame:
-    """ordinal: paths by their parts, then the place within the file. The list of paths is small beside what they hold."""
-    from pyspark.sql import Window
+def _ordered(df: DataFrame, listing: DataFrame, within: str | None = None) -> DataFrame:
+    """ordinal: the paths of ``listing`` by their parts, then the place within the file.
 
-    ranks = df.select("path").distinct().withColumn("_r", (F.row_number().over(Window.orderBy(F.split("path", "/"))) - 1).cast("long"))
+    The listing holds no content, so files aren't read for it. It is ordered in one task, a row for each file.
+    """
+    ranks = listing.select("path", (F.row_number().over(Window.orderBy(F.split("path", "/"))) - 1).cast("long").alias("_r"))
     place = F.coalesce(F.col(within).cast("long"), F.lit(0)) if within else F.lit(0)
     return df.join(ranks, "path").withColumn("ordinal", F.col("_r") * (1 << 40) + place).drop("_r")
 
 
+def _files(spark: SparkSession, folder: str, pattern: str, recursive: bool = True) -> DataFrame:
+    """(path, content) of files; without content where that isn't asked for."""
+    read = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
+    read = read.option("recursiveFileLookup", "true") if recursive else read
+    return read.load(folder).select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "length", "content")
+
+
+def listing(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """(path, length) of the files below a folder, names that begin with a dot left out. Nothing is read."""
+    return _files(spark, folder, pattern).select("path", "length").where(~F.element_at(F.split("path", "/"), -1).startswith("."))
+
+
+def first_named(spark: SparkSession, folder: str, name: str) -> DataFrame:
+    """(path): the first file of a name below a folder, by path; no row without any."""
+    return listing(spark, folder, name).agg(F.min_by("path", F.split("path", "/")).alias("path")).where("path is not null")
+
+
+def split_ranked(files: DataFrame) -> DataFrame:
+    """Files with rank: those of train before valid before test before others (by the name up to its first "_"), then by name."""
+    name = F.element_at(F.split("path", "/"), -1)
+    split = F.substring_index(name, "_", 1)
+    order = F.when(split == "train", 0).when(split == "valid", 1).when(split == "test", 2).otherwise(99)
+    return files.withColumn("rank", F.row_number().over(Window.orderBy(order, name, "path")) - 1)
+
+
+def data_blobs(tree: DataFrame, prefix: str = "data/", suffixes: tuple[str, ...] = (".json", ".jsonl"), without: str = "prompt") -> DataFrame:
+    """(path) of a repository's tree listing (value: its JSON text): blobs below ``prefix`` with one of the suffixes and without a word in their path."""
+    items = tree.select(F.explode(F.from_json("value", "tree array<struct<path: string, type: string>>").getField("tree")).alias("t")).select("t.*")
+    ends = F.lit(False)
+    for suffix in suffixes:
+        ends = ends | F.col("path").endswith(suffix)
+    return items.where((F.col("type") == "blob") & F.col("path").startswith(prefix) & ends & ~F.contains("path", F.lit(without))).select("path")
+
+
 def _utf8(content: Column) -> Column:
     """Bytes as text, without those that aren't UTF-8."""
 
@@ -46,10 +84,9 @@ def _utf8(content: Column) -> Column:
 
 def text_files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame:
     """(path, ordinal, text) of the files below a folder: stripped, blank ones left out, names that begin with "._" skipped, invalid bytes dropped."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    files = _with_path(files.select("content", "_metadata")).where(~F.element_at(F.split("path", "/"), -1).startswith("._"))
+    files = _files(spark, folder, pattern).where(~F.element_at(F.split("path", "/"), -1).startswith("._"))
     texts = files.select("path", strip(_utf8(F.col("content"))).alias("text")).where(F.col("text") != "")
-    return _ordered(texts)
+    return _ordered(texts, files)
 
 
 def markdown_leaves(spark: SparkSession, folder: str, bindings: dict[str, str] | None = None, skip: str = "data.md") -> DataFrame:
@@ -58,8 +95,8 @@ def markdown_leaves(spark: SparkSession, folder: str, bindings: dict[str, str] |
     Comments between %% go, a leading python block is cut and never run, {name} is replaced from ``bindings`` (unless one is missing:
     then the text stays raw), the text ends at `thatsAll`, and `name`: becomes <name>:.
     """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.md").load(folder)
-    files = _with_path(files.select("content", "_metadata")).select("path", _utf8(F.col("content")).alias("text"))
+    found = _files(spark, folder, "*.md", recursive=False)
+    files = found.select("path", _utf8(F.col("content")).alias("text"))
     leaves = files.where((F.element_at(F.split("path", "/"), -1) != skip) & ~F.col("text").rlike(r"(?s)\[\[.*?\]\]"))
     text = F.regexp_replace(F.regexp_replace("text", r"(?s)%%.*?%%\n", ""), r"(?s)\A```python\n.*?\n```\s*", "")
     filled = text
@@ -68,50 +105,136 @@ def markdown_leaves(spark: SparkSession, folder: str, bindings: dict[str, str] |
     text = F.when(filled.rlike(r"\{[^{}]*\}"), text).otherwise(filled)
     text = F.substring_index(text, "`thatsAll`", 1)
     text = F.regexp_replace(text, r"`\s*([^`\n]+?)\s*`\s*[:：]", "<$1>:")
-    return _ordered(leaves.select("path", strip(text).alias("text")))
-
-
-def _values(content: bytes) -> Iterator[str]:
-    """JSON values of a file: the items of an array, or values one after another with or without space between."""
-    text = content.decode("utf-8-sig")
-    decoder, at, n = json.JSONDecoder(), 0, len(text)
-    spaces = " \t\r\n"
-    while at < n and text[at] in spaces:
-        at += 1
-    array = at < n and text[at] == "["
-    at += array
+    return _ordered(leaves.select("path", strip(text).alias("text")), found)
+
+
+#: Characters of a chunk in which large files of JSON values are read.
+CHUNK = 1 << 20
+_SPACES = " \t\r\n"
+
+
+def values_of(pieces: Iterator[str]) -> Iterator[str]:
+    """JSON values from the pieces of a text: the items of an array, or values one after another with or without space between.
+
+    Only a value that isn't whole yet, and the piece it goes on in, are held; what is tried again is twice as long each time.
+    """
+    decoder = json.JSONDecoder()
+    text, at, array, begun, ended = "", 0, False, False, False
+
+    def more(least: int) -> None:
+        """Drop what is done and take at least so many characters more, or all that are left."""
+        nonlocal text, at, ended
+        parts, held = [text[at:]], 0
+        while held < least and not ended:
+            piece = next(pieces, None)
+            ended = piece is None
+            parts.append(piece or "")
+            held += len(piece or "")
+        text, at = "".join(parts), 0
+
     while True:
-        while at < n and (text[at] in spaces or array and text[at] == ","):
+        while at < len(text) and (text[at] in _SPACES or array and text[at] == ","):
             at += 1
-        if at >= n:
+        if at == len(text):
+            if ended:
+                if array:
+                    raise ValueError("the JSON array isn't closed")
+                return
+            more(1)
+            continue
+        if not begun:
+            begun, array = True, text[at] == "["
+            at += array
             if array:
-                raise ValueError("the JSON array isn't closed")
-            return
+                continue
         if array and text[at] == "]":
             return
-        value, at = decoder.raw_decode(text, at)
+        try:
+            value, end = decoder.raw_decode(text, at)
+        except json.JSONDecodeError:
+            if ended:
+                raise
+            more(max(CHUNK, len(text) - at))
+            continue
+        if end == len(text) and not ended:  # a number may go on
+            more(max(CHUNK, end - at))
+            continue
+        at = end
         yield json.dumps(value, ensure_ascii=False)
 
 
 def json_values(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """(path, ordinal, value) of JSON files: arrays, or values in a row on any lines; what can't be parsed fails the read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
+    """(path, ordinal, value) of JSON files: arrays, or values in a row on any lines; what can't be parsed fails the read.
+
+    Files are read through Spark's text source, a line at a time and never whole, so they may be of any size; a file of one line must have it below 2 GB.
+    """
+    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
+    lines = _with_path(lines.select("value", "_metadata")).withColumn("split", F.col("_metadata.file_block_start")).select("path", "split", "value")
+    # Lines stay in order within a split; a file's splits follow each other in one task.
+    placed = lines.withColumn("seq", F.monotonically_increasing_id()).repartition("path").sortWithinPartitions("path", "split", "seq")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held: list[str] = []
-                seq = 0
-                for value in _values(content.as_py()):
-                    held.append(value)
-                    if len(held) == 1000:
-                        yield pa.record_batch([pa.array([path] * 1000), pa.array(range(seq, seq + 1000), pa.int64()), pa.array(held)], names=["path", "seq", "value"])
-                        seq, held = seq + 1000, []
-                if held:
-                    yield pa.record_batch([pa.array([path] * len(held)), pa.array(range(seq, seq + len(held)), pa.int64()), pa.array(held)], names=["path", "seq", "value"])
+        def rows() -> Iterator[tuple[str, str]]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
+
+        for path, group in groupby(rows(), key=lambda r: r[0]):
+            first = True
+
+            def pieces(group=group) -> Iterator[str]:
+                nonlocal first
+                for _, line in group:
+                    yield line.removeprefix("\ufeff") + "\n" if first else line + "\n"
+                    first = False
+
+            found = values_of(pieces())
+            seq = 0
+            while held := list(islice(found, 1000)):
+                yield pa.record_batch([pa.array([path] * len(held)), pa.array(range(seq, seq + len(held)), pa.int64()), pa.array(held)], names=["path", "seq", "value"])
+                seq += len(held)
+
+    rows = placed.select("path", "value").mapInArrow(work, "path string, seq long, value string")
+    return _ordered(rows, listing(spark, folder, pattern), "seq").drop("seq")
+
 
-    rows = _with_path(files.select("content", "_metadata")).select("path", "content").mapInArrow(work, "path string, seq long, value string")
-    return _ordered(rows, "seq").drop("seq")
+def records(spark: SparkSession, folder: str, pattern: str = "*.json*") -> DataFrame:
+    """(path, ordinal, value) of JSON or JSON-lines files: each value is a record, but an object whose data, examples or samples (the first it has) is a list gives that list's items."""
+    values = json_values(spark, folder, pattern)
+    parsed = F.parse_json("value")
+    wrapped = F.coalesce(*[F.try_variant_get(parsed, f"$.{k}", "array<variant>") for k in ("data", "examples", "samples")])
+    items = values.select("path", "ordinal", F.posexplode(F.coalesce(F.transform(wrapped, F.to_json), F.array("value"))).alias("pos", "value"))
+    # A wrapped record counts after its file's values before it; a file is one wrapper or many records.
+    return items.select("path", (F.col("ordinal") + F.col("pos")).alias("ordinal"), "value")
+
+
+def mixed_corpus(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
+    """(path, ordinal, text) of the .json, .jsonl, .txt and .csv files below a folder, in order of path; other files and names that begin with a dot are skipped.
+
+    JSON values and CSV rows are turned to text (see operators.jsontext), text files are taken whole; blank texts are left out. ``most`` texts at most, the first.
+    """
+    every = listing(spark, folder).where(F.lower("path").rlike(r"\.(json|jsonl|txt|csv)$"))
+    kinds = {r.kind for r in every.select(F.lower(F.regexp_extract("path", r"(?i)\.(json|jsonl|txt|csv)$", 1)).alias("kind")).distinct().collect()}
+    parts = []
+    for kind in ("json", "jsonl"):
+        if kind in kinds:
+            read = json_values if kind == "json" else json_lines
+            parts.append(read(spark, folder, f"*.{kind}").select("path", (F.col("ordinal") % (1 << 40)).alias("seq"), collect_text(F.col("value")).alias("text")))
+    if "txt" in kinds:
+        texts = _files(spark, folder, "*.txt").select("path", F.lit(0).cast("long").alias("seq"), strip(_utf8(F.col("content"))).alias("text"))
+        parts.append(texts)
+    if "csv" in kinds:
+        for r in every.where(F.lower("path").endswith(".csv")).select("path").collect():  # each file has a header of its own
+            rows = csv_rows(spark, r.path)
+            seq = F.monotonically_increasing_id()
+            as_json = rows.select(F.lit(r.path).alias("path"), seq.alias("seq"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
+            parts.append(as_json.select("path", "seq", collect_text(F.col("value")).alias("text")))
+    if not parts:
+        return spark.createDataFrame([], "path string, ordinal long, text string")
+    united = parts[0]
+    for part in parts[1:]:
+        united = united.unionByName(part)
+    out = _ordered(united.where(~F.element_at(F.split("path", "/"), -1).startswith(".")), every, "seq").select("path", "ordinal", strip(F.col("text")).alias("text")).where("text != ''")
+    return first_rows(out, "ordinal", most)
 
 
 def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -119,7 +242,7 @@ def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> Da
     lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
     lines = _with_path(lines.select("value", "_metadata")).withColumn("seq", F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33))
     good = lines.where(strip(F.col("value")) != "").withColumn("value", F.to_json(F.parse_json("value")))
-    return _ordered(good.select("path", "seq", "value"), "seq").drop("seq")
+    return _ordered(good.select("path", "seq", "value"), listing(spark, folder, pattern), "seq").drop("seq")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:
@@ -175,9 +298,65 @@ def token_shards(spark: SparkSession, folder: str) -> DataFrame:
     return both.mapInArrow(work, "name string, sample_index long, start long, end long, tokens array<long>")
 
 
+def shard_dataset(samples: DataFrame) -> DataFrame:
+    """Samples (name, sample_index, ...) with index, their place in order of name and sample from 0, and path, name#sample."""
+    rank = F.dense_rank().over(Window.orderBy("name")).cast("long") - 1
+    names = samples.select("name").distinct().select("name", rank.alias("_n"))
+    placed = samples.join(F.broadcast(names) if names.limit(10_001).count() <= 10_000 else names, "name").withColumn("_o", F.col("_n") * (1 << 40) + F.col("sample_index"))
+    return with_index(placed, "_o").withColumn("path", F.concat("name", F.lit("#"), F.col("sample_index").cast("string"))).drop("_o", "_n")
+
+
+def nth(df: DataFrame, i: int, index: str = "index") -> DataFrame:
+    """The row with index ``i``; a negative one counts from the end."""
+    if i >= 0:
+        return df.where(F.col(index) == i)
+    size = df.agg((F.max(index) + 1).alias("_size"))
+    return df.crossJoin(F.broadcast(size)).where(F.col(index) == F.col("_size") + i).drop("_size")  # size is one row
+
+
 def write_token_shards(df: DataFrame, path: str, name: str = "shard") -> None:
-    """Samples as Parquet in a folder for each name: Spark's own columnar shard, committed by its writer."""
-    df.write.mode("overwrite").partitionBy(name).parquet(path)
+    """Samples as Parquet in a folder for each name: Spark's own columnar shard, committed by its writer. In a folder rows go by sample, so a reader's filter on name and sample_index reads a row group."""
+    keys = [name, "sample_index"] if "sample_index" in df.columns else [name]
+    df.repartition(name).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(name).parquet(path)
+
+
+def read_token_sample(spark: SparkSession, path: str, name: str, sample_index: int) -> DataFrame:
+    """One sample of shards written by write_token_shards(): the folder is pruned, and the sample's row group found by its statistics."""
+    return spark.read.parquet(path).where((F.col("shard") == name) & (F.col("sample_index") == sample_index))
+
+
+def legacy_shards(samples: DataFrame, name: str = "name", tokens: str = "tokens", ordinal: str = "sample_index") -> DataFrame:
+    """(name, part, bin, idx, samples, n_tokens): the bytes of .bin and .idx files, ids as unsigned 32-bit and offsets as unsigned 64-bit numbers, little-endian.
+
+    Empty samples are left out. A shard is made in parts of about 2^24 tokens, in order, whose .bin parts are put one after another, and whose offsets count from the
+    shard's start; so no shard has to fit in one task. meta(): the shard's counts.
+    """
+    kept = samples.where(F.size(tokens) > 0)
+    placed = running_sum(kept, F.size(tokens), ordinal, "_start", [name])
+    placed = placed.select(F.col(name).alias("name"), F.floor(F.col("_start") / (1 << 24)).alias("part"), F.col(ordinal).alias("i"), F.col("_start").alias("start"), F.col(tokens).alias("t"))
+    dealt = placed.repartition("name", "part").sortWithinPartitions("name", "part", "i")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            for batch in batches:
+                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4), strict=True)
+
+        for (shard, part), group in groupby(rows(), key=lambda r: r[:2]):
+            starts, ids = [], []
+            for _, _, start, t in group:
+                starts.append(start)
+                ids.append(np.asarray(t.values, "<u4"))
+            data = np.concatenate(ids)
+            columns = [pa.array([shard]), pa.array([part], pa.int64()), pa.array([data.tobytes()], pa.binary()), pa.array([np.array(starts, "<u8").tobytes()], pa.binary())]
+            yield pa.record_batch([*columns, pa.array([len(starts)], pa.int64()), pa.array([len(data)], pa.int64())], names=["name", "part", "bin", "idx", "samples", "n_tokens"])
+
+    return dealt.mapInArrow(work, "name string, part long, bin binary, idx binary, samples long, n_tokens long")
+
+
+def shard_meta(parts: DataFrame) -> DataFrame:
+    """(name, meta): the JSON that goes beside each shard of legacy_shards()."""
+    meta = F.to_json(F.struct(F.lit("uint32").alias("token_dtype"), F.lit("uint64").alias("index_dtype"), F.sum("samples").alias("sample_count"), F.sum("n_tokens").alias("token_count")))
+    return parts.groupBy("name").agg(meta.alias("meta"))
 
 
 def missing_files(listing: DataFrame, expected: DataFrame) -> DataFrame:

@@ -1,5 +1,8 @@
 """Operators on hand-made rows."""
 
+import json
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -138,10 +141,33 @@ def test_metrics(spark):
 
 def test_synthetic_logic(spark):
     p, q = ["p"], ["q"]
+    assert len(synth.RULES) == 17 and len(synth.ALL_RULES) == 17 + 2 + 17 + sum(len(r.premises) for r in synth.RULES)
+    assert synth.parse("p -> ~(q or r)") == ["->", p, ["~", ["or", q, ["r"]]]] and synth.parse("~of p") == ["~", ["of", p]]
     assert ("modus ponens", [["->", p, q], p], q) in synth.firings([["->", p, q], p])
     assert ("modus tollens", [["->", p, q], ["~", q]], ["~", p]) in synth.firings([["->", p, q], ["~", q]])
+    assert ("modus tollens", [["->", p, ["~", q]], q], ["~", p]) in synth.firings([["->", p, ["~", q]], q])
+    assert all(name != "incorrect modus tollens" for name, _, _ in synth.firings([["->", p, q], q], synth.ALL_RULES))
     assert synth.contradicts([p, q, ["~", p]]) and not synth.contradicts([p, q])
+    assert synth.contradicts([["forall", p], ["exists", ["~", p]]]) and synth.contradicts([["->", p, q], p, ["~", q]], synth.RULES)
     assert synth.problem(5) == synth.problem(5)
-    made = synth.examples(spark, 200)
-    assert made.count() == made.select("inputs").distinct().count()
-    assert synth.uncovered_rules(synth.split_iid(synth.examples(spark, 400))).count() == 0
+    for seed in range(300):
+        made = synth.problem(seed)
+        assert len({json.dumps(x) for x in made.premises}) == len(made.premises)
+        for clause, chain in made.inferences:
+            known = list(made.premises)
+            for used, inference, _ in chain:
+                assert all(u in known for u in used)
+                known.append(inference)
+            # A chain ends as soon as its clause is known.
+            assert clause in known and (not chain or clause not in known[: len(made.premises) + len(chain) - 1])
+        again = synth.variation(made, random.Random(seed))
+        assert sorted(map(len, map(json.dumps, again.premises))) == sorted(map(len, map(json.dumps, made.premises)))
+    made = synth.examples(spark, 400, variations=2).cache()
+    assert made.count() == made.select("inputs").distinct().count() > 300
+    assert {r.example_type[:2] for r in made.select("example_type").distinct().collect()} == {"1", "2a", "2b", "3a", "3b"}
+    counts = {r.example_type: r.n for r in synth.type_counts(made).collect()}
+    assert sum(counts.values()) == made.count() and counts["3a"] > counts["1"]
+    assert synth.split_length(made, 2).where("(split = 'train') != (n_premises <= 2)").count() == 0
+    assert synth.uncovered_rules(synth.split_iid(synth.examples(spark, 3000))).count() == 0
+    share = synth.problems(spark, 2000).selectExpr("avg(int(contradiction)) as c").first().c
+    assert share <= 0.12

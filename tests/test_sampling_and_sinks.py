@@ -99,10 +99,10 @@ def test_quantified_rules_and_renaming(spark):
     all_pq, some_p = ["forall", ["->", p, q]], ["exists", p]
     assert ["exists", q] in [c for _, _, c in synth.firings([all_pq, some_p], rules)]
     assert ["exists", q] not in [c for _, _, c in synth.firings([["exists", ["->", p, q]], some_p], rules)]
-    assert synth.render(all_pq) == "forall x: (p -> q)"
+    assert synth.render(all_pq) == "forall x: (P(x) -> Q(x))" and synth.render(["of", p]) == "P(a)" and "someone" in synth.say(some_p)
     assert synth.renamed([["->", q, p], q]) == [["->", ["p"], ["q"]], ["p"]]
     made = synth.examples(spark, 100)
     counts = {r.rule: r.n for r in synth.rule_counts(made).collect()}
-    assert set(counts) == set(synth.RULES) and sum(counts.values()) > 0
+    assert set(counts) == {r.name for r in synth.ALL_RULES} and sum(counts.values()) > 0
     sides = synth.split_ood(made).groupBy("rules").agg(F.countDistinct("split").alias("n")).where("n > 1").count()
     assert sides == 0
