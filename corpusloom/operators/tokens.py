@@ -36,7 +36,7 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
 
 
 def encode(text: Column, path: str, bos: int | None = None, eos: int | None = None) -> Column:
-    """Token ids of a text (null: none), by Arrow batches; bos and eos are put around where given."""
+    """Token ids of a text, by Arrow batches; bos and eos are put around where given. A null text counts as an empty one: only bos and eos."""
 
     @F.pandas_udf("array<int>")
     def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
@@ -69,6 +69,38 @@ def trim_at(ids: Column, stops: list[int]) -> Column:
     return F.when(F.isnull(first), ids).otherwise(F.slice(ids, F.lit(1), F.coalesce(first, F.lit(0))))
 
 
+def byte_alphabet() -> dict[int, str]:
+    """The printable character that stands for each byte: printable Latin-1 for itself, the others from U+0100 on, in order."""
+    plain = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or 174 <= b]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
+
+
+def encode_pieces(df: DataFrame, path: str, ordinal: str, text: str = "text") -> DataFrame:
+    """(ordinal, ids): texts encoded by pre-token, each distinct one once, as a byte-level tokenizer without added tokens in the text does; ids in order of place.
+
+    For corpora whose pieces repeat often: merging runs over distinct pieces, and texts are put together by a join that splits hot pieces (adaptive skew join).
+    A text without pieces has no ids.
+    """
+    pieces = df.select(ordinal, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("place", "piece"))
+    distinct = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", encode(F.col("piece"), path).alias("ids"))
+    found = pieces.join(distinct, "piece").groupBy(ordinal).agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("p"))
+    placed = found.select(F.col(ordinal).alias("_o"), F.flatten(F.transform("p", lambda x: x.ids)).alias("_ids"))
+    empty = F.array().cast("array<int>")
+    return df.select(ordinal).join(placed, F.col(ordinal) == F.col("_o"), "left").select(ordinal, F.coalesce("_ids", empty).alias("ids"))
+
+
+def decoded_shards(samples: DataFrame, path: str, most: int | None = None, drop: list[int] | None = None) -> DataFrame:
+    """(name, sample_index, text) of token shards' samples, the ``most`` first by name and sample."""
+    rows = samples if most is None else samples.orderBy("name", "sample_index").limit(most)
+    return rows.select("name", "sample_index", decode(F.col("tokens"), path, drop).alias("text"))
+
+
+def text_ids(texts: DataFrame, path: str, bos: int | None = None, eos: int | None = None) -> DataFrame:
+    """Texts of files (path, ordinal, text) with their ids."""
+    return texts.withColumn("ids", encode(F.col("text"), path, bos, eos))
+
+
 def speaker_tokens(df: DataFrame, text: str = "text") -> DataFrame:
     """(token): the distinct speakers of Markdown texts (`name`: at a line's start), white space taken out, as <name>, sorted."""
     names = F.regexp_extract_all(F.col(text), F.lit(r"`([^`\n]+)`\s*[:：]"), F.lit(1))

@@ -1 +1 @@
-"""Queries over the shared test tables, with SQL for the oracle."""
+"""Queries over the test tables; importing a module registers its queries."""

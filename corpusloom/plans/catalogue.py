@@ -49,6 +49,12 @@ def _long(c: Column | str) -> Column:
     return (F.col(c) if isinstance(c, str) else c).cast("long")
 
 
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
 # Corpora
 
 
@@ -446,15 +452,15 @@ def contradiction_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return logic.contradictions(stated, ["source"])
 
 
-_SETS = """x AS (SELECT d.doc_id, list_distinct(string_split(substr(text, 1, 200), ' ')) AS p, list_distinct(string_split(substr(text, 101, 200), ' ')) AS t FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)"""
+_SETS = """x AS (SELECT d.doc_id, list_distinct(regexp_extract_all(text, '[A-Z][a-z]+')) AS p, list_distinct(regexp_extract_all(text, '[A-Za-z]{5,}')) AS t FROM documents d JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id)"""
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Two overlapping spans of each text play predicted and wanted symbols.
+    # Of each whole text, capitalised and long words play predicted and wanted symbols.
     labelled = _table(spark, sf_dir, "labels").select("doc_id").distinct()
     docs = _docs(spark, sf_dir).join(labelled, "doc_id")
-    span = lambda a: F.array_distinct(F.split(F.substring("text", a, 200), " "))
-    return docs.select("doc_id", span(1).alias("p"), span(101).alias("t"))
+    found = lambda r: F.array_distinct(F.regexp_extract_all("text", F.lit(r), F.lit(0)))
+    return docs.select("doc_id", found("[A-Z][a-z]+").alias("p"), found("[A-Za-z]{5,}").alias("t"))
 
 
 @query(f"WITH {_SETS} SELECT doc_id, CAST(len(list_intersect(p, t)) AS BIGINT) AS n_both, CAST(len(p) - len(list_intersect(p, t)) AS BIGINT) AS n_extra, CAST(len(t) - len(list_intersect(p, t)) AS BIGINT) AS n_missed FROM x")
@@ -526,18 +532,12 @@ def sha256_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tokenizers: a public file, whose path is a parameter of the operators
 
 
-def _tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 @query()
 def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pretoken_counts(_docs(spark, sf_dir))
 
 
-@query()
+@query(f"SELECT unnest(map_values(v)) AS id, unnest(map_keys(v)) AS piece FROM (SELECT CAST(content::JSON -> '$.model.vocab' AS MAP(VARCHAR, INT)) AS v FROM read_text('{_tokenizer()}'))")
 def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vocabulary(spark, f"file://{_tokenizer()}")
 

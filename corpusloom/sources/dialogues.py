@@ -5,12 +5,13 @@ Dialogues: (id, source, split, system, turns array<struct<role, text>>). Logic:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from corpusloom.functions.text import collapse, first_filled, sorted_json, strip
+from corpusloom.functions.text import clean_value, collapse, first_filled, sorted_json, strip
 from corpusloom.operators.dialogue import perspectives, role_runs
 from corpusloom.operators.logic import build_prompt
+from corpusloom.sources import files
 
 #: System texts and emotion names of the corpora.
 DAILY_SYSTEM = "You are a helpful dialogue agent. Respond naturally across the full conversation."
@@ -46,13 +47,15 @@ def dailydialog(df: DataFrame) -> DataFrame:
 
 
 def dailydialog_lines(df: DataFrame) -> DataFrame:
-    """From lines (split, line, text, emotions): utterances between __eou__, emotion ids by place; adds emotions by name, "unknown" without a known id."""
+    """From lines (split, line, text, emotions and, where there is one, acts): utterances between __eou__, ids by place; adds emotions by name, "unknown" without a known id, and the ids of acts."""
     turns = by_parity(F.split("text", "__eou__"))
-    ids = F.transform(F.filter(F.split(F.coalesce("emotions", F.lit("")), " "), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
+
+    ids = lambda c: F.transform(F.filter(F.split(F.coalesce(c, F.lit("")), " "), lambda x: x.rlike("^[0-9]+$")), lambda x: x.cast("int"))
     names = F.array(*map(F.lit, EMOTIONS))
-    known = F.transform(turns, lambda _, i: F.coalesce(F.get(names, F.coalesce(F.get(ids, i), F.lit(-1))), F.lit("unknown")))
+    known = F.transform(turns, lambda _, i: F.coalesce(F.get(names, F.coalesce(F.get(ids("emotions"), i), F.lit(-1))), F.lit("unknown")))
+    acts = [F.transform(turns, lambda _, i: F.get(ids("acts"), i)).alias("acts")] if "acts" in df.columns else []
     out = df.select(
-        F.concat(F.lit("dailydialog-"), "split", F.lit("-"), "line").alias("id"), F.lit("dailydialog").alias("source"), "split", F.lit(DAILY_SYSTEM).alias("system"), turns.alias("turns"), known.alias("emotions")
+        F.concat(F.lit("dailydialog-"), "split", F.lit("-"), "line").alias("id"), F.lit("dailydialog").alias("source"), "split", F.lit(DAILY_SYSTEM).alias("system"), turns.alias("turns"), known.alias("emotions"), *acts
     )
     return out.where(F.size("turns") >= 2)
 
@@ -70,6 +73,44 @@ def personachat(df: DataFrame) -> DataFrame:
     return _samples(df.where(F.size("history") >= 2), "personachat", F.concat(F.lit("personachat-"), "split", F.lit("-"), "ordinal"), F.col("split"), _persona(F.col("personality")), turns)
 
 
+def personachat_records(values: DataFrame) -> DataFrame:
+    """(split, ordinal, history, personality, candidates) for personachat() from JSON records (path, ordinal, value): the first list there is of several keys, and the split of the path's name."""
+    v = F.parse_json("value")
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    split = F.when(F.contains(name, F.lit("valid")) | F.contains(name, F.lit("dev")), "valid").when(F.contains(name, F.lit("test")), "test").otherwise("train")
+    pick = lambda *keys: F.coalesce(*[F.try_variant_get(v, f"$.{k}", "array<string>") for k in keys], F.array().cast("array<string>"))
+    return values.select(split.alias("split"), "ordinal", pick("history", "dialogue", "utterances").alias("history"), pick("personality", "persona", "personas").alias("personality"), pick("candidates").alias("candidates"))
+
+
+def personachat_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of all PersonaChat files below a folder: JSON and JSON lines by record, CSV and Parquet by row, text by the numbered line protocol."""
+    kinds = {r.k for r in files.listing(spark, folder).select(F.lower(F.regexp_extract("path", r"\.([^.]+)$", 1)).alias("k")).distinct().collect()}
+    parts = [personachat(personachat_records(files.records(spark, folder, f"*.{k}"))) for k in ("json", "jsonl") if k in kinds]
+    for kind in ("csv", "parquet"):
+        if kind in kinds:
+            read = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", f"*.{kind}")
+            rows = read.csv(folder, header=True, multiLine=True, escape='"') if kind == "csv" else read.parquet(folder)
+            values = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ordinal"), F.to_json(F.struct(*rows.columns)).alias("value"))
+            parts.append(personachat(personachat_records(values)))
+    if "txt" in kinds:
+        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
+        split = F.substring_index(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "_", 1)
+        parts.append(parlai(lines.select(split.alias("split"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))))
+    if not parts:
+        return spark.createDataFrame([], "id string, source string, split string, system string, turns array<struct<role: string, text: string>>")
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def split_lookup(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("train", "dev", "test")) -> DataFrame:
+    """(rank, split, dialog_id) of the lists <split>.txt in a folder, an id a line; later lists have the higher rank."""
+    lines = spark.read.option("pathGlobFilter", "*.txt").text(folder).select(F.regexp_extract(F.col("_metadata.file_path"), r"([^/]+)\.txt$", 1).alias("split"), collapse(F.col("value")).alias("dialog_id"))
+    rank = F.array_position(F.array(*map(F.lit, splits)), F.col("split")) - 1
+    return lines.where((rank >= 0) & (F.col("dialog_id") != "")).select(rank.cast("int").alias("rank"), "split", "dialog_id")
+
+
 def parlai(df: DataFrame) -> DataFrame:
     """From lines (split, line, text) of numbered turns: number 1 starts a conversation; "your persona:" lines make the system text; others are usr, tab, agent."""
     text = strip(F.col("text"))
@@ -143,6 +184,41 @@ def _logic(df: DataFrame, id_: Column, source: Column, split: Column, task: Colu
     return df.select(id_.alias("id"), source.alias("source"), split.alias("split"), task.alias("task"), prompt.alias("prompt"), completion.alias("completion"))
 
 
+def folio_records(values: DataFrame, source: str, split: str) -> DataFrame:
+    """Samples of FOLIO's JSON records (ordinal, value): premises or context, conclusion or question, label or answer; only a conclusion is put as a question."""
+    v = F.parse_json("value")
+    get = lambda k: clean_value(F.try_variant_get(v, f"$.{k}", "variant"))
+    context, label = first_filled(get("premises"), get("context"), F.lit("")), first_filled(get("label"), get("answer"), F.lit(""))
+    question = F.when(get("conclusion") != "", F.concat(F.lit(FOLIO_QUESTION), get("conclusion"))).otherwise(get("question"))
+    options = F.array(F.lit("True"), F.lit("False"), F.lit("Uncertain"))
+    return _logic(values, F.concat(F.lit(f"{source}-{split}-"), "ordinal"), F.lit(source), F.lit(split), F.lit("first_order_logic_entailment"), build_prompt(context, question, options), label)
+
+
+def choice_records(values: DataFrame, source: str) -> DataFrame:
+    """Samples of multiple-choice JSON records (path, ordinal, value); see choices()."""
+    v = F.parse_json("value")
+    get = lambda k: clean_value(F.try_variant_get(v, f"$.{k}", "variant")).alias(k)
+    return choices(values.select("path", "ordinal", get("id"), get("context"), get("question"), F.try_variant_get(v, "$.options", "array<string>").alias("options"), get("answer")), source)
+
+
+def collect_logic(spark: SparkSession, folio_dir: str | None = None, choice_dir: str | None = None, proof_csv: str | None = None) -> DataFrame:
+    """All logic samples there are: FOLIO's JSON lines (split by file name), multiple choice, and proofs from a CSV file, in that order (source_rank)."""
+    parts = []
+    if folio_dir:
+        for split in ("train", "validation"):
+            found = files.json_values(spark, folio_dir, f"*{split}*.jsonl")
+            parts.append((0, folio_records(found, "folio", split)))
+    if choice_dir:
+        parts.append((1, choice_records(files.records(spark, choice_dir), "determlr")))
+    if proof_csv:
+        parts.append((2, proofs(files.csv_rows(spark, proof_csv).withColumn("ordinal", F.monotonically_increasing_id()), "pfolio")))
+    ranked = [p.withColumn("source_rank", F.lit(i)) for i, p in parts]
+    out = ranked[0]
+    for part in ranked[1:]:
+        out = out.unionByName(part)
+    return out
+
+
 def folio(df: DataFrame, source: str, split: str) -> DataFrame:
     """From (ordinal, premises array, conclusion, label)."""
     premises = F.array_join(F.filter(F.transform("premises", collapse), lambda p: p != ""), "\n")

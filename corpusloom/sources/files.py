@@ -202,7 +202,7 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.json*") -> DataF
     values = json_values(spark, folder, pattern)
     parsed = F.parse_json("value")
     wrapped = F.coalesce(*[F.try_variant_get(parsed, f"$.{k}", "array<variant>") for k in ("data", "examples", "samples")])
-    items = values.select("path", "ordinal", F.posexplode(F.coalesce(F.transform(wrapped, F.to_json), F.array("value"))).alias("pos", "value"))
+    items = values.select("path", "ordinal", F.posexplode(F.coalesce(F.transform(wrapped, lambda x: F.to_json(x)), F.array("value"))).alias("pos", "value"))
     # A wrapped record counts after its file's values before it; a file is one wrapper or many records.
     return items.select("path", (F.col("ordinal") + F.col("pos")).alias("ordinal"), "value")
 

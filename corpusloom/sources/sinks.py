@@ -53,6 +53,43 @@ def shard_integrity(samples: DataFrame, name: str = "name", tokens: str = "token
     )
 
 
+def cumulative_tokens(shards: DataFrame, name: str = "name") -> DataFrame:
+    """shard_integrity() rows with the tokens of all shards up to each, by name. A row for each shard passes the window."""
+    from pyspark.sql import Window
+
+    return shards.withColumn("cumulative", F.sum("n_tokens").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+def write_token_stream(df: DataFrame, path: str, ordinal: str, tokens: str = "tokens") -> None:
+    """All samples' tokens, one a row, in order of sample and place: a flat stream in Parquet, written in ranges of the ordinal."""
+    flat = df.select(F.col(ordinal).alias("o"), F.posexplode(tokens).alias("i", "token"))
+    flat.repartitionByRange("o").sortWithinPartitions("o", "i").select("token").write.mode("overwrite").parquet(path)
+
+
+def write_result(df: DataFrame, path: str) -> None:
+    """A table of one row (metrics, statistics) as a JSON file."""
+    df.coalesce(1).write.mode("overwrite").option("ignoreNullFields", "false").json(path)
+
+
+def report_text(failures: DataFrame, title: str, fields: list[str]) -> DataFrame:
+    """(text): a report of a short table, a block for each row with a line for each field; see next_report() for its name."""
+    block = F.array_join(F.array(*[F.concat(F.lit(f"{f}: "), F.coalesce(F.col(f).cast("string"), F.lit(""))) for f in fields]), "\n")
+    blocks = failures.agg(F.array_join(F.array_sort(F.collect_list(block)), "\n\n").alias("b"), F.count(F.lit(1)).alias("n"))
+    return blocks.select(F.concat(F.lit(f"{title}\ncount: "), F.col("n").cast("string"), F.when(F.col("n") > 0, F.concat(F.lit("\n\n"), "b")).otherwise("")).alias("text"))
+
+
+def save_tokenizer(vocabulary: DataFrame, path: str, about: dict[str, str]) -> None:
+    """A vocabulary (id, piece) as Parquet and what is told of it as JSON beside."""
+    vocabulary.write.mode("overwrite").parquet(f"{path}/vocabulary")
+    write_result(vocabulary.agg(F.count(F.lit(1)).alias("vocab_size"), *[F.lit(v).alias(k) for k, v in about.items()]), f"{path}/about")
+
+
+def catalog_rows(entries: DataFrame, base: str) -> DataFrame:
+    """Catalogue entries (index, name, category, repo, source_file, url, bytes, description) with local_path, the entry's folder and file below ``base``."""
+    file = F.element_at(F.split("source_file", "/"), -1)
+    return entries.withColumn("local_path", F.concat_ws("/", F.lit(base.rstrip("/")), catalog_dir(F.col("index"), F.col("name")), file))
+
+
 def catalog_dir(index: Column, name: Column) -> Column:
     """A catalogue entry's folder: two digits and the name in small letters, with runs of other characters as one _."""
     slug = F.regexp_replace(F.regexp_replace(F.lower(name), r"[^a-z0-9]+", "_"), "^_+|_+$", "")

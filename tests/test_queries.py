@@ -5,9 +5,9 @@ import os
 import duckdb
 import pytest
 
-from corpusloom.plans import catalogue
+from corpusloom.plans import catalogue, samples  # noqa: F401
 
-SF = "/root/testdata/sf0.001"
+SF = "/root/testdata/sf0.01"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
