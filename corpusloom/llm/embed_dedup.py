@@ -2,7 +2,7 @@
 
 Vectors of equal label are compared on the unit sphere, where a cosine of at least c is a
 distance of at most r = sqrt(2 - 2c). Equal vectors are one weighted point. The upper levels of a label's tree are
-laid in the cluster: a cell with more than ``BLOCK`` points of its own is cut by pivots, each point is at home with its nearest pivot, and is a guest of the
+laid in the cluster: a cell with more than ``BLOCKS`` blocks of points of its own is cut by pivots, each point is at home with its nearest pivot, and is a guest of the
 others whose home points may be within r: those whose covering radius and r reach it, and whose bisecting plane is at most r away. That is done again for cells that are
 still too large, as long as it at least halves the work. Cells that can't be cut so are dealt in blocks, every pair of which is a task.
 In a task blocks become cover trees (nested levels, radii halved from level to level), and pairs of nodes are
@@ -28,6 +28,8 @@ COSINE = 0.98
 BLOCK = 2048
 #: A cell is cut by a pivot for so many points (as expected of a draw by hash), by eight at least and PIVOTS at most.
 POINTS, PIVOTS = 50, 4096
+#: A cell of up to so many blocks is dealt in blocks without a cut: its copies are as few.
+BLOCKS = 4
 #: Members of a cell that one task holds against its pivots.
 _SHARE = 1 << 16
 LEAF = 64
@@ -259,9 +261,9 @@ def cut(members: DataFrame, reach: float, block: int = BLOCK) -> DataFrame:
         sizes = members.groupBy("cell").agg(F.count_if("home").alias("h"), F.count(F.lit(1)).alias("a"))
         sizes = written(sizes, "sizes")
         sized = members.join(sizes, "cell")
-        final = sized.where(F.col("h") <= block)
+        final = sized.where(F.col("h") <= BLOCKS * block)
         done = final if done is None else done.unionByName(final)
-        large = sizes.where(F.col("h") > block)
+        large = sizes.where(F.col("h") > BLOCKS * block)
         if large.isEmpty():
             break
         many = F.least(F.greatest(F.col("h") / POINTS, F.lit(8)), F.lit(PIVOTS))
@@ -269,7 +271,7 @@ def cut(members: DataFrame, reach: float, block: int = BLOCK) -> DataFrame:
         shares = F.ceil(F.col("a") / _SHARE).cast("int")
         share = F.pmod(F.xxhash64("id"), shares).cast("int").alias("share")
         each = F.explode(F.sequence(F.lit(0), shares - 1)).alias("share")
-        in_large = sized.where(F.col("h") > block)
+        in_large = sized.where(F.col("h") > BLOCKS * block)
         pivots = in_large.where(F.col("home") & drawn).drop("h")
         pivots = written(pivots.withColumn("p", F.row_number().over(Window.partitionBy("cell").orderBy("id")) - 1), "pivots")
         dealt = lambda df: df.repartition("cell", "share").sortWithinPartitions("cell", "share", "member", "p")
@@ -288,8 +290,11 @@ def cut(members: DataFrame, reach: float, block: int = BLOCK) -> DataFrame:
         fine = (F.col("work") <= F.col("h") * F.col("a") / 2) & (F.col("copies") <= F.col("a") * blocks("h"))
         worth = written(work.join(large, "cell").select("cell", "h", "a", fine.alias("worth")), "worth")
         done = done.unionByName(placed.join(worth.where("not worth").drop("worth"), "cell").select(*_KEPT, "h", "a"))
-        parts = gone.join(worth.where("worth").select("cell"), "cell", "left_semi").select("cell", "to")
-        moved = placed.select("cell", "id", "n", "embedding", "home", "own", F.explode("goes").alias("to")).join(parts, ["cell", "to"])
+        chosen = worth.where("worth").select("cell")
+        if chosen.isEmpty():
+            break
+        parts = gone.join(chosen, "cell", "left_semi").select("cell", "to")
+        moved = placed.join(chosen, "cell", "left_semi").select("cell", "id", "n", "embedding", "home", "own", F.explode("goes").alias("to")).join(parts, ["cell", "to"])
         moved = moved.select(F.xxhash64("cell", "to", F.lit(level)).alias("cell"), (F.col("home") & (F.col("own") == F.col("to"))).alias("home"), "id", "n", "embedding")
         members = written(moved, "members")
     return done
