@@ -5,10 +5,11 @@ Dialogues: (id, source, split, system, turns array<struct<role, text>>). Logic:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import clean_value, collapse, first_filled, sorted_json, strip
+from corpusloom.operators.corpus import running_sum, with_index
 from corpusloom.operators.dialogue import perspectives, role_runs
 from corpusloom.operators.logic import build_prompt
 from corpusloom.sources import files
@@ -112,18 +113,20 @@ def split_lookup(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("t
 
 
 def parlai(df: DataFrame) -> DataFrame:
-    """From lines (split, line, text) of numbered turns: number 1 starts a conversation; "your persona:" lines make the system text; others are usr, tab, agent."""
+    """From lines (split, line, text) of numbered turns: number 1 starts a conversation; "your persona:" lines make the system text; others are usr, tab, agent.
+
+    ``line`` is unique within a split. Conversations are numbered by running sums over buckets of lines, so no split passes through one task.
+    """
     text = strip(F.col("text"))
     lines = df.where(F.contains(text, F.lit(" "))).select("split", "line", F.substring_index(text, " ", 1).alias("no"), F.regexp_replace(text, r"^[^ ]* ", "").alias("said"))
-    w = Window.partitionBy("split").orderBy("line")
-    lines = lines.withColumn("conv", F.sum((F.col("no") == "1").cast("int")).over(w))
+    starts = (F.col("no") == "1").cast("long")
+    lines = running_sum(lines, starts, "line", "before", ["split"]).withColumn("conv", F.col("before") + starts).drop("before")
     persona = F.startswith("said", F.lit("your persona:"))
     user, agent = collapse(F.split("said", "\t")[0]), collapse(F.get(F.split("said", "\t"), F.lit(1)))
     pair = F.when(~persona & (user != "") & (agent != ""), F.struct("line", F.array(_turn(F.lit("usr"), user), _turn(F.lit("agent"), agent)).alias("t")))
     told = F.when(persona, F.struct("line", collapse(F.regexp_replace("said", "^your persona:", "")).alias("p")))
     convs = lines.groupBy("split", "conv").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list(told)).alias("told")).where(F.size("pairs") > 0)
-    number = F.row_number().over(Window.partitionBy("split").orderBy("conv")) - 1
-    convs = convs.withColumn("n", number)
+    convs = with_index(convs, "conv", "n", ["split"])
     turns = F.flatten(F.transform("pairs", lambda p: p.t))
     return _samples(convs, "personachat", F.concat(F.lit("personachat-"), "split", F.lit("-"), "n"), F.col("split"), _persona(F.transform("told", lambda p: p.p)), turns)
 

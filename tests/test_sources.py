@@ -97,6 +97,10 @@ def test_personachat(spark):
     got = dialogues.parlai(spark.createDataFrame([("train", i, t) for i, t in enumerate(lines)], "split string, line long, text string")).orderBy("id").collect()
     assert [(r.id, _turns(r)) for r in got] == [("personachat-train-0", [("usr", "hi"), ("agent", "hello")]), ("personachat-train-1", [("usr", "a"), ("agent", "b")])]
     assert got[1].system.endswith("- You?")
+    # Conversations over several buckets of lines, with gaps between the lines.
+    far = [("train", 50_000 * i, f"{i % 3 + 1} q{i}\ta{i}") for i in range(30)]
+    got = dialogues.parlai(spark.createDataFrame(far, "split string, line long, text string")).collect()
+    assert {r.id: [t for _, t in _turns(r)] for r in got} == {f"personachat-train-{k}": [x for i in range(3 * k, 3 * k + 3) for x in (f"q{i}", f"a{i}")] for k in range(10)}
 
 
 def test_livechat_and_naturalconv(spark):
