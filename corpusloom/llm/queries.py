@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, packing, quality, simhash, unigram_count, warc
+from corpusloom.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, merkle, packing, quality, simhash, unigram_count, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,17 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The manifest, and for each row the root that its proof gives for a table tampered with."""
+    docs = table(spark, sf_dir, "documents")
+    bad = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    tampered = {"n_chars": F.col("n_chars") + F.coalesce(bad, F.lit(False)).cast("long")}
+    now = merkle.leaf_digest([tampered.get(f, F.col(f)) for f in merkle.FIELDS])
+    proof = (F.col("before"), F.col("after"))
+    rows = merkle.manifest(docs, carry={"now": now}).withColumn("folded_root", merkle.fold(F.col("now"), *proof))
+    return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(*proof).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -85,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op12_merkle": op12_merkle,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op10_line_dedup": line_dedup.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op10_line_dedup": line_dedup.SQL, "op12_merkle": merkle.SQL}
