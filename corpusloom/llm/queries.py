@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpusloom.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, merkle, packing, quality, simhash, unigram_count, warc
+from corpusloom.llm import decontam, embed_dedup, html_extract, license_scan, line_dedup, merkle, packing, quality, simhash, spelling, toxicity, unigram_count, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -74,6 +74,10 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(docs)
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_groups(table(spark, sf_dir, "documents"), slips=31)
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The manifest, and for each row the root that its proof gives for a table tampered with."""
     docs = table(spark, sf_dir, "documents")
@@ -85,6 +89,15 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(*proof).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the rows that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels").where(~held_out))
+    scored = toxicity.score_toxicity(docs, model, keep={"held_out": held_out})
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), F.size("passages").alias("n_passages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_warc": op2_warc,
@@ -96,7 +109,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_html": op8_html,
     "op9_quality": op9_quality,
     "op10_line_dedup": op10_line_dedup,
+    "op11_spelling": op11_spelling,
     "op12_merkle": op12_merkle,
+    "op13_toxicity": op13_toxicity,
 }
 
-ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op10_line_dedup": line_dedup.SQL, "op12_merkle": merkle.SQL}
+ORACLE_SQL: dict[str, str] = {"op2_warc": warc.SQL, "op6_embedding_dedup": embed_dedup.SQL, "op10_line_dedup": line_dedup.SQL, "op11_spelling": spelling.SQL, "op12_merkle": merkle.SQL}
