@@ -11,8 +11,8 @@ the significant segments of a text are combined by it, and a logistic curve turn
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator, Sequence
+from dataclasses import dataclass, replace
 from math import exp, lgamma, log
 
 import numpy as np
@@ -36,7 +36,7 @@ E_VALUE, COMBINED = 0.01, 8
 #: Evidence beyond this tells no more.
 CERTAIN = 40.0
 _WORD = re.compile(r"\w+")
-_MEMO, _MEMO_CHARS, _ROWS = 50_000, 32, 256
+_MEMO, _MEMO_CHARS, _ROWS = 150_000, 32, 256
 
 
 def _units(word: str) -> tuple[int, ...]:
@@ -60,6 +60,23 @@ class _Memo(dict):
         return value
 
 
+def _laws(toxic: float, n: float, share: float) -> tuple[float, float]:
+    """Of a unit in n texts: how much likelier (a logarithm) its toxic ones are if it says nothing than if it marks, and its share as a marker."""
+    (a, b), clean = MARKER, n - toxic
+    marker = lgamma(toxic + a) + lgamma(clean + b) - lgamma(n + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b)
+    return toxic * log(share) + clean * log(1 - share) - marker, (toxic + a) / (n + a + b)
+
+
+def _word_score(laws: list[tuple[float, float]], share: float) -> float:
+    """The score of a word by the laws of its units."""
+    marks, tilt = RARE, share
+    for against, tilt in laws:
+        weight = max(RARE, AKIN * marks)
+        marks = 1 / (1 + (1 - weight) / weight * exp(min(against, 500.0)))
+    mixed = marks * tilt + (1 - marks) * share
+    return log(mixed / (1 - mixed)) - log(share / (1 - share)) - DRIFT
+
+
 @dataclass(frozen=True)
 class Model:
     """Texts with each bucket, toxic and all; the share of toxic texts; the extreme-value law's rate and size; the logistic curve."""
@@ -71,20 +88,16 @@ class Model:
     size: float = 1.0
     curve: tuple[float, float] = (0.0, 0.0)
 
-    def word(self, word: str, own: int | None = None) -> float:
-        """A word's score; with ``own`` as if a text with that label, which holds the word, hadn't been counted."""
-        (a, b), marks = MARKER, RARE
-        for unit in _units(word):
-            toxic, n = float(self.toxic[unit]), float(self.all[unit])
-            if own is not None:
-                toxic, n = toxic - own, n - 1
-            clean = n - toxic
-            nothing = toxic * log(self.share) + clean * log(1 - self.share)
-            marker = lgamma(toxic + a) + lgamma(clean + b) - lgamma(n + a + b) - lgamma(a) - lgamma(b) + lgamma(a + b)
-            weight = max(RARE, AKIN * marks)
-            marks = 1 / (1 + (1 - weight) / weight * exp(min(nothing - marker, 500.0)))
-        share = marks * (toxic + a) / (n + a + b) + (1 - marks) * self.share
-        return log(share / (1 - share)) - log(self.share / (1 - self.share)) - DRIFT
+    def word(self, word: str, own: int = 0, counted: int = 0) -> float:
+        """A word's score; with ``counted`` 1 as if a text with the label ``own``, which holds the word, hadn't been counted."""
+        return _word_score([_laws(float(self.toxic[u]) - own, float(self.all[u]) - counted, self.share) for u in _units(word)], self.share)
+
+    def words(self) -> Callable[[str], float]:
+        """word() with the laws of all buckets laid out, each pair of counts reckoned once."""
+        pairs, where = np.unique(np.stack([self.toxic, self.all], 1), axis=0, return_inverse=True)
+        laws = np.array([_laws(float(t), float(n), self.share) for t, n in pairs])[where.reshape(-1)]
+        against, tilt, share = laws[:, 0].astype(np.float32), laws[:, 1].astype(np.float32), self.share
+        return lambda word: _word_score([(float(against[u]), float(tilt[u])) for u in _units(word)], share)
 
     def evidence(self, segments: Sequence[tuple[int, int, float]], n: int) -> float:
         """-log of the chance of segments as good in a text of ``n`` tokens: the best of the sum statistics of the first, the first two, and so on."""
@@ -101,14 +114,15 @@ class Model:
         return 1 / (1 + exp(-min(max(self.curve[0] + self.curve[1] * evidence, -50.0), 50.0)))
 
 
-def _scores(words: list[str], of) -> np.ndarray:
-    """The scores of a text's tokens; repeats nearby aren't evidence of their own, so they have the drift alone."""
+def _scores(words: list[str], memo: dict[str, float]) -> np.ndarray:
+    """The scores of a text's tokens; a mark's repeats nearby aren't evidence of their own, so they have the drift alone."""
+    out = np.fromiter(map(memo.__getitem__, words), float, len(words))
     last: dict[str, int] = {}
-    out = []
-    for i, word in enumerate(words):
-        out.append(of[word] if i - last.get(word, -AGAIN) >= AGAIN else -DRIFT)
-        last[word] = i
-    return np.array(out)
+    for i in np.flatnonzero(out > 0).tolist():
+        if i - last.get(words[i], -AGAIN) < AGAIN:
+            out[i] = -DRIFT
+        last[words[i]] = i
+    return out
 
 
 def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
@@ -261,7 +275,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
             out = []
             for text, label in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 words = _WORD.findall(text.lower())
-                own = {w: model.word(w, label) for w in set(words)}
+                own = {w: model.word(w, label, 1) for w in set(words)}
                 found = maximal_segments(_scores(words, own))
                 found.sort(key=lambda s: -s[2])
                 out.append(([s[2] for s in found[:COMBINED]], len(words), label))
@@ -301,16 +315,18 @@ def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_c
         small = text.lower()
         words = _WORD.findall(small)
         segments = maximal_segments(_scores(words, memo))
-        evidence = model.evidence(segments, len(words))
-        return model.probability(evidence), evidence, _passages(text if len(small) == len(text) else small, segments, model, max(len(words), 1))
+        evidence = law.evidence(segments, len(words))
+        return law.probability(evidence), evidence, _passages(text if len(small) == len(text) else small, segments, law, max(len(words), 1))
+
+    known, law = model.words() if model.share else None, replace(model, toxic=None, all=None)  # tasks get the laws, not the counts
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo(model.word)
+        memo = _Memo(known)
         for batch in batches:
             for at in range(0, batch.num_rows, _ROWS):
                 part = batch.slice(at, _ROWS)
                 texts = part.column("text").to_pylist()
-                out = list(zip(*(one(t, memo) for t in texts), strict=True)) if model.share else [[0.0] * len(texts), [0.0] * len(texts), [[]] * len(texts)]
+                out = list(zip(*(one(t, memo) for t in texts), strict=True)) if law.share else [[0.0] * len(texts), [0.0] * len(texts), [[]] * len(texts)]
                 kept = {n: part.column(n) for n in part.schema.names if n != "text"}
                 yield pa.RecordBatch.from_pydict(kept | {"score": pa.array(out[0]), "evidence": pa.array(out[1]), "passages": pa.array(out[2], passage)})
 
