@@ -7,11 +7,10 @@ the file. A JSON value is handed on as its text.
 from __future__ import annotations
 
 import io
-import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from itertools import groupby, islice
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -22,6 +21,7 @@ from pyspark.sql import functions as F
 from corpusloom.functions.text import strip
 from corpusloom.operators.corpus import first_rows, running_sum, with_index
 from corpusloom.operators.jsontext import collect_text
+from corpusloom.sources.json_split import split_values
 
 
 def _with_path(df: DataFrame) -> DataFrame:
@@ -108,93 +108,9 @@ def markdown_leaves(spark: SparkSession, folder: str, bindings: dict[str, str] |
     return _ordered(leaves.select("path", strip(text).alias("text")), found)
 
 
-#: Characters of a chunk in which large files of JSON values are read.
-CHUNK = 1 << 20
-_SPACES = " \t\r\n"
-
-
-def values_of(pieces: Iterator[str]) -> Iterator[str]:
-    """JSON values from the pieces of a text: the items of an array, or values one after another with or without space between.
-
-    Only a value that isn't whole yet, and the piece it goes on in, are held; what is tried again is twice as long each time.
-    """
-    decoder = json.JSONDecoder()
-    text, at, array, begun, ended = "", 0, False, False, False
-
-    def more(least: int) -> None:
-        """Drop what is done and take at least so many characters more, or all that are left."""
-        nonlocal text, at, ended
-        parts, held = [text[at:]], 0
-        while held < least and not ended:
-            piece = next(pieces, None)
-            ended = piece is None
-            parts.append(piece or "")
-            held += len(piece or "")
-        text, at = "".join(parts), 0
-
-    while True:
-        while at < len(text) and (text[at] in _SPACES or array and text[at] == ","):
-            at += 1
-        if at == len(text):
-            if ended:
-                if array:
-                    raise ValueError("the JSON array isn't closed")
-                return
-            more(1)
-            continue
-        if not begun:
-            begun, array = True, text[at] == "["
-            at += array
-            if array:
-                continue
-        if array and text[at] == "]":
-            return
-        try:
-            value, end = decoder.raw_decode(text, at)
-        except json.JSONDecodeError:
-            if ended:
-                raise
-            more(max(CHUNK, len(text) - at))
-            continue
-        if end == len(text) and not ended:  # a number may go on
-            more(max(CHUNK, end - at))
-            continue
-        at = end
-        yield json.dumps(value, ensure_ascii=False)
-
-
 def json_values(spark: SparkSession, folder: str, pattern: str = "*.json") -> DataFrame:
-    """(path, ordinal, value) of JSON files: arrays, or values in a row on any lines; what can't be parsed fails the read.
-
-    Files are read through Spark's text source, a line at a time and never whole, so they may be of any size; a file of one line must have it below 2 GB.
-    """
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
-    lines = _with_path(lines.select("value", "_metadata")).withColumn("split", F.col("_metadata.file_block_start")).select("path", "split", "value")
-    # Lines stay in order within a split; a file's splits follow each other in one task.
-    placed = lines.withColumn("seq", F.monotonically_increasing_id()).repartition("path").sortWithinPartitions("path", "split", "seq")
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[tuple[str, str]]:
-            for batch in batches:
-                yield from zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)
-
-        for path, group in groupby(rows(), key=lambda r: r[0]):
-            first = True
-
-            def pieces(group=group) -> Iterator[str]:
-                nonlocal first
-                for _, line in group:
-                    yield line.removeprefix("\ufeff") + "\n" if first else line + "\n"
-                    first = False
-
-            found = values_of(pieces())
-            seq = 0
-            while held := list(islice(found, 1000)):
-                yield pa.record_batch([pa.array([path] * len(held)), pa.array(range(seq, seq + len(held)), pa.int64()), pa.array(held)], names=["path", "seq", "value"])
-                seq += len(held)
-
-    rows = placed.select("path", "value").mapInArrow(work, "path string, seq long, value string")
-    return _ordered(rows, listing(spark, folder, pattern), "seq").drop("seq")
+    """(path, ordinal, value) of JSON files: arrays, or values in a row on any lines; what can't be parsed fails the read. See json_split: a file may be of any size, and is read by many tasks."""
+    return _ordered(split_values(spark, folder, pattern), listing(spark, folder, pattern), "place").drop("place")
 
 
 def records(spark: SparkSession, folder: str, pattern: str = "*.json*") -> DataFrame:

@@ -17,23 +17,6 @@ def put(folder, name, content):
     path.write_text(content, encoding="utf-8")
 
 
-@pytest.mark.parametrize("size", [1, 2, 7, 64])
-def test_json_in_pieces(size, monkeypatch):
-    monkeypatch.setattr(files, "CHUNK", size)
-    pieces = lambda t: (t[i : i + size] for i in range(0, len(t), size))
-    many = [{"a": "x" * 40, "b": [1, 2.5, None]}, 12, "é\n", [], True]
-    for whole in (json.dumps(many), json.dumps(many, indent=2).replace(",\n  {", ",,\n  {"), "  " + json.dumps(many) + " "):
-        assert [json.loads(v) for v in files.values_of(pieces(whole))] == many
-    row = [{"a": 1}, {"b": [2]}, 345, "s"]
-    for between in ("", "\n", "  \n\n"):
-        joined = between.join(map(json.dumps, row[:2])) + " " + " ".join(map(json.dumps, row[2:]))
-        assert [json.loads(v) for v in files.values_of(pieces(joined))] == row
-    assert list(files.values_of(iter([]))) == [] == list(files.values_of(pieces("[]")))
-    for bad in ("[1, 2", '{"a": ', '{"a": 1} nonsense'):
-        with pytest.raises(ValueError):
-            list(files.values_of(pieces(bad)))
-
-
 def test_mixed_corpus(spark, tmp_path):
     put(tmp_path, "b/x.json", json.dumps([{"text": "one"}, {"content": "two"}, {"n": 3}], indent=1))
     put(tmp_path, "b/y.jsonl", '{"question": "q1", "answer": "a1"}\n\n{"text": "three"}\n')
