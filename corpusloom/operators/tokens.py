@@ -76,20 +76,6 @@ def byte_alphabet() -> dict[int, str]:
     return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(rest)}}
 
 
-def encode_pieces(df: DataFrame, path: str, ordinal: str, text: str = "text") -> DataFrame:
-    """(ordinal, ids): texts encoded by pre-token, each distinct one once, as a byte-level tokenizer without added tokens in the text does; ids in order of place.
-
-    For corpora whose pieces repeat often: merging runs over distinct pieces, and texts are put together by a join that splits hot pieces (adaptive skew join).
-    A text without pieces has no ids.
-    """
-    pieces = df.select(ordinal, F.posexplode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("place", "piece"))
-    distinct = pieces.groupBy("piece").agg(F.count(F.lit(1)).alias("n")).select("piece", encode(F.col("piece"), path).alias("ids"))
-    found = pieces.join(distinct, "piece").groupBy(ordinal).agg(F.array_sort(F.collect_list(F.struct("place", "ids"))).alias("p"))
-    placed = found.select(F.col(ordinal).alias("_o"), F.flatten(F.transform("p", lambda x: x.ids)).alias("_ids"))
-    empty = F.array().cast("array<int>")
-    return df.select(ordinal).join(placed, F.col(ordinal) == F.col("_o"), "left").select(ordinal, F.coalesce("_ids", empty).alias("ids"))
-
-
 def decoded_shards(samples: DataFrame, path: str, most: int | None = None, drop: list[int] | None = None) -> DataFrame:
     """(name, sample_index, text) of token shards' samples, the ``most`` first by name and sample."""
     rows = samples if most is None else samples.orderBy("name", "sample_index").limit(most)

@@ -532,7 +532,28 @@ def sha256_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Tokenizers: a public file, whose path is a parameter of the operators
 
 
-@query()
+#: SQL for the pieces of documents: white space before another white space that a piece begins with is marked off, as patterns can't look ahead there.
+_PIECES = r"""cut AS (SELECT doc_id, regexp_replace(text, '(\s+)(\s\S)', '\1' || chr(57344) || '\2', 'g') AS t FROM documents),
+p AS (SELECT doc_id, unnest(l) AS piece, unnest(range(len(l))) AS place FROM (SELECT doc_id, regexp_extract_all(t, '''s|''t|''re|''ve|''m|''ll|''d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}' || chr(57344) || ']+|\s+') AS l FROM cut))"""
+#: The pieces' ids by merging in rounds (ranks as in the tokenizer's file), and those of each document.
+_IDS = f"""{_PIECES},
+vocab AS (SELECT unnest(map_keys(v)) AS sym, unnest(map_values(v)) AS id FROM (SELECT CAST(content::JSON -> '$.model.vocab' AS MAP(VARCHAR, INT)) AS v FROM read_text('{_tokenizer()}'))),
+ranks AS (SELECT m[1] AS a, m[2] AS b, k AS rank FROM (SELECT unnest(l) AS m, unnest(range(len(l))) AS k FROM (SELECT CAST(content::JSON -> '$.model.merges' AS VARCHAR[][]) AS l FROM read_text('{_tokenizer()}')))),
+bytes AS (SELECT piece, k AS pos, CAST('0x' || substr(h, 2 * k + 1, 2) AS INT) AS b FROM (SELECT piece, hex(encode(piece)) AS h, unnest(range(strlen(piece))) AS k FROM (SELECT DISTINCT piece FROM p))),
+alphabet AS (SELECT b, CASE WHEN plain THEN chr(b::INT) ELSE chr((255 + sum(1 - plain::INT) OVER (ORDER BY b))::INT) END AS sym FROM (SELECT b, b BETWEEN 33 AND 126 OR b BETWEEN 161 AND 172 OR b >= 174 AS plain FROM range(256) r(b))),
+merging AS (SELECT piece, pos, sym, 0 AS round, true AS go FROM bytes JOIN alphabet USING (b)
+  UNION ALL
+  SELECT piece, pos, CASE WHEN mine THEN sym || next ELSE sym END, round + 1, least IS NOT NULL FROM
+    (SELECT *, coalesce(lag(mine) OVER (PARTITION BY piece ORDER BY pos), false) AS gone FROM
+      (SELECT *, coalesce(rank = least AND (i - run) % 2 = 0, false) AS mine FROM
+        (SELECT *, max(CASE WHEN rank = least AND NOT coalesce(before = least, false) THEN i END) OVER (PARTITION BY piece ORDER BY pos) AS run FROM
+          (SELECT *, min(rank) OVER (PARTITION BY piece) AS least, lag(rank) OVER (PARTITION BY piece ORDER BY pos) AS before FROM
+            (SELECT m.*, r.rank FROM (SELECT *, lead(sym) OVER (PARTITION BY piece ORDER BY pos) AS next, row_number() OVER (PARTITION BY piece ORDER BY pos) AS i FROM merging WHERE go) m LEFT JOIN ranks r ON r.a = m.sym AND r.b = m.next))))) WHERE NOT gone),
+done AS (SELECT piece, list(id ORDER BY pos) AS ids FROM merging JOIN vocab USING (sym) WHERE NOT go GROUP BY piece),
+texts AS (SELECT doc_id, flatten(list(ids ORDER BY place)) AS ids FROM p JOIN done USING (piece) GROUP BY doc_id)"""
+
+
+@query(f"WITH {_PIECES} SELECT piece, count(*) AS n FROM p GROUP BY piece")
 def pretoken_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.pretoken_counts(_docs(spark, sf_dir))
 
@@ -542,7 +563,7 @@ def bpe_vocab(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.vocabulary(spark, f"file://{_tokenizer()}")
 
 
-@query()
+@query(f"WITH RECURSIVE {_IDS} SELECT doc_id, coalesce(len(ids), 0) AS n_tokens FROM documents LEFT JOIN texts USING (doc_id)")
 def bpe_encode_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", _long(F.size(tokens.encode(F.col("text"), _tokenizer()))).alias("n_tokens"))
 
@@ -553,7 +574,11 @@ def bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.md5(tokens.decode(ids, _tokenizer())).alias("digest"))
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE {_IDS},
+    stream AS (SELECT source, flatten(list(list_append(coalesce(ids, []), 50256) ORDER BY doc_id)) AS ids FROM documents LEFT JOIN texts USING (doc_id) GROUP BY source)
+    SELECT source, chunk, ids[chunk * 10000 + 1 : chunk * 10000 + 10000] AS ids FROM (SELECT source, ids, unnest(range(len(ids) // 10000)) AS chunk FROM stream)"""
+)
 def pack_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).withColumn("ids", tokens.encode(F.col("text"), _tokenizer(), eos=50256))
     return corpus.pack_ids(docs, "doc_id", 10_000)

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpusloom.functions import text
-from corpusloom.operators import batching, corpus, metrics, tokens
-from corpusloom.plans.catalogue import _docs, _long, _table, _tokenizer, query
+from corpusloom.operators import batching, corpus, merging, metrics
+from corpusloom.plans.catalogue import _IDS, _docs, _long, _table, _tokenizer, query
 from corpusloom.sources import files, samples, sinks
 
 
@@ -137,10 +137,10 @@ def shard_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.nth(rows, 7).unionByName(files.nth(rows, -1)).select("index", "path")
 
 
-@query("SELECT doc_id, md5(text) AS digest FROM documents")
+@query(f"WITH RECURSIVE {_IDS} SELECT doc_id, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_tokens, md5(coalesce(array_to_string(ids, ','), '')) AS digest FROM documents LEFT JOIN texts USING (doc_id)")
 def encode_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = tokens.encode_pieces(_docs(spark, sf_dir), _tokenizer(), "doc_id")
-    return ids.select("doc_id", F.md5(tokens.decode(F.col("ids"), _tokenizer())).alias("digest"))
+    ids = merging.encode_pieces(_docs(spark, sf_dir), _tokenizer(), "doc_id")
+    return ids.select("doc_id", _long(F.size("ids")).alias("n_tokens"), F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("digest"))
 
 
 @query("SELECT CAST(floor(i / 7) AS BIGINT) AS batch_id, CAST(7 AS BIGINT) AS rows FROM (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i FROM documents) GROUP BY 1")
