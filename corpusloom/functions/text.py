@@ -9,13 +9,17 @@ from pyspark.sql import functions as F
 WHITE = r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 
 
+#: The same code points as a text.
+_WHITE_CHARS = "".join(chr(c) for low, high in ((0x09, 0x0D), (0x1C, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000)) for c in range(low, high + 1))
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{WHITE}+|{WHITE}+$", "")
+    """Without white space at both ends; in linear time, however much of it there is inside."""
+    return F.btrim(text, F.lit(_WHITE_CHARS))
 
 
 def rstrip(text: Column) -> Column:
-    return F.regexp_replace(text, f"{WHITE}+$", "")
+    return F.rtrim(text, F.lit(_WHITE_CHARS))
 
 
 def collapse(text: Column) -> Column:

@@ -20,12 +20,13 @@ def clean(df: DataFrame, text: str = "text") -> DataFrame:
 
 
 def running_sum(df: DataFrame, value: Column, ordinal: str, out: str, keys: Sequence[str] = (), width: int = 1 << 16, levels: int = 2) -> DataFrame:
-    """``df`` with the sum of ``value`` over earlier rows of the same keys as ``out`` (0 for the first). ordinal: a unique whole number within the keys.
+    """``df`` with the sum of ``value`` over earlier rows of the same keys as ``out`` (0 for the first). ordinal: a unique whole number within the keys; a null one, which has no place, fails the job.
 
     Sums of buckets of ``width`` ordinals are summed in the same way, by buckets of buckets, before a window passes over what is left: with two levels
     one row for each width^2 ordinals. So ordinals may be as sparse as bytes of files are.
     """
-    bucket = F.floor(F.col(ordinal) / F.lit(width))
+    known = F.when(F.col(ordinal).isNull(), F.raise_error(F.lit(f"a null {ordinal} has no place in a running sum")).cast("double")).otherwise(F.col(ordinal))
+    bucket = F.floor(known / F.lit(width))
     df = df.withColumns({"_v": value.cast("long"), "_b": bucket})
     sums = df.groupBy(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)], F.col("_b").alias("_c")).agg(F.sum("_v").alias("_s"))
     names = [f"_k{i}" for i in range(len(keys))]

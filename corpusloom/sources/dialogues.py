@@ -13,6 +13,7 @@ from corpusloom.operators.corpus import running_sum, with_index
 from corpusloom.operators.dialogue import perspectives, role_runs
 from corpusloom.operators.logic import build_prompt
 from corpusloom.sources import files
+from corpusloom.sources.lines import numbered_lines, zip_lines
 
 #: System texts and emotion names of the corpora.
 DAILY_SYSTEM = "You are a helpful dialogue agent. Respond naturally across the full conversation."
@@ -61,6 +62,20 @@ def dailydialog_lines(df: DataFrame) -> DataFrame:
     return out.where(F.size("turns") >= 2)
 
 
+def dailydialog_files(spark: SparkSession, folder: str) -> DataFrame:
+    """Samples of the text release: dialogues_text.txt, dialogues_emotion.txt and dialogues_act.txt below train, validation and test, joined by line number.
+
+    Of several files of a name below a split the first by path counts. A missing file, or line of one, has no ids; lines of emotions
+    or acts beyond the texts count for nothing.
+    """
+    pattern = r"/(train|validation|test)/(?:.*/)?dialogues_(text|emotion|act)\.txt$"
+    split, part = F.regexp_extract("path", pattern, 1), F.regexp_extract("path", pattern, 2)
+    first = files.listing(spark, folder, "dialogues_*.txt").where(part != "").groupBy(split.alias("s"), part.alias("p")).agg(F.min_by("path", F.split("path", "/")).alias("path"))
+    lines = numbered_lines(spark, folder, "dialogues_*.txt").join(F.broadcast(first.select("path")), "path", "left_semi")  # nine rows at most
+    rows = zip_lines(lines, part, ["text", "emotion", "act"], [split.alias("split")]).where("text is not null")
+    return dailydialog_lines(rows.select("split", "line", "text", F.col("emotion").alias("emotions"), F.col("act").alias("acts")))
+
+
 def _persona(lines: Column) -> Column:
     listed = F.transform(F.filter(F.transform(lines, collapse), lambda p: p != ""), lambda p: F.concat(F.lit("- "), p))
     return F.when(F.coalesce(F.size(lines), F.lit(0)) > 0, F.concat(F.lit(PERSONA_SYSTEM + "\nPersona:\n"), F.array_join(listed, "\n"))).otherwise(PERSONA_SYSTEM)
@@ -94,9 +109,8 @@ def personachat_files(spark: SparkSession, folder: str) -> DataFrame:
             values = rows.select(F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("ordinal"), F.to_json(F.struct(*rows.columns)).alias("value"))
             parts.append(personachat(personachat_records(values)))
     if "txt" in kinds:
-        lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").text(folder)
-        split = F.substring_index(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1), "_", 1)
-        parts.append(parlai(lines.select(split.alias("split"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("text"))))
+        stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+        parts.append(parlai(numbered_lines(spark, folder).select("path", stem.alias("split"), "line", F.col("value").alias("text"))))
     if not parts:
         return spark.createDataFrame([], "id string, source string, split string, system string, turns array<struct<role: string, text: string>>")
     out = parts[0]
@@ -115,18 +129,20 @@ def split_lookup(spark: SparkSession, folder: str, splits: tuple[str, ...] = ("t
 def parlai(df: DataFrame) -> DataFrame:
     """From lines (split, line, text) of numbered turns: number 1 starts a conversation; "your persona:" lines make the system text; others are usr, tab, agent.
 
-    ``line`` is unique within a split. Conversations are numbered by running sums over buckets of lines, so no split passes through one task.
+    ``line`` is unique within a split, or within a path and split where there is a column path. Conversations are numbered by running sums over buckets
+    of lines, so no split passes through one task.
     """
+    keys = ["path", "split"] if "path" in df.columns else ["split"]
     text = strip(F.col("text"))
-    lines = df.where(F.contains(text, F.lit(" "))).select("split", "line", F.substring_index(text, " ", 1).alias("no"), F.regexp_replace(text, r"^[^ ]* ", "").alias("said"))
+    lines = df.where(F.contains(text, F.lit(" "))).select(*keys, "line", F.substring_index(text, " ", 1).alias("no"), F.regexp_replace(text, r"^[^ ]* ", "").alias("said"))
     starts = (F.col("no") == "1").cast("long")
-    lines = running_sum(lines, starts, "line", "before", ["split"]).withColumn("conv", F.col("before") + starts).drop("before")
+    lines = running_sum(lines, starts, "line", "before", keys).withColumn("conv", F.col("before") + starts).drop("before")
     persona = F.startswith("said", F.lit("your persona:"))
     user, agent = collapse(F.split("said", "\t")[0]), collapse(F.get(F.split("said", "\t"), F.lit(1)))
     pair = F.when(~persona & (user != "") & (agent != ""), F.struct("line", F.array(_turn(F.lit("usr"), user), _turn(F.lit("agent"), agent)).alias("t")))
     told = F.when(persona, F.struct("line", collapse(F.regexp_replace("said", "^your persona:", "")).alias("p")))
-    convs = lines.groupBy("split", "conv").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list(told)).alias("told")).where(F.size("pairs") > 0)
-    convs = with_index(convs, "conv", "n", ["split"])
+    convs = lines.groupBy(*keys, "conv").agg(F.array_sort(F.collect_list(pair)).alias("pairs"), F.array_sort(F.collect_list(told)).alias("told")).where(F.size("pairs") > 0)
+    convs = with_index(convs, "conv", "n", keys)
     turns = F.flatten(F.transform("pairs", lambda p: p.t))
     return _samples(convs, "personachat", F.concat(F.lit("personachat-"), "split", F.lit("-"), "n"), F.col("split"), _persona(F.transform("told", lambda p: p.p)), turns)
 

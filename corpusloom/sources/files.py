@@ -22,6 +22,7 @@ from corpusloom.functions.text import strip
 from corpusloom.operators.corpus import first_rows, running_sum, with_index
 from corpusloom.operators.jsontext import collect_text
 from corpusloom.sources.json_split import split_values
+from corpusloom.sources.lines import numbered_lines
 
 
 def _with_path(df: DataFrame) -> DataFrame:
@@ -154,11 +155,10 @@ def mixed_corpus(spark: SparkSession, folder: str, most: int | None = None) -> D
 
 
 def json_lines(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
-    """(path, ordinal, value) of JSON lines: blank lines skipped, a malformed line fails the read. Files are split by Spark; ordinals are byte-ordered within a file."""
-    lines = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).text(folder)
-    lines = _with_path(lines.select("value", "_metadata")).withColumn("seq", F.col("_metadata.file_block_start") + F.monotonically_increasing_id() % (1 << 33))
+    """(path, ordinal, value) of JSON lines: blank lines skipped, a malformed line fails the read. Files are split by Spark; ordinals follow the lines' numbers."""
+    lines = numbered_lines(spark, folder, pattern)
     good = lines.where(strip(F.col("value")) != "").withColumn("value", F.to_json(F.parse_json("value")))
-    return _ordered(good.select("path", "seq", "value"), listing(spark, folder, pattern), "seq").drop("seq")
+    return _ordered(good, listing(spark, folder, pattern), "line").drop("line")
 
 
 def csv_rows(spark: SparkSession, path: str) -> DataFrame:

@@ -171,3 +171,28 @@ def test_synthetic_logic(spark):
     assert synth.uncovered_rules(synth.split_iid(synth.examples(spark, 3000))).count() == 0
     share = synth.problems(spark, 2000).selectExpr("avg(int(contradiction)) as c").first().c
     assert share <= 0.12
+
+
+def test_white_space_takes_linear_time(spark):
+    import time
+
+    from corpusloom.functions.text import WHITE, collapse, rstrip, strip
+
+    white = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
+    assert len(white) == 29
+    odd = [white + "a" + white + "b" + white, white, "", None, "a", "\u200b a\ufeff "]
+    df = spark.createDataFrame([(t,) for t in odd], "t string").select("t", strip("t").alias("s"), rstrip("t").alias("r"), collapse("t").alias("c"))
+    for r in df.collect():
+        assert (r.s, r.r, r.c) == ((None, None, "") if r.t is None else (r.t.strip(), r.t.rstrip(), " ".join(r.t.split())))
+    long = spark.range(1).select(F.concat(F.lit("a"), F.repeat(F.lit(" "), 1_000_000), F.lit("b")).alias("t"))
+    began = time.time()
+    assert long.select(F.length(strip("t")) + F.length(rstrip("t")) + F.length(collapse("t"))).first()[0] == 2_000_007
+    assert time.time() - began < 10
+
+
+def test_null_ordinals_are_refused(spark):
+    from corpusloom.operators import corpus
+
+    df = spark.createDataFrame([(1, "a"), (None, "b")], "o long, s string")
+    with pytest.raises(Exception, match="a null o has no place"):
+        corpus.with_index(df, "o").collect()

@@ -69,7 +69,7 @@ def test_personachat_files(spark, tmp_path):
     put(tmp_path, "p/test_self.txt", "1 your persona: i row.\n2 hi\tho\n1 q\tr\n")
     got = dialogues.personachat_files(spark, f"{tmp_path}/p").collect()
     found = sorted((r.split, [t.text for t in r.turns], "Persona" in r.system) for r in got)
-    assert found == [("test", ["hi", "ho"], True), ("test", ["q", "r"], False), ("train", ["x", "y"], False), ("valid", ["a", "b", "c"], True)]
+    assert found == [("test_self", ["hi", "ho"], True), ("test_self", ["q", "r"], False), ("train", ["x", "y"], False), ("valid", ["a", "b", "c"], True)]
     put(tmp_path, "l/train.txt", "1\n 2 \n")
     put(tmp_path, "l/test.txt", "2\n\n")
     lists = dialogues.split_lookup(spark, f"{tmp_path}/l").orderBy("rank", "dialog_id").collect()
