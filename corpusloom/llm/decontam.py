@@ -30,10 +30,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SIMILARITY = 0.8
-#: The benchmark is taken in blocks of about so many characters: the bound of what a worker holds.
-BLOCK_CHARS = 600_000
+#: The benchmark is taken in blocks of about so many characters: the bound of what a worker holds (some 120 MB). Each block walks the texts anew.
+BLOCK_CHARS = 3_000_000
 #: Documents, and characters of their texts, that a worker looks at in one go; words looked up at a time.
 _ROWS, _CHARS, _LOOK = 512, 4 << 20, 1 << 16
+#: Candidates that are held before overlapping ones become one span.
+_MEET = 1 << 19
 _PLAIN = re.compile(r"\w+")
 #: Thai, Lao, Burmese, Khmer, kana and Chinese characters.
 _UNSPACED = "\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff"
@@ -95,6 +97,8 @@ class Pattern:
             plus, minus = down | (full & ~(x | up)), up & x
             if score < best:
                 best, end = score, i
+                if not best:
+                    break
         return best, end
 
 
@@ -164,24 +168,44 @@ class Table:
                 owner.append(np.full(len(good), number))
                 offset.append(good)
         flat = np.concatenate([np.empty(0, np.uint64), *keys])
-        order = np.argsort(flat, kind="stable")
-        self.keys = flat[order]
-        self.owner, self.offset = (np.concatenate([np.empty(0, np.int64), *x])[order] for x in (owner, offset))
+        owners, offsets = (np.concatenate([np.empty(0, np.int64), *x]) for x in (owner, offset))
+        order = np.lexsort((owners, flat))
+        flat, owners, offsets = flat[order], owners[order], offsets[order]
+        # Where an item repeats itself a key has many of its offsets; the first and the last are enough, as spans are verified whole.
+        head = np.flatnonzero(np.concatenate([[True], (flat[1:] != flat[:-1]) | (owners[1:] != owners[:-1])])[: len(flat)])
+        self.keys, self.owner = flat[head], owners[head].astype(np.int32)
+        self.low, self.high = ((f.reduceat(offsets, head) if len(head) else offsets).astype(np.int32) for f in (np.minimum, np.maximum))
         self.shift = np.uint64(64 - min(24, max(16, len(flat).bit_length() + 5)))
         self.seen = np.zeros(1 << 64 - int(self.shift), np.bool_)
         self.seen[self.keys >> self.shift] = True
 
-    def candidates(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(item, place in ``ids``, offset in the item) of what meets; ids end with a place for each step."""
+    def candidates(self, ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, place in ``ids``, least and greatest offset in the item) of what meets, about _MEET at a time; ids end with a place for each step."""
         steps = self.walks.kind.steps
         for at in range(0, len(ids) - steps, _LOOK):
             part = ids[at : at + _LOOK + steps]
             for keys, _, _ in self.walks.bands(part, len(part) - steps):
-                starts = np.flatnonzero(self.seen[keys >> self.shift])
-                lo, hi = np.searchsorted(self.keys, keys[starts], "left"), np.searchsorted(self.keys, keys[starts], "right")
-                many = hi - lo
-                k = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
-                yield self.owner[k], np.repeat(starts + at, many), self.offset[k]
+                every = np.flatnonzero(self.seen[keys >> self.shift])
+                first, after = np.searchsorted(self.keys, keys[every], "left"), np.searchsorted(self.keys, keys[every], "right")
+                portion = np.cumsum(after - first) // _MEET
+                for starts, lo, hi in zip(*(np.split(x, np.flatnonzero(np.diff(portion)) + 1) for x in (every, first, after)), strict=True):
+                    many = hi - lo
+                    k = np.arange(many.sum()) + np.repeat(lo - (np.cumsum(many) - many), many)
+                    yield tuple(x.astype(np.int64) for x in (self.owner[k], np.repeat(starts + at, many), self.low[k], self.high[k]))
+
+
+def _united(docs: np.ndarray, items: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Spans of the same document and item that overlap or touch, as one."""
+    order = np.lexsort((lo, items, docs))
+    docs, items, lo, hi = docs[order], items[order], lo[order], hi[order]
+    group = np.cumsum(np.concatenate([[0], (docs[1:] != docs[:-1]) | (items[1:] != items[:-1])])[: len(docs)])
+    # The greatest end so far within a group: groups are lifted apart, so one running maximum does for all.
+    lift = group * (np.int64(1) << 40)
+    ends = np.maximum.accumulate(hi + lift) - lift if len(hi) else hi
+    fresh = np.ones(len(docs) + 1, np.bool_)
+    fresh[1:-1] = (group[1:] != group[:-1]) | (lo[1:] > ends[:-1])
+    heads, tails = np.flatnonzero(fresh[:-1]), np.flatnonzero(fresh[1:])
+    return docs[heads], items[heads], lo[heads], ends[tails]
 
 
 class Index:
@@ -189,12 +213,16 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]]) -> None:
         self.vocabulary: dict[str, int] = {}
-        self.items: list[tuple[int, list[int]]] = []
-        spelt = []
+        self.items: list[tuple[list[int], list[int]]] = []  # ids of equal items, words
+        spelt: list[tuple[str, ...]] = []
+        known: dict[tuple[str, ...], int] = {}
         for item_id, text in items:
-            if words := words_of(text):
-                self.items.append((item_id, [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words]))
-                spelt.append(words)
+            if words := tuple(words_of(text)):
+                if words not in known:
+                    known[words] = len(spelt)
+                    spelt.append(words)
+                    self.items.append(([], [self.vocabulary.setdefault(x, len(self.vocabulary) + 1) for x in words]))
+                self.items[known[words]][0].append(item_id)
         size = len(self.vocabulary) + 1
         left = set(range(len(self.items)))
         self.tables = []
@@ -217,28 +245,25 @@ class Index:
         bases = np.concatenate([[0], np.cumsum([len(x) + 1 for x in numbers])])
         spare = max((t.walks.kind.steps for t in self.tables), default=0)
         ids = np.concatenate([*(y for x in numbers for y in (x, [0])), np.zeros(spare, np.int64)]).astype(np.int64)
-        found = [c for t in self.tables for c in t.candidates(ids[: len(ids) - spare + t.walks.kind.steps])]
-        items, starts, offsets = (np.concatenate([np.empty(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else [np.empty(0, np.int64)] * 3
-        docs = np.searchsorted(bases, starts, "right") - 1
-        lengths = np.array([len(words) for _, words in self.items], np.int64)[items]
-        slacks = edits_allowed(lengths)
-        first = starts - offsets - bases[docs]
-        lo, hi = first - slacks, first + lengths + slacks
-        order = np.lexsort((lo, items, docs))
-        docs, items, lo, hi = docs[order], items[order], lo[order], hi[order]
-        fresh = np.ones(len(order) + 1, np.bool_)
-        fresh[1:-1] = (docs[1:] != docs[:-1]) | (items[1:] != items[:-1]) | (lo[1:] > hi[:-1])
-        heads = np.nonzero(fresh[:-1])[0]
-        tails = np.nonzero(fresh[1:])[0]
+        none = np.empty(0, np.int64)
+        spans = [(none, none, none, none)]
+        sizes = np.array([len(words) for _, words in self.items], np.int64)
+        for table in self.tables:
+            for items, starts, low, high in table.candidates(ids[: len(ids) - spare + table.walks.kind.steps]):
+                docs = np.searchsorted(bases, starts, "right") - 1
+                at, slack = starts - bases[docs], edits_allowed(sizes[items])
+                # United while they are made, so texts and items that repeat themselves take no more memory than others.
+                spans.append(_united(docs, items, at - high - slack, at - low + sizes[items] + slack))
+        docs, items, lo, hi = _united(*(np.concatenate(x) for x in zip(*spans, strict=True)))
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
         patterns: dict[int, Pattern] = {}
-        for doc, item, lo_, hi_ in zip(docs[heads].tolist(), items[heads].tolist(), lo[heads].tolist(), hi[tails].tolist(), strict=True):
+        for doc, item, lo_, hi_ in zip(docs.tolist(), items.tolist(), lo.tolist(), hi.tolist(), strict=True):
             n = len(self.items[item][1])
             pattern = patterns.get(item) or patterns.setdefault(item, Pattern(self.items[item][1]))
             d, end = pattern.distance(numbers[doc][max(0, lo_) : hi_].tolist())
             if d <= edits_allowed(n) and d < best[doc].get(item, (n, 0))[0]:
                 best[doc][item] = (d, max(0, max(0, lo_) + end - n))
-        return [[(self.items[i][0], d, len(self.items[i][1]), at) for i, (d, at) in own.items()] for own in best]
+        return [[(item_id, d, len(self.items[i][1]), at) for i, (d, at) in own.items() for item_id in self.items[i][0]] for own in best]
 
 
 def indexes(benchmark: DataFrame, id_col: str = "item_id", text_col: str = "text") -> Iterator[Index]:
@@ -288,7 +313,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     candidates; first_word: about where. Null and empty texts match nothing, nor do items without a word; items of fewer than five
     words match only where they stand word for word; equal items match side by side; repeated documents
     each have their rows; items with the same id keep a row each. Empty tables give no rows.
-    Columns other than id and text aren't read. One pass without shuffle, however large the benchmark: a worker holds one block of it.
+    Columns other than id and text aren't read. One pass over the documents without shuffle; a worker holds one block of the benchmark at a
+    time, and work grows with the number of blocks.
     """
     schema = f"{id_col} long, item_id long, distance long, similarity double, first_word long"
     rows = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias("t"))

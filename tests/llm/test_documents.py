@@ -2,6 +2,7 @@
 
 import random
 import re
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -464,6 +465,23 @@ def test_decontamination_of_short_and_unspaced_items():
     assert [sorted(x[0] for x in own) for own in got] == [[1], [1, 2], [1], [1, 2, 3, 4], [], [7], [8], [], []]
 
 
+def test_decontamination_of_texts_that_repeat_themselves():
+    rng = random.Random(11)
+    items = [(i, " ".join(rng.choice("abc"[: 1 + i % 3]) for _ in range(rng.randrange(5, 70)))) for i in range(24)] + [(50, "0 " * 100), (51, "0 " * 100), (52, "x y " * 30)]
+    texts = [" ".join(rng.choice("abc0xy"[: 1 + k % 6]) for _ in range(rng.randrange(1, 200))) for k in range(60)] + ["x y " * 200, "0 " * 85, "0 " * 300 + "b " * 20]
+    index = decontam.Index(items)
+    got, want = index.hits(texts), [brute_hits(t, items) for t in texts]
+    # Random letters are no spread edits, so only what is found is checked in full, and exact copies and plain rows for being found.
+    for own, all_ in zip(got, want, strict=True):
+        found = {i: d for i, d, _, _ in own}
+        assert found.items() <= all_.items() and {i for i, d in all_.items() if d == 0} <= set(found)
+    assert {50, 51} <= {x[0] for x in got[-1]} and 52 in {x[0] for x in got[-3]}
+    tracemalloc.start()
+    assert sorted(x[:2] for x in index.hits(["0 " * 500_000])[0] if x[0] >= 50) == [(50, 0), (51, 0)]
+    assert tracemalloc.get_traced_memory()[1] < 400e6
+    tracemalloc.stop()
+
+
 def test_decontamination_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontam, "BLOCK_CHARS", 1200)
     bench, docs = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("benchmark", "documents"))
