@@ -181,8 +181,8 @@ def pack_fixed(df: DataFrame, ordinal: str, size: int, source: str = "source", t
     return pieces.groupBy(source, "chunk").agg(joined.alias("content")).where(F.length("content") == size)
 
 
-def pack_ids(df: DataFrame, ordinal: str, size: int, source: str = "source", ids: str = "ids") -> DataFrame:
-    """pack_fixed() for arrays of token ids."""
+def chunks_of_ids(df: DataFrame, ordinal: str, size: int, source: str = "source", ids: str = "ids") -> DataFrame:
+    """(source, chunk, ids): each source's ids in a row, cut into chunks of ``size``; the last may have fewer."""
     n = F.size(ids).cast("long")
     placed = offsets(df.where(n > 0), n, ordinal, source)
     spans = placed.withColumn("chunk", F.explode(F.sequence(F.floor(F.col("start") / size), F.floor((F.col("start") + F.col("size") - 1) / size))))
@@ -190,7 +190,12 @@ def pack_ids(df: DataFrame, ordinal: str, size: int, source: str = "source", ids
     hi = F.least(F.col("start") + F.col("size"), (F.col("chunk") + 1) * size)
     part = F.slice(F.col(ids), (lo - F.col("start") + 1).cast("int"), (hi - lo).cast("int"))
     pieces = spans.select(source, "chunk", F.struct(lo.alias("at"), part.alias("part")).alias("p"))
-    return pieces.groupBy(source, "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.part)).alias("ids")).where(F.size("ids") == size)
+    return pieces.groupBy(source, "chunk").agg(F.flatten(F.transform(F.array_sort(F.collect_list("p")), lambda p: p.part)).alias("ids"))
+
+
+def pack_ids(df: DataFrame, ordinal: str, size: int, source: str = "source", ids: str = "ids") -> DataFrame:
+    """pack_fixed() for arrays of token ids."""
+    return chunks_of_ids(df, ordinal, size, source, ids).where(F.size("ids") == size)
 
 
 def pack_audit(df: DataFrame, size: Column, length: int, source: str = "source") -> DataFrame:

@@ -1,34 +1,61 @@
-"""Fixed-context packing of a stream: what a source's tokens leave over waits as state for the next rows."""
+"""Fixed-context packing of a stream: what a source's tokens leave over waits for the next rows."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from corpusloom.operators.corpus import chunks_of_ids
+from corpusloom.streaming.commits import BatchLog
 
-def pack_stream(rows: DataFrame, size: int, source: str = "source", ids: str = "ids", ordinal: str = "ordinal") -> DataFrame:
-    """(source, chunk, ids) of whole contexts of ``size`` ids, by source, from a streaming (source, ordinal, ids).
+_PARTS = {"data": "source string, chunk long, ids array<long>", "state": "source string, chunks long, tail array<long>"}
 
-    Rows of a trigger are taken in order of ordinal; state holds fewer than ``size`` ids and the number
-    of chunks so far, so it doesn't grow. Tails stay in the state, as batch packing drops them. One source is one
-    task's work here: split a hot source by a shard number in its name.
+
+def packing_log(spark: SparkSession, target: str, size: int, tag: str = "") -> BatchLog:
+    """The tables of pack_stream(): data (source, chunk, ids) and state (source, chunks, tail), for a context length and a tag."""
+    return BatchLog(spark, target, f"{size}-{tag}" if tag else str(size), _PARTS)
+
+
+def tails(spark: SparkSession, log: BatchLog) -> DataFrame:
+    """(source, chunks, tail): whole contexts so far, and the tokens that wait, as they are dropped at a stream's end."""
+    last = log.last(spark)
+    return spark.createDataFrame([], _PARTS["state"]) if last is None else log.one(spark, "state", last)
+
+
+def pack_stream(rows: DataFrame, target: str, checkpoint: str, size: int, tag: str = "", source: str = "source", ids: str = "ids", ordinal: str = "ordinal", failing: Callable[[str], None] | None = None) -> StreamingQuery:
+    """Pack a streaming (source, ordinal, ids) into whole contexts of ``size`` ids by source, until the input is taken; see packing_log() for what is written.
+
+    A batch's rows go by ordinal (unique within a source and batch), after those of the batches before. So if ordinals grow from batch to batch
+    the contexts are those of packing all rows at once, however the input is cut into batches. State is a row for each source with fewer than ``size`` ids.
+    Within a batch neither a source nor its tokens pass through one task: offsets are running sums over buckets, and contexts are put together by (source, chunk).
+    Batches are written once (see commits), with the state they leave; a replayed batch starts from the state before it.
     """
-    few = rows.select(source, ordinal, ids)
-
-    def work(key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        chunk, tail = (state.get[0], list(state.get[1])) if state.exists else (0, [])
-        order: list[tuple[Any, Any]] = [pair for part in parts for pair in zip(part[ordinal], part[ids], strict=True)]
-        for _, tokens in sorted(order, key=lambda p: p[0]):
-            tail.extend(int(t) for t in (() if tokens is None else tokens))
-            whole = len(tail) // size
-            if whole:
-                cut = [tail[i * size : (i + 1) * size] for i in range(whole)]
-                yield pd.DataFrame({"source": [key[0]] * whole, "chunk": range(chunk, chunk + whole), "ids": cut})
-                chunk, tail = chunk + whole, tail[whole * size :]
-        state.update((chunk, tail))
-
-    return few.groupBy(source).applyInPandasWithState(work, "source string, chunk long, ids array<long>", "chunk long, tail array<long>", "append", GroupStateTimeout.NoTimeout)
+    log = packing_log(rows.sparkSession, target, size, tag)
+
+    def work(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+
+        def tables() -> dict[str, DataFrame]:
+            last = log.last(spark, number)
+            before = spark.createDataFrame([], _PARTS["state"]) if last is None else log.one(spark, "state", last)
+            new = batch.select(F.col(source).alias("source"), F.col(ordinal).cast("long").alias("ordinal"), F.col(ids).cast("array<long>").alias("ids"))
+            # A tail begins a context, and stands before all rows of the batch.
+            first = new.groupBy("source").agg(F.min("ordinal").alias("o"))
+            waiting = before.join(first, before["source"].eqNullSafe(first["source"])).select(before["source"], (F.col("o") - 1).alias("ordinal"), F.col("tail").alias("ids"))
+            chunks = chunks_of_ids(new.unionByName(waiting), "ordinal", size)
+            known = before.select(F.col("source").alias("s"), F.col("chunks").alias("base"))
+            placed = chunks.join(known, F.col("source").eqNullSafe(F.col("s")), "left").select("source", (F.col("chunk") + F.coalesce("base", F.lit(0))).alias("chunk"), "ids")
+            whole = F.size("ids") == size
+            left = placed.groupBy("source").agg(F.max(F.when(whole, F.col("chunk") + 1)).alias("after"), F.max(F.when(~whole, F.struct("chunk", "ids"))).alias("rest"))
+            none = F.array().cast("array<long>")
+            # Without a whole context the tail's own number is that of the contexts so far.
+            moved = left.select(F.col("source").alias("s2"), F.coalesce("after", F.col("rest.chunk")).alias("n"), F.coalesce("rest.ids", none).alias("t"))
+            state = before.join(moved, F.col("source").eqNullSafe(F.col("s2")), "full").select(F.coalesce("source", "s2").alias("source"), F.coalesce("n", "chunks").alias("chunks"), F.coalesce("t", "tail").alias("tail"))
+            return {"data": placed.where(whole), "state": state}
+
+        log.write(number, tables, spark, failing)
+
+    return rows.writeStream.foreachBatch(work).option("checkpointLocation", f"{checkpoint.rstrip('/')}/{log.tag}").trigger(availableNow=True).start()

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from corpusloom.functions import sampling
 from corpusloom.operators import corpus, synth
 from corpusloom.sources import sinks
-from corpusloom.streaming.packing import pack_stream
 
 
 def one(spark, column):
@@ -75,24 +74,6 @@ def test_sample_refs_over_buckets(spark):
     assert got == [(0, 10), (10, 20), (20, 30), (30, 40), (40, 60)]
 
 
-def test_stream_packing_keeps_tails(spark, tmp_path):
-    def feed(name, rows):
-        spark.createDataFrame(rows, "source string, ordinal long, ids array<long>").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
-        stream = spark.readStream.schema("source string, ordinal long, ids array<long>").parquet(str(tmp_path / "in"))
-        spark.conf.set("spark.sql.shuffle.partitions", "2")
-        query = pack_stream(stream, 3).writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "check")).outputMode("append").trigger(availableNow=True)
-        query.start(str(tmp_path / "out")).awaitTermination()
-
-    before = spark.conf.get("spark.sql.shuffle.partitions")
-    try:
-        feed("one", [("a", 1, [4, 5]), ("a", 0, [1, 2, 3]), ("b", 0, None)])
-        feed("two", [("a", 2, [6, 7, 8]), ("b", 1, [9])])
-    finally:
-        spark.conf.set("spark.sql.shuffle.partitions", before)
-    got = spark.read.parquet(str(tmp_path / "out")).orderBy("source", "chunk").collect()
-    assert [(r.source, r.chunk, r.ids) for r in got] == [("a", 0, [1, 2, 3]), ("a", 1, [4, 5, 6])]
-
-
 def test_quantified_rules_and_renaming(spark):
     p, q = ["p"], ["q"]
     rules = synth.quantified()
