@@ -97,3 +97,47 @@ def contradictions(clauses: DataFrame, group: list[str]) -> DataFrame:
     """(group, proposition): propositions that a group states both plainly and negated. Counted, not paired."""
     both = clauses.groupBy(*group, "proposition").agg(F.max(F.col("negated").cast("int")).alias("hi"), F.min(F.col("negated").cast("int")).alias("lo"))
     return both.where("hi = 1 and lo = 0").drop("hi", "lo")
+
+
+def _negated(clause: Column) -> Column:
+    """The negation of a clause's JSON, without two signs on top."""
+    return F.when(clause.startswith('["~",'), F.substring(clause, F.lit(6), F.length(clause) - 6)).otherwise(F.concat(F.lit('["~",'), clause, F.lit("]")))
+
+
+def clause_text(clause: Column) -> Column:
+    """A clause tree's JSON in one form: no white space, pairs of signs on top and below a quantifier on top taken out; null for what is no JSON array."""
+    once = lambda value, f: F.get(F.transform(F.array(value), f), F.lit(0))  # noqa: E731  a value that is named is reckoned once
+
+    def without_signs(lead: str):
+        def cut(plain: Column) -> Column:
+            # An even number of signs says nothing: they go in front, and as many closing brackets at the end.
+            front = F.regexp_extract(plain, f"^{lead}", 0) if lead else F.lit("")
+            signs = F.regexp_extract(plain, f'^{lead}((?:\\["~",\\["~",)+)', 2 if lead else 1)
+            body = F.substring(plain, F.length(front) + F.length(signs) + 1, F.length(plain) - F.length(front) - F.length(signs) - (F.length(signs) / 5).cast("int"))
+            return F.concat(front, body)
+
+        return cut
+
+    plain = once(F.to_json(F.try_parse_json(clause)), lambda x: F.when(x.startswith("["), x))
+    return once(once(plain, without_signs("")), without_signs(r'(\["~",)?\["(?:forall|exists|of)",'))
+
+
+def clause_clashes(clauses: DataFrame, group: list[str], clause: str = "clause") -> DataFrame:
+    """(group, clause, against): different clauses of a group that can't both hold, each pair from the side that denies.
+
+    A clause denies what its negation says; one that holds of all (forall) also that its body's negation holds of some (exists) or of the constant (of),
+    and that the body doesn't hold of those. Clauses are JSON trees; what each denies are at most five texts, joined by
+    equality with what is stated, so a group of n clauses makes 5 n rows and not n^2. Null and broken clauses state nothing; repeated ones count once.
+    """
+    stated = clauses.select(*group, clause_text(F.col(clause)).alias("clause")).where("clause is not null").distinct()
+    c = F.col("clause")
+    body = F.when(c.startswith('["forall",'), F.substring(c, F.lit(11), F.length(c) - 11))
+    wrap = lambda name, x: F.concat(F.lit(f'["{name}",'), x, F.lit("]"))
+    denied = [_negated(c), *[wrap(q, _negated(body)) for q in ("exists", "of")], *[_negated(wrap(q, body)) for q in ("exists", "of")]]
+    # Of a clause and its negation the plain one's denial is enough.
+    first = F.when(~c.startswith('["~",'), denied[0])
+    denials = stated.select(*[F.col(g).alias(f"_g{i}") for i, g in enumerate(group)], c.alias("_of"), F.explode(F.array_distinct(F.array_compact(F.array(first, *denied[1:])))).alias("against"))
+    match = F.col("clause") == F.col("against")
+    for i, g in enumerate(group):
+        match = match & F.col(g).eqNullSafe(F.col(f"_g{i}"))
+    return stated.join(denials, match).select(*group, F.col("_of").alias("clause"), "against")
