@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
+from corpusloom.sources.scratch import kept
 
 
 def clean(df: DataFrame, text: str = "text") -> DataFrame:
@@ -140,6 +141,22 @@ def split_index(n: Column, ratio: float) -> Column:
     return F.when(n > 1, n - valid)
 
 
+def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "index") -> DataFrame:
+    """Rows numbered from 0 in the order of any columns, which need be neither numbers nor unique (equal rows go in any order).
+
+    Rows are sorted by ranges and written with their place in a range; a table of one row for each range says where it starts. So no task has more than a range.
+    """
+    names = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns({n: F.col(c) if isinstance(c, str) else c for n, c in zip(names, order, strict=True)}).withColumn("_salt", F.monotonically_increasing_id())
+    ranged = keyed.repartitionByRange(*names, "_salt").sortWithinPartitions(*names, "_salt").drop(*names, "_salt")
+    placed = kept(ranged.withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("_place", 33)
+    spans = placed.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"), F.min("_place").alias("_low"))
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    starts = spans.select("_part", (before - F.col("_low")).alias("_shift"))
+    return placed.join(starts, part == F.col("_part")).withColumn(out, F.col("_place") + F.col("_shift")).drop("_place", "_part", "_shift")
+
+
 def split_tokens(n: Column, ratio: float, block: int) -> Column:
     """First valid token of a stream of n: the tail is at least block + 2 tokens and leaves as many."""
     return n - F.least(F.greatest(F.floor(n * F.lit(float(ratio))).cast("long"), F.lit(block + 2)), n - block - 2)

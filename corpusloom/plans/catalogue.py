@@ -191,11 +191,12 @@ def union_selected(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.union_sources(_members(spark, sf_dir), ["dataset", "dataset2"])
 
 
-@query(f"SELECT source, count(*) AS expected, count(*) AS actual, CAST(0 AS BIGINT) AS missing FROM ({_UNION}) GROUP BY source")
+@query(f"SELECT source, count(*) AS expected, count(*) FILTER (length(text) >= 300) AS actual, count(*) FILTER (length(text) < 300 OR text IS NULL) AS missing FROM ({_UNION}) GROUP BY source")
 def union_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the members hold against a union that short texts were taken from."""
     members = _members(spark, sf_dir)
     expected = corpus.union_sources(members).groupBy("source").agg(F.count(F.lit(1)).alias("expected"))
-    return corpus.union_audit(expected, corpus.union_sources(members))
+    return corpus.union_audit(expected, corpus.union_sources([(n, df.where(F.length("text") >= 300)) for n, df in members]))
 
 
 # Dialogues
@@ -297,10 +298,17 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parts.withColumn("ids", ids).select("conv_id", F.flatten("ids").alias("tokens"), batching.labels(F.col("s"), F.col("ids")).alias("labels"))
 
 
-@query(f"WITH {_LABELS} SELECT conv_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_tokens AS BIGINT) AS n_labels, CAST(n_labelled AS BIGINT) AS n_labelled FROM n")
+@query(
+    f"""WITH {_LABELS},
+    v AS (SELECT conv_id, list(CASE WHEN role = 'agent' THEN list_concat(list_transform(range(10), lambda x: -100), list_transform(string_split('<bos>' || text || '<eos>', ''), lambda c: unicode(c)))
+        ELSE list_transform(range(8 + length(text)), lambda x: -100) END ORDER BY turn) AS l FROM t WHERE role IN ('usr', 'agent') AND text <> '' GROUP BY conv_id),
+    h AS (SELECT s.conv_id, list_concat(list_transform(range(15 + coalesce(length(s.system), 0)), lambda x: -100), coalesce(flatten(v.l), [])) AS l FROM s LEFT JOIN v ON v.conv_id = s.conv_id)
+    SELECT n.conv_id, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(n_tokens AS BIGINT) AS n_labels, CAST(n_labelled AS BIGINT) AS n_labelled, md5(array_to_string(h.l, ',')) AS digest FROM n JOIN h ON h.conv_id = n.conv_id"""
+)
 def label_mask_chars(spark: SparkSession, sf_dir: str) -> DataFrame:
     labelled = F.size(F.filter("labels", lambda x: x != batching.IGNORE))
-    return _labels(spark, sf_dir).select("conv_id", _long(F.size("tokens")).alias("n_tokens"), _long(F.size("labels")).alias("n_labels"), _long(labelled).alias("n_labelled"))
+    digest = F.md5(F.array_join(F.col("labels").cast("array<string>"), ","))
+    return _labels(spark, sf_dir).select("conv_id", _long(F.size("tokens")).alias("n_tokens"), _long(F.size("labels")).alias("n_labels"), _long(labelled).alias("n_labelled"), digest.alias("digest"))
 
 
 @query(f"WITH {_LABELS} SELECT CAST(sum(n_labelled) AS BIGINT) AS labelled_tokens, count(*) AS samples FROM n WHERE n_labelled > 0")

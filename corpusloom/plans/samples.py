@@ -119,13 +119,15 @@ def first_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    """WITH s AS (SELECT source AS name, len(string_split(text, ' ')) AS n FROM documents WHERE text IS NOT NULL)
-    SELECT name, count(*) AS samples, CAST(sum(n) AS BIGINT) AS n_tokens, CAST(sum(n) * 4 AS BIGINT) AS bin_bytes, count(*) * 8 AS idx_bytes FROM s GROUP BY name"""
+    """WITH s AS (SELECT source AS name, doc_id, list_transform(string_split(text, ' '), lambda w: length(w)) AS t FROM documents WHERE text IS NOT NULL),
+    p AS (SELECT name, doc_id, t, coalesce(sum(len(t)) OVER (PARTITION BY name ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS low FROM s)
+    SELECT name, low // 16777216 AS part, count(*) AS samples, CAST(sum(len(t)) AS BIGINT) AS n_tokens,
+    md5(unhex(string_agg(array_to_string(list_transform(t, lambda n: printf('%02x%02x%02x00', n % 256, n // 256 % 256, n // 65536)), ''), '' ORDER BY doc_id))) AS bin_md5,
+    md5(unhex(string_agg(printf('%02x%02x%02x%02x00000000', low % 256, low // 256 % 256, low // 65536 % 256, low // 16777216), '' ORDER BY doc_id))) AS idx_md5 FROM p GROUP BY name, low // 16777216"""
 )
 def legacy_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).where("text is not null").select(F.col("source").alias("name"), F.col("doc_id").alias("sample_index"), F.transform(F.split("text", " ", -1), lambda w: F.length(w)).alias("tokens"))
-    parts = files.legacy_shards(docs).groupBy("name")
-    return parts.agg(F.sum("samples").alias("samples"), F.sum("n_tokens").alias("n_tokens"), _long(F.sum(F.octet_length("bin"))).alias("bin_bytes"), _long(F.sum(F.octet_length("idx"))).alias("idx_bytes"))
+    return files.legacy_shards(docs).select("name", "part", "samples", "n_tokens", F.md5("bin").alias("bin_md5"), F.md5("idx").alias("idx_md5"))
 
 
 @query(

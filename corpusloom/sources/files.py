@@ -6,11 +6,13 @@ the file. A JSON value is handed on as its text.
 
 from __future__ import annotations
 
+import csv
 import io
+import json
 import tarfile
 import zipfile
 from collections.abc import Iterator
-from itertools import groupby
+from itertools import groupby, islice
 
 import numpy as np
 import pandas as pd
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpusloom.functions.text import strip
-from corpusloom.operators.corpus import first_rows, running_sum, with_index
+from corpusloom.operators.corpus import first_rows, numbered, running_sum, with_index
 from corpusloom.operators.jsontext import collect_text
 from corpusloom.sources.json_split import split_values
 from corpusloom.sources.lines import numbered_lines
@@ -61,7 +63,7 @@ def split_ranked(files: DataFrame) -> DataFrame:
     name = F.element_at(F.split("path", "/"), -1)
     split = F.substring_index(name, "_", 1)
     order = F.when(split == "train", 0).when(split == "valid", 1).when(split == "test", 2).otherwise(99)
-    return files.withColumn("rank", F.row_number().over(Window.orderBy(order, name, "path")) - 1)
+    return numbered(files, [order, name, F.col("path")], "rank").withColumn("rank", F.col("rank").cast("int"))
 
 
 def data_blobs(tree: DataFrame, prefix: str = "data/", suffixes: tuple[str, ...] = (".json", ".jsonl"), without: str = "prompt") -> DataFrame:
@@ -124,10 +126,22 @@ def records(spark: SparkSession, folder: str, pattern: str = "*.json*") -> DataF
     return items.select("path", (F.col("ordinal") + F.col("pos")).alias("ordinal"), "value")
 
 
+def _csv_objects(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(path, seq, value): rows of whole CSV files as JSON objects by their own header; empty and missing fields are left out."""
+    for batch in batches:
+        for path, content in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            rows = csv.DictReader(io.TextIOWrapper(io.BytesIO(content.as_py()), encoding="utf-8-sig", errors="replace", newline=""))
+            seq = 0
+            while held := list(islice(rows, 1000)):
+                values = [json.dumps({k: v for k, v in row.items() if k and v and isinstance(v, str)}, ensure_ascii=False) for row in held]
+                yield pa.record_batch([pa.array([path] * len(held)), pa.array(range(seq, seq + len(held)), pa.int64()), pa.array(values)], names=["path", "seq", "value"])
+                seq += len(held)
+
+
 def mixed_corpus(spark: SparkSession, folder: str, most: int | None = None) -> DataFrame:
     """(path, ordinal, text) of the .json, .jsonl, .txt and .csv files below a folder, in order of path; other files and names that begin with a dot are skipped.
 
-    JSON values and CSV rows are turned to text (see operators.jsontext), text files are taken whole; blank texts are left out. ``most`` texts at most, the first.
+    JSON values and CSV rows are turned to text (see operators.jsontext), text and CSV files are taken whole, each in a task (2 GB at most); blank texts are left out. ``most`` texts at most, the first.
     """
     every = listing(spark, folder).where(F.lower("path").rlike(r"\.(json|jsonl|txt|csv)$"))
     kinds = {r.kind for r in every.select(F.lower(F.regexp_extract("path", r"(?i)\.(json|jsonl|txt|csv)$", 1)).alias("kind")).distinct().collect()}
@@ -140,11 +154,8 @@ def mixed_corpus(spark: SparkSession, folder: str, most: int | None = None) -> D
         texts = _files(spark, folder, "*.txt").select("path", F.lit(0).cast("long").alias("seq"), strip(_utf8(F.col("content"))).alias("text"))
         parts.append(texts)
     if "csv" in kinds:
-        for r in every.where(F.lower("path").endswith(".csv")).select("path").collect():  # each file has a header of its own
-            rows = csv_rows(spark, r.path)
-            seq = F.monotonically_increasing_id()
-            as_json = rows.select(F.lit(r.path).alias("path"), seq.alias("seq"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns])).alias("value"))
-            parts.append(as_json.select("path", "seq", collect_text(F.col("value")).alias("text")))
+        rows = _files(spark, folder, "*.csv").select("path", "content").mapInArrow(_csv_objects, "path string, seq long, value string")
+        parts.append(rows.select("path", "seq", collect_text(F.col("value")).alias("text")))
     if not parts:
         return spark.createDataFrame([], "path string, ordinal long, text string")
     united = parts[0]
@@ -230,10 +241,12 @@ def nth(df: DataFrame, i: int, index: str = "index") -> DataFrame:
     return df.crossJoin(F.broadcast(size)).where(F.col(index) == F.col("_size") + i).drop("_size")  # size is one row
 
 
-def write_token_shards(df: DataFrame, path: str, name: str = "shard") -> None:
-    """Samples as Parquet in a folder for each name: Spark's own columnar shard, committed by its writer. In a folder rows go by sample, so a reader's filter on name and sample_index reads a row group."""
-    keys = [name, "sample_index"] if "sample_index" in df.columns else [name]
-    df.repartition(name).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(name).parquet(path)
+def write_token_shards(df: DataFrame, path: str, name: str = "shard", rows: int = 1 << 16) -> None:
+    """Samples as Parquet in a folder for each name, committed by Spark's writer; see shard_source for .bin and .idx files. Rows go by sample, in files of
+    ``rows`` sample numbers, so a hot name is many tasks' work and a reader's filter on name and sample_index reads a row group."""
+    dealt = [F.floor(F.col("sample_index") / rows)] if "sample_index" in df.columns else []
+    keys = [name, "sample_index"] if dealt else [name]
+    df.repartition(F.col(name), *dealt).sortWithinPartitions(*keys).write.mode("overwrite").partitionBy(name).parquet(path)
 
 
 def read_token_sample(spark: SparkSession, path: str, name: str, sample_index: int) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from corpusloom.operators.corpus import chunks_of_ids
+
 
 def write_jsonl(df: DataFrame, path: str, ordinal: str | None = None) -> None:
     """A JSON object for each row, nulls written. With an ordinal, files and lines are in its order (a range sort, not one task)."""
@@ -60,10 +62,10 @@ def cumulative_tokens(shards: DataFrame, name: str = "name") -> DataFrame:
     return shards.withColumn("cumulative", F.sum("n_tokens").over(Window.orderBy(name).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def write_token_stream(df: DataFrame, path: str, ordinal: str, tokens: str = "tokens") -> None:
-    """All samples' tokens, one a row, in order of sample and place: a flat stream in Parquet, written in ranges of the ordinal."""
-    flat = df.select(F.col(ordinal).alias("o"), F.posexplode(tokens).alias("i", "token"))
-    flat.repartitionByRange("o").sortWithinPartitions("o", "i").select("token").write.mode("overwrite").parquet(path)
+def write_token_stream(df: DataFrame, path: str, ordinal: str, tokens: str = "tokens", size: int = 1 << 20) -> None:
+    """All samples' tokens as one flat stream in Parquet: rows (chunk, ids) of ``size`` tokens each, the last with fewer, in order of sample and place."""
+    one = df.select(F.lit("").alias("source"), F.col(ordinal).alias("o"), F.col(tokens).alias("ids"))
+    chunks_of_ids(one, "o", size).select("chunk", "ids").repartitionByRange("chunk").sortWithinPartitions("chunk").write.mode("overwrite").parquet(path)
 
 
 def write_result(df: DataFrame, path: str) -> None:

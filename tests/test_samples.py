@@ -110,8 +110,9 @@ def test_shards(spark, tmp_path):
     assert one.first().tokens == [4294967295]
     plan = one._jdf.queryExecution().toString()
     assert "PartitionFilters: [isnotnull(shard" in plan and "PushedFilters: [IsNotNull(sample_index)" in plan
-    sinks.write_token_stream(df, f"{tmp_path}/flat", "sample_index")
-    assert spark.read.parquet(f"{tmp_path}/flat").count() == 6
+    flat = df.where("name = 'a'")
+    sinks.write_token_stream(flat, f"{tmp_path}/flat", "sample_index", size=3)
+    assert [r.ids for r in spark.read.parquet(f"{tmp_path}/flat").orderBy("chunk").collect()] == [[1, 2, 3], [4294967295]]
 
 
 def test_small_ones(spark, tmp_path):
