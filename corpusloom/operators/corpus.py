@@ -142,7 +142,7 @@ def split_index(n: Column, ratio: float) -> Column:
 
 
 def numbered(df: DataFrame, order: Sequence[Column | str], out: str = "index") -> DataFrame:
-    """Rows numbered from 0 in the order of any columns, which need be neither numbers nor unique (equal rows go in any order).
+    """Rows numbered from 0 in ascending order of any columns, which need be neither numbers nor unique (nulls come first, equal rows go in any order).
 
     Rows are sorted by ranges and written with their place in a range; a table of one row for each range says where it starts. So no task has more than a range.
     """

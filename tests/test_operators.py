@@ -204,7 +204,7 @@ def test_numbered_by_any_columns(spark):
     rng = random.Random(4)
     rows = [(rng.choice(["a", "b", None]), rng.randrange(40), i) for i in range(500)] + [("same", 1, 1)] * 50
     df = spark.createDataFrame(rows, "s string, n int, i int").repartition(6)
-    got = corpus.numbered(df, ["s", F.col("n").desc()], "rank").orderBy("rank").collect()
+    got = corpus.numbered(df, ["s", -F.col("n")], "rank").orderBy("rank").collect()
     assert [r.rank for r in got] == list(range(550)) and sorted((r.s or "", r.n, r.i) for r in got) == sorted((s or "", n, i) for s, n, i in rows)
     assert [(r.s, r.n) for r in got] == sorted(((s, n) for s, n, _ in rows), key=lambda x: (x[0] is not None, x[0] or "", -x[1]))
     assert corpus.numbered(df.where("false"), ["s"]).count() == 0
