@@ -29,6 +29,8 @@ STOP_WORDS = frozenset(
 )
 SHORT, LONG = 60, 180
 LOW_STOPS, HIGH_STOPS = 0.08, 0.2
+#: The ranges of characters of scripts without spaces between words, of which one says as much as three letters.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff]")
 MANY_LINKS = 0.4
 #: The article's elements are believed if they hold this share of the good text at least.
 ARTICLE_SHARE = 0.5
@@ -49,6 +51,8 @@ BLOCKS = frozenset(
     hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split()
 )
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Blocks of running text: what stands within a line of it belongs to the line, whatever its name.
+RUNNING = frozenset("p pre li dd dt td th h1 h2 h3 h4 h5 h6 blockquote caption figcaption summary address".split())
 OUTSIDE = frozenset("nav footer aside form dialog menu button label fieldset head".split())
 #: Names (class, id or role) that tell a block apart from the article, alone or put together with each other and PLACE_NAMES.
 OUTSIDE_NAMES = frozenset(
@@ -76,6 +80,11 @@ class Block:
     heading: bool
     good: bool | None = None
 
+    @property
+    def size(self) -> int:
+        """Its length, in letters of scripts with spaces."""
+        return len(self.text) + 2 * len(_UNSPACED.findall(self.text))
+
 
 @dataclass
 class _Open:
@@ -85,6 +94,7 @@ class _Open:
     heading: bool
     header: bool
     link: bool
+    aside: bool = False  # an element within a line that its name or tag would put out
 
 
 def _outside_name(name: str) -> bool:
@@ -93,7 +103,8 @@ def _outside_name(name: str) -> bool:
     return re.sub("[-_]", "", name) in OUTSIDE_NAMES or any(x in OUTSIDE_NAMES for x in parts) and all(x in OUTSIDE_NAMES or x in PLACE_NAMES for x in parts)
 
 
-def _traits(tag: str, attributes: str, over: _Open) -> _Open:
+def _traits(tag: str, attributes: str, over: _Open, running: bool) -> _Open:
+    """What an element and those above it are. ``running``: it is no block, and stands in running text, so it alone puts nothing out."""
     names: list[str] = []
     if "=" in attributes:
         for value in _ATTRIBUTE.findall(attributes):
@@ -104,10 +115,11 @@ def _traits(tag: str, attributes: str, over: _Open) -> _Open:
     return _Open(
         tag,
         over.inside or article,
-        over.outside or outside or header and not over.inside,
+        over.outside or not running and (outside or header and not over.inside),
         over.heading or tag in HEADINGS,
         over.header or header,
         over.link or tag == "a",
+        over.aside and tag not in BLOCKS or running and outside,
     )
 
 
@@ -152,19 +164,21 @@ def blocks_of(page: str) -> list[Block]:
     stack = _Stack()
     blocks: list[Block] = []
     parts: list[str] = []
-    links, blank = 0, True
+    links, blank, own = 0, True, False
     holder = stack[0]
 
     def end() -> None:
-        nonlocal links, blank
+        nonlocal links, blank, own
         text = _SPACE.sub(" ", "".join(parts)).strip()
         if text:
-            blocks.append(Block(text, links, holder.inside, holder.outside or holder.header and not holder.heading, holder.heading))
+            # A line that is all in a button, a label or an element with such a name is one; a line with text of its own keeps them.
+            put_out = holder.outside or holder.header and not holder.heading or not own and not stack.has("pre")
+            blocks.append(Block(text, links, holder.inside, put_out, holder.heading))
         parts.clear()
-        links, blank = 0, True
+        links, blank, own = 0, True, False
 
     def add(raw: str) -> None:
-        nonlocal links, holder, blank
+        nonlocal links, holder, blank, own
         if not raw:
             return
         top = stack[-1]
@@ -173,6 +187,7 @@ def blocks_of(page: str) -> list[Block]:
             holder = top
             blank = text.isspace()
         parts.append(text)
+        own = own or not top.aside and not text.isspace()
         if top.link:
             links += len(text.strip())
 
@@ -198,7 +213,7 @@ def blocks_of(page: str) -> list[Block]:
         elif tag not in VOID and not m[4].endswith("/"):
             if tag in BLOCKS and stack.blocks and stack.blocks[-1].tag in _CLOSES.get(tag, {"p"}):
                 stack.close(stack.blocks[-1].tag)
-            new = _traits(tag, m[4], stack[-1])
+            new = _traits(tag, m[4], stack[-1], tag not in BLOCKS and bool(stack.blocks) and stack.blocks[-1].tag in RUNNING)
             if tag not in BLOCKS and new.outside != stack[-1].outside:
                 end()
             stack.open(new)
@@ -207,19 +222,29 @@ def blocks_of(page: str) -> list[Block]:
     return blocks
 
 
-def judge(blocks: list[Block]) -> None:
-    """Both passes: sets ``good`` of every block. Inside an article's element only place makes a block bad at once; links and few stop words leave it undecided."""
+def _stop_shares(blocks: list[Block]) -> list[float]:
+    """The share of stop words of each block. Where the page's longer blocks show that it is in none of the lists' languages, length alone tells: long blocks count as full of them, others as undecided."""
+    counts = []
     for b in blocks:
         words = re.findall(r"\w+", b.text.lower())
+        counts.append((sum(w in STOP_WORDS for w in words), len(words)))
+    long = [c for b, c in zip(blocks, counts, strict=True) if not b.outside and not b.heading and b.size >= SHORT and b.link_chars <= MANY_LINKS * len(b.text)]
+    if long and sum(s for s, _ in long) < LOW_STOPS * sum(n for _, n in long):
+        return [HIGH_STOPS if b.size > LONG else LOW_STOPS for b in blocks]
+    return [s / max(n, 1) for s, n in counts]
+
+
+def judge(blocks: list[Block]) -> None:
+    """Both passes: sets ``good`` of every block. Inside an article's element only place makes a block bad at once; links and few stop words leave it undecided."""
+    for b, stops in zip(blocks, _stop_shares(blocks), strict=True):
         density = b.link_chars / max(len(b.text), 1)
-        stops = sum(w in STOP_WORDS for w in words) / max(len(words), 1)
         if b.outside or density > MANY_LINKS and not b.inside:
             b.good = False
-        elif b.heading or len(b.text) < SHORT or density > MANY_LINKS:
+        elif b.heading or b.size < SHORT or density > MANY_LINKS:
             b.good = None
         elif stops >= HIGH_STOPS or b.inside and stops >= LOW_STOPS:
             b.good = True
-        elif len(b.text) > LONG and stops >= LOW_STOPS:
+        elif b.size > LONG and stops >= LOW_STOPS:
             b.good = True
         elif stops < LOW_STOPS and not b.inside:
             b.good = False

@@ -123,6 +123,25 @@ def test_html_without_article():
     assert html_extract.main_text("<article>" + "<b>x</b> " * 20_000) == " ".join(["x"] * 20_000)
 
 
+@pytest.mark.parametrize(
+    "sentence",
+    ["\u4eca\u5929\u5929\u6c14\u5f88\u597d\uff0c\u6211\u4eec\u53bb\u516c\u56ed\u6563\u6b65\u3002", "\u041e\u043d \u043f\u043e\u0448\u0451\u043b \u0432 \u043f\u0430\u0440\u043a \u0438 \u0434\u043e\u043b\u0433\u043e \u0433\u0443\u043b\u044f\u043b. ", "\u0630\u0647\u0628 \u0625\u0644\u0649 \u0627\u0644\u062d\u062f\u064a\u0642\u0629 \u0648\u0645\u0634\u0649 \u0637\u0648\u064a\u0644\u0627. ", "Poszed\u0142 do parku i d\u0142ugo spacerowa\u0142. "],
+)
+def test_html_without_article_in_other_languages(sentence):
+    text = (sentence * 12).strip()
+    page = f'<body><nav><a href="/">x</a></nav><div id="text"><h1>{sentence.strip()}</h1><p>{text}</p><p>{sentence.strip()}</p><p>{text}</p></div><div class="footer">{text}</div><p><a href="/1">{text}</a></p></body>'
+    assert html_extract.main_text(page).split("\n\n") == [sentence.strip(), text, sentence.strip(), text]
+
+
+def test_html_elements_within_a_line():
+    article = lambda x: html_extract.main_text(f"<article><p>It was the best of times and it was the worst of times for all of us.</p>{x}</article>").split("\n\n")[1:]
+    assert article('<pre><code>x = 1 <span class="comment"># add one</span>\ny</code></pre>') == ["x = 1 # add one y"]
+    assert article('<pre><span class="comment"># alone</span></pre>') == ["# alone"]
+    assert article("<p>Press <label>Ctrl</label> and <button>Save</button> to keep it</p>") == ["Press Ctrl and Save to keep it"]
+    assert article("<p><button>Subscribe</button> <label>Mail</label></p>") == [] == article('<p><span class="advert">Buy this now</span></p>')
+    assert article('<div>Some of it <span class="advert">Buy this now</span></div>') == ["Some of it"]
+
+
 def test_html_article_is_a_prior():
     text = "The main text is in a plain part of the page and it has all of the words that there are to read. " * 3
     teaser = "<article><h3>More</h3><p>This is a card of the site and it has a few words for you to read.</p></article>"
