@@ -129,7 +129,8 @@ def clause_clashes(clauses: DataFrame, group: list[str], clause: str = "clause")
     and that the body doesn't hold of those. Clauses are JSON trees; what each denies are at most five texts, joined by
     equality with what is stated, so a group of n clauses makes 5 n rows and not n^2. Null and broken clauses state nothing; repeated ones count once.
     """
-    stated = clauses.select(*group, clause_text(F.col(clause)).alias("clause")).where("clause is not null").distinct()
+    # Repeats go before trees are read.
+    stated = clauses.select(*group, F.col(clause).alias("clause")).distinct().withColumn("clause", clause_text(F.col("clause"))).where("clause is not null").distinct()
     c = F.col("clause")
     body = F.when(c.startswith('["forall",'), F.substring(c, F.lit(11), F.length(c) - 11))
     wrap = lambda name, x: F.concat(F.lit(f'["{name}",'), x, F.lit("]"))

@@ -21,10 +21,10 @@ def phrase_spans(words: DataFrame, sentence: Sequence[str], place: str = "i", st
     first takes its words, so a noun that a chunk or an earlier verb's object took isn't left over, while a chunk's words may be in an object, too.
     Words of ``stops`` begin nothing, and those of ``deny`` are no word or verb. Null tags and lemmas are others and empty ones.
 
-    All by windows over a sentence: verbs are never taken, so each object depends on the four words to the right alone, and
+    One shuffle of the words by sentence, and windows over it: verbs are never taken, so each object depends on the four words to the right alone, and
     whether a word is taken on its chunk and the four words to the left.
     """
-    w = words.withColumns({"lemma": F.coalesce("lemma", F.lit("")), "tag": F.coalesce("tag", F.lit("")), "i": F.col(place).cast("long")})
+    w = words.repartition(*sentence).withColumns({"lemma": F.coalesce("lemma", F.lit("")), "tag": F.coalesce("tag", F.lit("")), "i": F.col(place).cast("long")})
     stop = (F.col("lemma") == "") | F.col("lemma").isin(*stops)
     w = w.withColumns({"_stop": stop, "_nominal": F.col("tag").isin(*NOMINAL)})
     order = Window.partitionBy(*sentence).orderBy("i")
@@ -32,8 +32,7 @@ def phrase_spans(words: DataFrame, sentence: Sequence[str], place: str = "i", st
     like = lambda flag: F.col("i") - F.row_number().over(Window.partitionBy(*sentence, flag).orderBy("i"))
     w = w.withColumn("_chunky", F.col("_nominal") & ~F.col("lemma").isin(*stops) if stops else F.col("_nominal")).withColumn("_proper", F.col("tag") == "PROPN")
     w = w.withColumns({"_chunk": F.when(F.col("_chunky"), like("_chunky")), "_run": F.when(F.col("_proper"), like("_proper"))})
-    size = F.count("*").over(Window.partitionBy(*sentence, "_chunky", "_chunk"))
-    w = w.withColumn("_in_chunk", F.col("_chunky") & (size >= 2))
+    w = w.withColumn("_in_chunk", F.col("_chunky") & (F.count("*").over(Window.partitionBy(*sentence, "_chunky", "_chunk")) >= 2))
 
     seen = F.array(*[F.lead(F.struct("i", "lemma", "_stop", "_nominal"), k).over(order) for k in range(1, REACH + 1)])
     empty = F.struct(F.array().cast("array<struct<i:bigint,lemma:string>>").alias("took"), F.lit(False).alias("over"))
@@ -52,13 +51,23 @@ def phrase_spans(words: DataFrame, sentence: Sequence[str], place: str = "i", st
         by_object = by_object | F.coalesce(F.array_contains(F.transform(took, lambda t: t["i"]), F.col("i")), F.lit(False))
     w = w.withColumn("_free", ~F.col("_in_chunk") & ~by_object & ~F.col("_stop"))
 
+    # Words give parts of phrases, which meet by run or place; the words already lie together by sentence, so nothing is shuffled for it.
     said = F.when(F.col("_proper"), F.col("word")).otherwise(F.col("lemma"))
-    gathered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("i", c.alias("s")))), lambda x: x["s"])
-    span = (F.min("i").alias("first"), F.max("i").alias("last"))
-    chunks = w.where("_in_chunk").groupBy(*sentence, "_chunk").agg(*span, gathered(said).alias("phrase")).select(*sentence, F.lit("chunk").alias("kind"), "first", "last", "phrase")
-    objects = w.where(F.size("_object") > 0).select(*sentence, F.lit("object").alias("kind"), F.col("i").alias("first"), F.element_at("_object", -1)["i"].alias("last"), F.concat(F.array("lemma"), F.slice(F.transform("_object", lambda t: t["lemma"]), 1, OBJECT)).alias("phrase"))
-    names = w.where("_proper").groupBy(*sentence, "_run").agg(*span, gathered(F.col("word")).alias("phrase"), F.max("_free").alias("free")).where("free").select(*sentence, F.lit("name").alias("kind"), "first", "last", "phrase")
     allowed = ~F.col("lemma").isin(*deny) if deny else F.lit(True)
-    lone = (F.col("tag").isin("NOUN", "ADJ") & F.col("_free") & allowed) | (F.size("_object") == 0)
-    singles = w.where(lone).select(*sentence, F.lit("word").alias("kind"), F.col("i").alias("first"), F.col("i").alias("last"), F.array("lemma").alias("phrase"))
-    return chunks.unionByName(objects).unionByName(names).unionByName(singles)
+    lone = (F.col("tag").isin("NOUN", "ADJ") & F.col("_free") & allowed) | F.coalesce(F.size("_object") == 0, F.lit(False))
+    lemmas = F.concat(F.array("lemma"), F.slice(F.transform("_object", lambda t: t["lemma"]), 1, OBJECT))
+
+    def part(kind, of, last, texts, counts):
+        return F.struct(F.lit(kind).alias("kind"), of.alias("_of"), F.col("i").alias("_first"), last.cast("long").alias("_last"), texts.alias("_texts"), counts.alias("_counts"))
+
+    here, always = F.col("i"), F.lit(True)
+    parts = F.array(
+        F.when(F.col("_in_chunk"), part("chunk", F.col("_chunk"), here, F.array(said), always)),
+        F.when(F.size("_object") > 0, part("object", here, F.element_at("_object", -1)["i"], lemmas, always)),
+        F.when(F.col("_proper"), part("name", F.col("_run"), here, F.array("word"), F.col("_free"))),
+        F.when(lone, part("word", here, here, F.array("lemma"), always)),
+    )
+    each = w.select(*sentence, F.inline(F.array_compact(parts)))
+    texts = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_first", "_texts"))), lambda x: x["_texts"]))
+    found = each.groupBy(*sentence, "kind", "_of").agg(F.min("_first").alias("first"), F.max("_last").alias("last"), texts.alias("phrase"), F.max("_counts").alias("_counts"))
+    return found.where("_counts").drop("_of", "_counts")
