@@ -29,8 +29,9 @@ BUCKETS = 1 << 20
 MARKER, RARE, AKIN, DRIFT = (4.0, 0.5), 0.001, 0.5, 0.05
 #: A word that stood less than so many tokens before scores nothing again.
 AGAIN = 100
-#: Texts with an equal one of so many least shingle hashes count as copies in fitting.
-SKETCH, SHINGLE = 4, 5
+#: Texts of one label count as copies in fitting if one of so many keys, each of so many least shingle hashes, is equal: 97 of 100 pairs
+#: that share 0.9 of their shingles, one of 10^7 that share 0.1 (as texts with a common line do).
+KEYS, LEAST, SHINGLE = 6, 8, 5
 #: A segment is significant if chance gives fewer of its like in a text; at most so many are combined by the sum statistic.
 E_VALUE, COMBINED = 0.01, 8
 #: Evidence beyond this tells no more.
@@ -164,18 +165,24 @@ def _labelled(labels: DataFrame, id_col: str, most: int) -> DataFrame:
     return one.orderBy(F.xxhash64("id"), "id").limit(most)
 
 
+#: Odd multipliers, each an order of hashes.
+_ORDERS = np.array([xxhash.xxh64_intdigest(str(k)) | 1 for k in range(KEYS * LEAST)], np.uint64)
+
+
 def _sketch(text: str) -> list[int]:
-    """The least hashes, by several orders, of a text's shingles; texts that share most shingles are likely to share one."""
+    """A hash of the text, and keys of the least hashes, by several orders, of its shingles; texts that share most shingles are likely to share a key."""
     words = _WORD.findall(text.lower())
     shingles = {" ".join(words[i : i + SHINGLE]) for i in range(max(len(words) - SHINGLE, 0) + 1)}
     hashes = np.array([xxhash.xxh64_intdigest(s) for s in shingles], np.uint64)
-    return [int((hashes * np.uint64(m)).min() >> np.uint64(1)) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)[:SKETCH]]
+    least = np.array([(hashes * m).min() for m in _ORDERS], np.uint64).reshape(KEYS, LEAST)
+    return [xxhash.xxh64_intdigest(x) >> 1 for x in (text, *(k.tobytes() for k in least))]
 
 
 def _texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most: int) -> DataFrame:
-    """(text, toxic) of the labelled documents, one for each group of copies and near copies; of them the worst label counts.
+    """(text, toxic) of the labelled documents, one for each group of copies and near copies.
 
-    Sketches of at most ``most`` ids go to the driver, which joins those that share a hash.
+    Of equal texts the worst label counts. Near copies are joined only with those of their label: what differs may be what makes one toxic.
+    Sketches of at most ``most`` ids go to the driver, which joins those that share a key.
     """
     chosen = F.broadcast(_labelled(labels, id_col, most))
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -197,15 +204,16 @@ def _texts(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, most:
             i = up[i]
         return i
 
-    seen: dict[tuple[int, int], int] = {}
-    for i, sketch in enumerate(sketched["sketch"].to_pylist()):
-        for key in enumerate(sketch):
-            a, b = sorted((top(i), top(seen.setdefault(key, i))))
+    sketches, worst = sketched["sketch"].to_pylist(), {}
+    for (text, *_), label in zip(sketches, sketched["toxic"].to_pylist(), strict=True):
+        worst[text] = max(worst.get(text, 0), label)
+    seen: dict[tuple[int, int, int], int] = {}
+    for i, (text, *keys) in enumerate(sketches):
+        for k, key in enumerate(keys):
+            a, b = sorted((top(i), top(seen.setdefault((worst[text], k, key), i))))
             up[b] = a
-    worst: dict[int, int] = {}
-    for i, label in enumerate(sketched["toxic"].to_pylist()):
-        worst[top(i)] = max(worst.get(top(i), 0), label)
-    kept = sketched.select(["id"]).take(pa.array(list(worst), pa.int64())).append_column("toxic", pa.array(list(worst.values()), pa.int32()))
+    group = {i: worst[sketches[i][0]] for i in up if up[i] == i}
+    kept = sketched.select(["id"]).take(pa.array(list(group), pa.int64())).append_column("toxic", pa.array(list(group.values()), pa.int32()))
     return docs.join(F.broadcast(docs.sparkSession.createDataFrame(kept)), "id").select("text", "toxic")
 
 
@@ -249,11 +257,22 @@ def _curve(evidence: np.ndarray, toxic: np.ndarray) -> tuple[float, float]:
     target = np.where(toxic > 0, (yes + 1) / (yes + 2), 1 / (no + 2))
     x = np.stack([np.ones_like(evidence), evidence], 1)
     beta = np.array([log((yes + 1) / (no + 1)), 0.0])
+
+    def loss(b: np.ndarray) -> float:
+        return float(np.sum(np.logaddexp(0, x @ b) - target * (x @ b)))
+
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -50, 50)))
         weight = np.maximum(p * (1 - p), 1e-9)
-        step = np.linalg.solve(x.T @ (x * weight[:, None]) + 1e-6 * np.eye(2), x.T @ (target - p))
-        beta += np.clip(step, -1, 1)
+        down = x.T @ (target - p)
+        step = np.linalg.solve(x.T @ (x * weight[:, None]) + 1e-6 * np.eye(2), down)
+        # A whole step may go too far where evidence is large: it is halved until the loss falls with it, so slopes don't run away.
+        size, now = 1.0, loss(beta)
+        while size > 1e-9 and loss(beta + size * step) > now - 1e-4 * size * float(down @ step):
+            size /= 2
+        if size <= 1e-9:
+            break
+        beta += size * step
         if np.abs(step).max() < 1e-9:
             break
     return float(beta[0]), float(max(beta[1], 0.0))
@@ -263,7 +282,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED, id
     """A model of the documents that ``labels`` (id, toxic) marks; all that reaches the driver is BUCKETS counts and sketches and sums of ``max_labelled`` texts.
 
     Law and curve are fitted on the same texts, each scored as if it hadn't been counted. Null ids and labels are left
-    out, repeated ones count once (the worst), as do near copies of a text. Without texts of both kinds every score is 0.
+    out, repeated ones count once (the worst), as do near copies of a text with its label. Without texts of both kinds every score is 0.
     """
     texts = _texts(docs, labels, id_col, text_col, max_labelled)
     model = _count(texts)

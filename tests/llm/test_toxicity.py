@@ -103,6 +103,31 @@ def test_near_copies_count_once(spark, trained):
     assert abs(float(more.toxic.sum() - model.toxic.sum())) < 200
 
 
+def test_curve_of_classes_far_apart():
+    for clean, toxic in ((46, 6), (1000, 120), (60, 60)):
+        for noise in (0, 1):
+            evidence = np.array([0.0] * clean + [toxicity.CERTAIN] * toxic)
+            evidence[:noise] = 21.0
+            low, slope = toxicity._curve(evidence, np.array([0.0] * clean + [1.0] * toxic))
+            p = 1 / (1 + np.exp(-(low + slope * np.array([0.0, toxicity.CERTAIN]))))
+            assert slope > 0 and p[0] < 0.1 and p[1] >= 0.7, (clean, toxic, noise, low, slope)
+
+
+def test_texts_with_a_common_line_are_ranked(spark):
+    line = "they say that seven old bakers never sold one loaf before the morning bell rang\n"
+    rows = [(i, line + " ".join(text.split()[:40]) + (" vilescum and dimwits" if toxic else ""), toxic) for i, text, toxic in some_texts(400, 5)]
+    # near copies of one clean text, some of them with insults
+    rows += [(1000 + i, rows[1][1] + (" gitface wormtongue" if i % 4 == 0 else f" farm{i}"), int(i % 4 == 0)) for i in range(60)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows if r[0] % 5], "doc_id long, toxic int")
+    kept = {r.toxic: r.n for r in toxicity._texts(docs, labels, "doc_id", "text", 1000).groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    apart = {t: len([r for r in rows if r[0] < 1000 and r[0] % 5 and r[2] == t]) for t in (0, 1)}
+    assert apart[1] < kept[1] <= apart[1] + 3 and apart[0] <= kept[0] <= apart[0] + 3
+    got = {r.doc_id: r.score for r in toxicity.score_toxicity(docs, toxicity.fit(docs, labels)).collect()}
+    held = [(got[r[0]], r[2]) for r in rows if r[0] % 5 == 0]
+    assert min(s for s, t in held if t) >= 0.7 > max(s for s, t in held if not t)
+
+
 def test_odd_rows(spark, trained):
     _, docs, labels, model = trained
     schema = "doc_id long, text string, score double, passages int, id string, evidence int, toxic int"
