@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 import json
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,10 +18,13 @@ from pyspark.sql import functions as F
 PATTERN = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: The base special tokens; speakers' follow, sorted.
 SPECIALS = ["<pad>", "<unk>", "<bos>", "<eos>", "<agent>", "<usr>", "<system>"]
+#: So many bytes of text, or ids, are given to the library at once, as it takes over a hundred bytes for each token (a longer row goes alone).
+AT_ONCE = 1 << 19
 
 
 @lru_cache(maxsize=4)
 def _load(path: str):
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # tasks are what runs at the same time
     from tokenizers import Tokenizer
 
     return Tokenizer.from_file(path)
@@ -35,14 +42,26 @@ def vocabulary(spark: SparkSession, path: str) -> DataFrame:
     return found.select(F.explode("j.model.vocab").alias("piece", "id")).select("id", "piece")
 
 
-def encode(text: Column, path: str, bos: int | None = None, eos: int | None = None) -> Column:
-    """Token ids of a text, by Arrow batches; bos and eos are put around where given. A null text counts as an empty one: only bos and eos."""
+def _portions(sizes: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, count) of the rows to take at once, by what each holds (null: nothing)."""
+    ends = np.cumsum(pc.fill_null(sizes, 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    low = 0
+    while low < len(ends):
+        high = max(int(np.searchsorted(ends, (ends[low - 1] if low else 0) + AT_ONCE, "right")), low + 1)
+        yield low, high - low
+        low = high
 
-    @F.pandas_udf("array<int>")
-    def ids(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _load(path)
-        for texts in batches:
-            yield pd.Series([e.ids for e in tokenizer.encode_batch(texts.fillna("").tolist(), add_special_tokens=False)], dtype=object)
+
+def encode(text: Column, path: str, bos: int | None = None, eos: int | None = None) -> Column:
+    """Token ids of a text, by Arrow batches, a portion of a batch at a time; bos and eos are put around where given. A null text counts as an empty one: only bos and eos."""
+
+    @F.arrow_udf("array<int>")
+    def ids(texts: pa.Array) -> pa.Array:
+        tokenizer, found = _load(path), [np.empty(0, np.int32)]
+        for low, n in _portions(pc.binary_length(texts)):
+            part = texts.slice(low, n).fill_null("").to_pylist()
+            found += [np.array(e.ids, np.int32) for e in tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([len(x) for x in found]), pa.int32()), pa.array(np.concatenate(found)))
 
     out = ids(text)
     parts = [F.array(F.lit(bos))] if bos is not None else []

@@ -208,3 +208,58 @@ def test_numbered_by_any_columns(spark):
     assert [r.rank for r in got] == list(range(550)) and sorted((r.s or "", r.n, r.i) for r in got) == sorted((s or "", n, i) for s, n, i in rows)
     assert [(r.s, r.n) for r in got] == sorted(((s, n) for s, n, _ in rows), key=lambda x: (x[0] is not None, x[0] or "", -x[1]))
     assert corpus.numbered(df.where("false"), ["s"]).count() == 0
+
+
+def worker_peak_mb(run):
+    """The largest resident memory of a Python worker while ``run()`` goes on."""
+    import threading
+
+    import psutil
+
+    peak, over = [0.0], threading.Event()
+
+    def watch():
+        while not over.wait(0.05):
+            for p in psutil.Process().children(recursive=True):
+                try:
+                    if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name():
+                        peak[0] = max(peak[0], p.memory_info().rss / 1e6)
+                except psutil.Error:
+                    pass
+
+    thread = threading.Thread(target=watch)
+    thread.start()
+    try:
+        run()
+    finally:
+        over.set()
+        thread.join()
+    return peak[0]
+
+
+def test_encoding_takes_portions_of_a_batch(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").coalesce(1)
+    ids = tokens.encode(F.col("text"), path)
+    assert worker_peak_mb(lambda: docs.select(F.size(ids).alias("n")).write.format("noop").mode("overwrite").save()) < 700
+
+
+def test_portions():
+    import pyarrow as pa
+
+    sizes = [tokens.AT_ONCE + 5, 0, None, 7, tokens.AT_ONCE - 7, 1, 3 * tokens.AT_ONCE, 2]
+    assert list(tokens._portions(pa.array(sizes, pa.int32()))) == [(0, 1), (1, 4), (5, 1), (6, 1), (7, 1)]
+    assert list(tokens._portions(pa.array([], pa.int32()))) == []
+
+
+def test_encoding_of_nulls_and_empty_texts(spark):
+    import public_tokenizers
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    df = spark.createDataFrame([(0, None), (1, ""), (2, "a b<|endoftext|>"), (3, None)], "k long, text string").coalesce(1)
+    got = df.select("k", tokens.encode(F.col("text"), path).alias("ids"), tokens.decode(tokens.encode(F.col("text"), path), path).alias("back")).orderBy("k").collect()
+    assert [len(r.ids) for r in got] == [0, 0, 3, 0] and got[2].ids[-1] == 50256
+    assert [r.back for r in got] == ["", "", "a b<|endoftext|>", ""]
+    assert df.where("false").select(tokens.encode(F.col("text"), path, 1, 2)).collect() == []
