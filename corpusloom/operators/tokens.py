@@ -8,7 +8,6 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,11 +71,13 @@ def encode(text: Column, path: str, bos: int | None = None, eos: int | None = No
 def decode(ids: Column, path: str, drop: list[int] | None = None) -> Column:
     """The text of token ids, without those to drop."""
 
-    @F.pandas_udf("string")
-    def text(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        tokenizer = _load(path)
-        for rows in batches:
-            yield pd.Series(tokenizer.decode_batch([list(map(int, r)) if r is not None else [] for r in rows], skip_special_tokens=False), dtype=object)
+    @F.arrow_udf("string")
+    def text(rows: pa.Array) -> pa.Array:
+        tokenizer, found = _load(path), []
+        for low, n in _portions(pc.list_value_length(rows)):
+            part = [r or [] for r in rows.slice(low, n).to_pylist()]
+            found.append(pa.array(tokenizer.decode_batch(part, skip_special_tokens=False), pa.string()))
+        return pa.concat_arrays(found) if found else pa.array([], pa.string())
 
     kept = F.filter(ids, lambda i: ~i.isin(*drop)) if drop else ids
     return text(kept)

@@ -244,6 +244,7 @@ def test_encoding_takes_portions_of_a_batch(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("text").coalesce(1)
     ids = tokens.encode(F.col("text"), path)
     assert worker_peak_mb(lambda: docs.select(F.size(ids).alias("n")).write.format("noop").mode("overwrite").save()) < 700
+    assert worker_peak_mb(lambda: docs.select(F.md5(tokens.decode(ids, path)).alias("m")).write.format("noop").mode("overwrite").save()) < 700
 
 
 def test_portions():
@@ -263,3 +264,4 @@ def test_encoding_of_nulls_and_empty_texts(spark):
     assert [len(r.ids) for r in got] == [0, 0, 3, 0] and got[2].ids[-1] == 50256
     assert [r.back for r in got] == ["", "", "a b<|endoftext|>", ""]
     assert df.where("false").select(tokens.encode(F.col("text"), path, 1, 2)).collect() == []
+    assert tuple(df.select(tokens.decode(F.lit(None).cast("array<int>"), path).alias("t")).first()) == ("",)
