@@ -11,13 +11,13 @@ from __future__ import annotations
 import heapq
 import os
 import re
-import struct
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,20 +28,29 @@ END_ID = 1
 QUADRATIC = 4096
 #: A run ends at so many documents or tokens.
 RUN_DOCS, RUN_TOKENS = 2048, 8_000_000
-#: Words whose ids a worker remembers, and as many that it met before those; words of more bytes aren't remembered.
-_MEMO, _MEMO_BYTES = 300_000, 40
-_SMALL = re.compile("[a-zß-öø-ÿ]+")
+#: Words whose ids a worker remembers, and as many that it met before those; words of more letters aren't remembered.
+_MEMO, _MEMO_LETTERS = 300_000, 40
+_LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: ASCII signs but the apostrophe, which may begin a word's ending.
+_SIGNS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
 #: Byte-level tokenizers write each byte as a printable character: printable Latin-1 as itself, others from U+0100 on.
 _PRINTABLE = dict(zip([b for b in range(256) if b < 33 or 126 < b < 161 or b == 173], range(256, 512)))
-_ROWS = 256
+#: Texts are encoded together by so many rows or bytes; words are looked up, and ids gathered, by so many words.
+_ROWS, _BYTES, _WORDS = 1024, 4 << 20, 1 << 17
 
 
-class WordEncoder(dict):
+def as_bytes(ids: list[Sequence[int]]) -> list[bytes]:
+    flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
+    ends = [4 * x for x in accumulate(map(len, ids), initial=0)]
+    return [flat[i:j] for i, j in pairwise(ends)]
+
+
+class WordEncoder:
     """Ids of texts as little-endian unsigned 32-bit bytes, by a `tokenizers` file that drops white space.
 
-    Such a tokenizer works on each run between ASCII white space alone, so ids are
-    remembered by word (the entries of this dictionary). If it lowers letters, A-Z are lowered
-    first, and if it parts letters from signs, a full stop or comma at a word's end is encoded on its own.
+    Such a tokenizer works on each run between ASCII white space alone, so each distinct word
+    of some texts is looked up once, and ids are remembered by word. If it lowers letters, A-Z are lowered
+    first, words of Latin letters go straight to the model, and if it parts letters from signs, the signs at a word's end are encoded on their own.
     """
 
     def __init__(self, path: str) -> None:
@@ -49,53 +58,105 @@ class WordEncoder(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.old: dict[bytes, bytes] = {}
-        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.new: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        self.special = [t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         same = lambda a, b: self._ids([a]) == self._ids([b])
         self.lowers = same("THE Quick", "the quick") and same("ONIONS", "onions")
         self.model, self.direct = self.tokenizer.model, True
-        self.direct = self.lowers and all(self._plain(w.encode()) == self._ids([w])[0] for w in ("the", "onions", "größenäß", "éçàênt", "ñaz", "xqzj"))
-        self.parts = all(self._ids([f"{w}{c}"])[0] == b"".join(self._ids([w, c])) for w in ("the", "onions", "q") for c in ".,")
+        latin = "".join(filter(_LATIN.fullmatch, map(chr, range(192, 256))))
+        self.direct = self.lowers and all(self._encoded([w]) == self._ids([w]) for w in ("the", "onions", "größenäß", "éçàênt", "ñaz", "xqzj", "École", "aÉz", latin))
+        heads, tails = ["the", "onions", *latin, *map(chr, range(97, 123))], [*_SIGNS, "...", "-,", _SIGNS]
+        self.parts = self._ids([h + t for h in heads for t in tails]) == [h + t for h in self._ids(heads) for t in self._ids(tails)]
 
     def _ids(self, words: list[str]) -> list[bytes]:
-        ids = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        flat = np.fromiter(chain.from_iterable(ids), "<u4").tobytes()
-        ends = [4 * x for x in accumulate(map(len, ids), initial=0)]
+        return as_bytes([e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)])
+
+    def _plain(self, word: str) -> list[int] | None:
+        """Ids of a word of Latin letters straight from the model, which takes bytes as printable characters; None: not such a word."""
+        if word.isascii():
+            letters = word.lower() if word.isalpha() else None
+        else:
+            letters = word.lower().encode().decode("latin-1").translate(_PRINTABLE) if _LATIN.fullmatch(word) else None
+        return [t.id for t in self.model.tokenize(letters)] if letters else None
+
+    def _encoded(self, words: list[str]) -> list[bytes]:
+        """The ids of words that aren't remembered."""
+        plain = [*map(self._plain, words)] if self.direct else [None] * len(words)
+        ids = as_bytes([x or () for x in plain])
+        others = [i for i, x in enumerate(plain) if x is None]
+        for at in range(0, len(others), 1024):
+            some = others[at : at + 1024]
+            for i, x in zip(some, self._ids([words[i] for i in some]), strict=True):
+                ids[i] = x
+        return ids
+
+    def _stem(self, word: str) -> str:
+        """A word that ends with a Latin letter and then signs, without those signs; other words as they are."""
+        stem = word.rstrip(_SIGNS) if self.parts else word
+        return word if not _LATIN.fullmatch(stem[-1:]) or any(t in word.lower() for t in self.special) else stem
+
+    def _known(self, words: list[str]) -> list[bytes]:
+        """The ids of each of ``words``, which are remembered from now on."""
+        found: list[bytes | None] = []
+        for at in range(0, len(words), _WORDS):
+            some = words[at : at + _WORDS]
+            got = list(map(self.new.get, some))
+            missing = [i for i, x in enumerate(got) if x is None]
+            fresh = {some[i]: self.old.get(some[i]) for i in missing}
+            unknown = [w for w, x in fresh.items() if x is None]
+            fresh.update(zip(unknown, self._encoded(unknown), strict=True))
+            for i in missing:
+                got[i] = fresh[some[i]]
+            if len(self.new) > _MEMO:
+                self.old, self.new = self.new, {}
+            self.new.update((w, x) for w, x in fresh.items() if len(w) <= _MEMO_LETTERS)
+            found += got
+        return found
+
+    def encode(self, texts: pa.StringArray) -> list[bytes]:
+        """The ids of each of ``texts``; none for a null or an empty one."""
+        texts = texts.fill_null("")
+        if self.lowers:
+            lower = pc.ascii_lower(texts)
+            for t in self.special:  # a special token isn't lowered
+                lower = pc.if_else(pc.match_substring(lower, t, ignore_case=True), texts, lower)
+            texts = lower
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words, index = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        ends_so = pc.not_equal(pc.ascii_rtrim(coded.dictionary, _SIGNS), coded.dictionary)
+        tails = []
+        stems = words.copy()
+        for i in np.flatnonzero(ends_so.to_numpy(zero_copy_only=False)).tolist():
+            stems[i] = stem = self._stem(words[i])
+            tails.append((i, words[i][len(stem) :]))
+        ids = self._known(stems)
+        for (i, _), x in zip(tails, self._known([signs for _, signs in tails]), strict=True):
+            ids[i] += x
+        pool, sizes = np.frombuffer(b"".join(ids), "<u4"), np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        starts = np.cumsum(sizes) - sizes
+        gathered = []
+        for at in range(0, len(index), _WORDS):
+            some = index[at : at + _WORDS]
+            n = sizes[some]
+            gathered.append(pool[np.repeat(starts[some] - np.cumsum(n) + n, n) + np.arange(n.sum())].tobytes())
+        flat = b"".join(gathered)
+        ends = np.concatenate([[0], np.cumsum(4 * sizes[index])])[split.offsets.to_numpy()].tolist()
         return [flat[i:j] for i, j in pairwise(ends)]
 
-    def _plain(self, word: bytes) -> bytes | None:
-        """A word of small Latin letters straight from the model, which takes bytes as printable characters; None: not such a word."""
-        if not self.direct or not _SMALL.fullmatch(word.decode()):
-            return None
-        ids = [t.id for t in self.model.tokenize(word.decode("latin-1").translate(_PRINTABLE))]
-        return struct.pack(f"<{len(ids)}I", *ids)
-
-    def _stem(self, word: bytes) -> bytes:
-        """A word of a letter a-z and then one full stop or comma, without that sign; other words as they are."""
-        return word[:-1] if self.parts and word[-1] in b".," and len(word) > 1 and 97 <= word[-2] <= 122 else word
-
-    def _words(self, text: str | None) -> list[bytes]:
-        raw = (text or "").encode()
-        lower = raw.lower() if self.lowers else raw
-        return (raw if any(t in lower for t in self.special) else lower).split()
-
-    def __missing__(self, word: bytes) -> bytes:
-        """Ids of a word that isn't remembered, or not in the present generation."""
-        ids = self.old.get(word)
-        if ids is None:
-            stem = self._stem(word)
-            ids = self._plain(word) if stem is word else self[stem] + self[word[-1:]]
-            if ids is None:
-                ids = self._ids([word.decode()])[0]
-        if len(word) <= _MEMO_BYTES:
-            self[word] = ids
-        return ids
 
-    def encode(self, text: str | None) -> bytes:
-        if len(self) > _MEMO:
-            self.old = dict(self)
-            self.clear()
-        return b"".join(map(self.__getitem__, self._words(text)))
+def portions(texts: pa.StringArray) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of portions of at most ``_ROWS`` rows and, but for a single text, ``_BYTES`` bytes."""
+    sizes = pc.binary_length(texts).fill_null(0).to_pylist()
+    at = held = 0
+    for i, n in enumerate(sizes):
+        if i > at and (i - at == _ROWS or held + n > _BYTES):
+            yield at, i - at
+            at, held = i, 0
+        held += n
+    if at < len(sizes):
+        yield at, len(sizes) - at
 
 
 @lru_cache(maxsize=2)
@@ -129,7 +190,11 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
     used = [0] * bins
     heap = [(0.0, b) for b in range(bins)]
     left = []
+    most = capacity  # no sequence has more room
     for size, d, start in rests:
+        if size > most:
+            left.append((size, d, start))
+            continue
         skipped, chosen = [], None
         while heap:
             top = heapq.heappop(heap)
@@ -140,6 +205,7 @@ def assign(lengths: list[int], capacity: int = CAPACITY) -> list[tuple[int, int,
         for x in skipped:
             heapq.heappush(heap, x)
         if chosen is None:
+            most = max((capacity - used[b] for _, b in heap), default=0)
             left.append((size, d, start))
             continue
         total, b = chosen
@@ -217,9 +283,9 @@ def pack(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col:
             held = 0
 
         for batch in batches:
-            for at in range(0, batch.num_rows, _ROWS):
-                part = batch.slice(at, _ROWS)
-                for name, got in zip(part.column(0).to_pylist(), map(coder.encode, part.column(1).to_pylist()), strict=True):
+            for at, n in portions(batch.column(1)):
+                part = batch.slice(at, n)
+                for name, got in zip(part.column(0).to_pylist(), coder.encode(part.column(1)), strict=True):
                     names.append(name)
                     tokens.append(got + end)
                     held += len(got) // 4 + 1

@@ -1,10 +1,12 @@
 """SimHash, line dedup, packing, licences, token counts, decontamination and quality against brute force."""
 
+import heapq
 import random
 import re
 import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -255,6 +257,31 @@ def test_packing(spark, docs, none):
     assert packing.pack(docs, path).where("doc_id = 8").count() >= 2
 
 
+@pytest.mark.parametrize("small", [False, True])
+def test_encoding_of_words_with_signs_and_capitals(monkeypatch, small):
+    if small:  # portions, generations and gathered runs of a few words
+        for name, n in (("_ROWS", 3), ("_BYTES", 200), ("_WORDS", 5), ("_MEMO", 20)):
+            monkeypatch.setattr(packing, name, n)
+    coder, rng = packing.WordEncoder(tokenizer_file("word_bpe_49k.json")), random.Random(3)
+    parts = ["the", "q", "École", "éçà", "É", "ÀÞØ", "ß", "×", "÷", "ÿ", "THE", "it's", "don't", "e\u0301", "\u0301", "ΑΣ", "İ", "中文", "12", "²", ".", ",", "***", "=", "|", "'", "<|endoftext|>", "<|ENDOFTEXT|>", "|>", " ", "\n", "\t\x0b", "\x1c", "\xa0", "x" * 60]
+    texts = [None, "", "  ", *("".join(rng.choices(parts, k=rng.randrange(1, 40))) for _ in range(300))]
+    column = pa.array(texts, pa.string())
+    got = [x for at, n in packing.portions(column) for x in coder.encode(column.slice(at, n))]
+    assert [np.frombuffer(x, "<u4").tolist() for x in got] == [coder.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    asked, ids = [], coder._ids
+    monkeypatch.setattr(coder, "_ids", lambda words: (asked.extend(words), ids(words))[1])
+    heads = ["".join(rng.choices("abcdeéèç", k=9)) for _ in range(500)]
+    coder.encode(pa.array([" ".join(h.capitalize() + rng.choice(["", ".", ",***", "&&&"]) for h in heads)]))
+    assert set(asked) <= {".", ",***", "&&&"}  # all else goes to the model without the tokenizer's other steps
+
+
+def test_assignment_of_what_fits_nowhere_takes_few_steps(monkeypatch):
+    pops, pop = [], heapq.heappop
+    monkeypatch.setattr(packing.heapq, "heappop", lambda heap: (pops.append(1), pop(heap))[1])
+    pieces = packing.assign([1500] * 2000)
+    assert sum(p[2] for p in pieces) == 1500 * 2000 and len(pops) < 10_000
+
+
 @pytest.mark.parametrize("seed", range(20))
 def test_assignment(seed):
     rng = random.Random(seed)
